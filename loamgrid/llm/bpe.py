@@ -4,10 +4,10 @@ The merge table is compiled into a non-deterministic transducer whose configurat
 (last finished token, trie node of the token in progress). A token may follow another only if
 re-merging their joint bytes gives back just these two, which makes exactly one finished path
 per prefix (the encoding of a prefix by ordered merges is a chain of pairwise compatible tokens).
-Subsets of configurations, each with the output it still owes, are the states of the
-deterministic machine; they and their transitions are built the first time an input reaches
-them. What all paths of a subset agree on is emitted at once, so the delay is bounded by the
-longest token. Decoding runs the bytes through an incremental UTF-8 state machine.
+Subsets of configurations are the states of the deterministic machine; they and their transitions
+are built the first time an input reaches them. A state names the token that ends at its place, so
+paths are read back from the states passed; the tokens that all paths of a subset agree on leave
+after a bounded lookahead. Decoding runs the bytes through an incremental UTF-8 state machine.
 
 Edge cases: null and empty texts have no tokens; any text goes through, whatever its length;
 special-token strings are ordinary text; rows are independent, so repeats and ties give
@@ -29,7 +29,9 @@ from pyspark.sql import types as T
 from loamgrid.llm._core import table, worker_state
 
 #: Bounds of the lazily built tables; beyond them they start afresh, which changes no result.
-MAX_STATES, MAX_PIECES, MAX_PAIRS, CACHED_BYTES = 60_000, 300_000, 400_000, 64
+MAX_STATES, MAX_PIECES, MAX_PAIRS, CACHED_CHARS = 200_000, 250_000, 600_000, 64
+#: Bytes after which agreed tokens leave the transducer; an agreement takes at most the longest token.
+LOOKAHEAD = 256
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -63,17 +65,19 @@ class Transducer:
                     self.inner[node] = True
                 node = nxt
             self.final[node] = i
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.edges: dict[tuple[int, bool], list[tuple[bytes, int]]] = {}
         self._reset()
 
     def _reset(self) -> None:
-        start = ((-1, 0, ()),)
-        self.states = [start]
-        self.ids = {start: 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        # a configuration is (last finished token + 1) << 20 | trie node; the oldest in progress comes first
+        self.states: list[tuple[int, ...]] = [(0,)]
+        self.last = [-1]  # the token that ends at a state's place
+        self.ids = {(0,): 0}
+        self.moves: dict[int, int] = {}
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ordered merges, done naively: the definition that compatibility of two tokens rests on."""
+        """Ordered merges, done naively: the definition that all else rests on."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         while len(parts) > 1:
             best, at = min((self.rank.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
@@ -82,64 +86,142 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.rank[p] for p in parts]
 
+    def _edge(self, t: int, right: bool) -> list[tuple[bytes, int]]:
+        """What stands at one edge of token t while it is merged: (part, rank of the merge that takes it).
+
+        Empty if ordered merges of the token's bytes don't end in the token.
+        """
+        known = self.edges.get((t, right))
+        if known is None:
+            known, whole, until = [], self.tokens[t], 1 << 60
+            if self.merge(whole) == [t]:
+                while True:
+                    known.append((whole, until))
+                    if len(whole) == 1:
+                        break
+                    until = self.rank[whole]
+                    whole = self._halves(whole)[right]
+            self.edges[t, right] = known
+        return known
+
+    def _halves(self, token: bytes) -> tuple[bytes, bytes]:
+        """The two parts whose merge is the last of the token's."""
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 2:
+            _, at = min((self.rank.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts[0], parts[1]
+
     def follows(self, u: int, t: int) -> bool:
-        ok = self.pairs.get((u, t))
+        """Whether merging the joint bytes of two tokens gives back the two.
+
+        It doesn't if, while both are being merged, the parts that meet at their border form a token
+        of lower rank than the merges that take either part away (of equal ranks the left one goes first).
+        """
+        ok = self.pairs.get(u + 1 << 32 | t)
         if ok is None:
             if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
-            ok = self.merge(self.tokens[t]) == [t] if u < 0 else self.merge(self.tokens[u] + self.tokens[t]) == [u, t]
-            self.pairs[u, t] = ok
+            left = [(b"", 0)] if u < 0 else self._edge(u, True)
+            right = self._edge(t, False)
+            ok = bool(left) and bool(right)
+            if u >= 0 and ok:
+                rank = self.rank
+                for a, a_until in left:
+                    for b, b_until in right:
+                        joint = rank.get(a + b)
+                        if joint is not None and joint < a_until and joint <= b_until:
+                            ok = False
+                            break
+                    if not ok:
+                        break
+            self.pairs[u + 1 << 32 | t] = ok
         return ok
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        new = []
-        for u, node, owed in self.states[state]:
-            nxt = self.child.get(node << 8 | byte)
+    def _state(self, configurations: tuple[int, ...], last: int) -> int:
+        to = self.ids.get(configurations)
+        if to is None:
+            to = self.ids[configurations] = len(self.states)
+            self.states.append(configurations)
+            self.last.append(last)
+        return to
+
+    def _move(self, state: int, byte: int) -> int:
+        new, ended = [], -1
+        child, inner, final, pairs = self.child.get, self.inner, self.final, self.pairs.get
+        for c in self.states[state]:
+            nxt = child((c & 0xFFFFF) << 8 | byte)
             if nxt is None:
                 continue
-            if self.inner[nxt]:
-                new.append((u, nxt, owed))
-            t = self.final[nxt]
-            if t >= 0 and self.follows(u, t):
-                new.append((t, 0, (*owed, t)))
-        agreed = 0
-        shortest = min(len(c[2]) for c in new)
-        while agreed < shortest and all(c[2][agreed] == new[0][2][agreed] for c in new):
-            agreed += 1
-        emitted = new[0][2][:agreed]
-        key = tuple(sorted((u, n, owed[agreed:]) for u, n, owed in new))
-        to = self.ids.get(key)
-        if to is None:
-            to = self.ids[key] = len(self.states)
-            self.states.append(key)
-        self.moves[state << 8 | byte] = (to, emitted)
-        return to, emitted
+            u = c >> 20
+            if inner[nxt]:
+                new.append(u << 20 | nxt)
+            t = final[nxt]
+            if t >= 0 and ended < 0:
+                ok = pairs(u << 32 | t)
+                if ok is None:
+                    ok = self.follows(u - 1, t)
+                if ok:
+                    ended = t
+        new.append(ended + 1 << 20)
+        to = self.moves[state << 8 | byte] = self._state(tuple(new), ended)
+        return to
+
+    def _path(self, seen: list[int], place: int) -> list[int]:
+        """Tokens of the finished path at a place, last first; ``seen`` are the states by place."""
+        out, last, tokens = [], self.last, self.tokens
+        while place > 0:
+            t = last[seen[place]]
+            out.append(t)
+            place -= len(tokens[t])
+        return out
+
+    def _agreed(self, seen: list[int]) -> list[int]:
+        """Tokens that all paths alive at the end of ``seen`` begin with."""
+        depth = self._depths()
+        paths = [self._path(seen, len(seen) - 1 - depth[c & 0xFFFFF])[::-1] for c in self.states[seen[-1]]]
+        n = 0
+        while all(len(p) > n for p in paths) and all(p[n] == paths[0][n] for p in paths):
+            n += 1
+        return paths[0][:n]
+
+    def _depths(self) -> list[int]:
+        if not hasattr(self, "depth"):
+            self.depth = [0] * len(self.final)
+            for key, node in self.child.items():  # parents come before their children
+                self.depth[node] = self.depth[key >> 8] + 1
+        return self.depth
 
     def encode(self, piece: bytes) -> list[int]:
-        """Ids of one piece; a piece that is itself a token is that token."""
+        """Ids of one piece; a piece that is itself a token is that token.
+
+        Every LOOKAHEAD bytes the tokens that all paths agree on are emitted and forgotten.
+        """
         whole = self.rank.get(piece)
         if whole is not None:
             return [whole]
         if len(self.states) > MAX_STATES:
             self._reset()
-        state, out, moves = 0, [], self.moves
-        for i, b in enumerate(piece):
-            move = moves.get(state << 8 | b)
-            if move is None:
-                if len(self.states) > 2 * MAX_STATES:  # a single huge piece: finish it on a fresh table
-                    here = self.states[state]
+        get = self.moves.get
+        state, seen, out, start = 0, [0], [], 0
+        while start < len(piece):
+            for b in piece[start : start + LOOKAHEAD]:
+                nxt = get(state << 8 | b)
+                if nxt is None:
+                    nxt = self._move(state, b)
+                state = nxt
+                seen.append(state)
+            start += LOOKAHEAD
+            if start < len(piece):
+                done = self._agreed(seen)
+                out += done
+                del seen[: sum(len(self.tokens[t]) for t in done)]
+                if len(self.states) > MAX_STATES:  # a huge piece: keep its own states in a fresh table
+                    kept = [(self.states[s], self.last[s]) for s in seen]
                     self._reset()
-                    moves = self.moves
-                    state = self.ids.setdefault(here, len(self.states))
-                    if state == len(self.states):
-                        self.states.append(here)
-                move = self._move(state, b)
-            state, emitted = move
-            if emitted:
-                out.extend(emitted)
-        if piece:
-            out.extend(next(owed for _, node, owed in self.states[state] if node == 0))
-        return out
+                    seen = [self._state(*k) for k in kept]
+                    state, get = seen[-1], self.moves.get
+        return out + self._path(seen, len(seen) - 1)[::-1]
 
 
 class Utf8Machine:
@@ -198,15 +280,18 @@ class _Pieces(dict):
 
     def __init__(self, fst: Transducer):
         super().__init__()
-        self.fst = fst
+        self.fst, self.old = fst, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode()
-        ids = tuple(self.fst.encode(data))
-        if len(data) <= CACHED_BYTES:
-            if len(self) >= MAX_PIECES:
-                self.clear()
-            self[piece] = ids
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = tuple(self.fst.encode(piece.encode()))
+            if len(piece) > CACHED_CHARS:
+                return ids
+        if len(self) >= MAX_PIECES:  # pieces in use come back from the older half
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
 
