@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,23 @@ def worker_state(name: str) -> types.ModuleType:
     return sys.modules[key]
 
 
+def share(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcast an object of any class of this package; the result gives it back in a task.
+
+    It is pickled with its class, so workers need no copy of the package, and unpickled once a worker.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    name = f"shared_{uuid.uuid4().hex}"
+
+    def get() -> object:
+        state = worker_state("shared")
+        if getattr(state, "name", None) != name:
+            state.value, state.name = pickle.loads(sent.value), name
+        return state.value
+
+    return get
+
+
 def byte_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and the offsets of its rows; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):

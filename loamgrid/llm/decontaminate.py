@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm._core import byte_views, prefix_hash, row_chunks, sliding, span_hash, table, winnow
+from loamgrid.llm._core import byte_views, prefix_hash, row_chunks, share, span_hash, table, winnow
 
 WINDOW, K = 13, 5
 #: Items' words that may be broadcast (8 bytes a word and about as much again for its k-grams).
@@ -177,8 +177,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if size <= 2 * max_broadcast_words:  # a word and its end take two bytes at least
         t = items.toArrow()
-        index = docs.sparkSession.sparkContext.broadcast(Index(t.column("text"), t.column("item_id").to_pylist(), window, k))
-        return docs.mapInArrow(lambda batches: _scan(batches, index.value), SCHEMA)
+        index = share(docs.sparkSession, Index(t.column("text"), t.column("item_id").to_pylist(), window, k))
+        return docs.mapInArrow(lambda batches: _scan(batches, index()), SCHEMA)
     return _joined(docs, items, window, k)
 
 

@@ -38,7 +38,9 @@ from loamgrid.llm._core import byte_views, checkpoint, merge_intervals, prefix_h
 LENGTH, GRAM = 100, 40
 #: Contexts of one k-gram that are indexed in one block; groups of more take the shuffle on strings.
 BLOCK_CONTEXTS = 4096
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+#: Text within which equal contexts are thinned before they are sent; bounds a task's memory.
+SCAN_BYTES = 1 << 22
 _NULL_ID = -(2**63)
 _OPEN = "kind int, h long, ctx long, id long, at long, len int, size int"
 
@@ -83,28 +85,32 @@ def _first_of(*keys: np.ndarray) -> np.ndarray:
 
 
 def _scan(length: int, gram: int):
+    def rows(raw: np.ndarray, off: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        parts = list(_winnow_rows(raw, off, length, gram))
+        if not parts:
+            return
+        row, h, ctx, pos, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        ident = ids[row]
+        order = np.lexsort((pos, ident, ctx, h))
+        row, h, ctx, pos, lo, hi, ident = (x[order] for x in (row, h, ctx, pos, lo, hi, ident))
+        first = _first_of(h, ctx)
+        # a later row of the same document and place (a repeated row) is not a repeat
+        twin = ~first
+        twin[1:] &= (ident[1:] == ident[:-1]) & (pos[1:] == pos[:-1])
+        rest = ~first & ~twin
+        n = int(first.sum())
+        yield _rows(np.zeros(n, np.int32), h[first].view(np.int64), ctx[first].view(np.int64), ident[first], lo[first], pos[first] - lo[first], hi[first] - lo[first])
+        if rest.any():
+            d, s, e = merge_intervals(ident[rest], lo[rest], hi[rest])
+            yield _rows(np.ones(len(d), np.int32), d * np.int64(-7046029254386353131), np.zeros(len(d), np.int64), d, s, np.zeros(len(d), np.int32), e - s)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = byte_views(batch.column(1))
             ids = np.asarray(batch.column(0))
-            parts = list(_winnow_rows(raw, off, length, gram))
-            if not parts:
-                continue
-            row, h, ctx, pos, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
-            del parts
-            ident = ids[row]
-            order = np.lexsort((pos, ident, ctx, h))
-            row, h, ctx, pos, lo, hi, ident = (x[order] for x in (row, h, ctx, pos, lo, hi, ident))
-            first = _first_of(h, ctx)
-            # a later row of the same document and place (a repeated row) is not a repeat
-            twin = ~first
-            twin[1:] &= (ident[1:] == ident[:-1]) & (pos[1:] == pos[:-1])
-            rest = ~first & ~twin
-            n = int(first.sum())
-            yield _rows(np.zeros(n, np.int32), h[first].view(np.int64), ctx[first].view(np.int64), ident[first], lo[first], pos[first] - lo[first], hi[first] - lo[first])
-            if rest.any():
-                d, s, e = merge_intervals(ident[rest], lo[rest], hi[rest])
-                yield _rows(np.ones(len(d), np.int32), d * np.int64(-7046029254386353131), np.zeros(len(d), np.int64), d, s, np.zeros(len(d), np.int32), e - s)
+            for a, b in row_chunks(off, SCAN_BYTES):
+                yield from rows(raw, off[a : b + 1], ids[a:b])
 
     return run
 
