@@ -18,12 +18,13 @@ table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loamgrid.llm._core import byte_views, prefix_hash, row_chunks, share, span_hash, table, winnow
 
@@ -150,9 +151,10 @@ def _verdict(ids, n_words, n_hit, n_items, sha) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string()), pa.array(bad)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
-def _scan(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], index: Index, keep: list[str]) -> Iterator[pa.RecordBatch]:
     empty = _sha([])
     for batch in batches:
+        more = batch.select(keep) if keep else None
         raw, off = byte_views(batch.column(1))
         for a, b in row_chunks(off):
             words, bounds = word_hashes(raw, off[a : b + 1])
@@ -167,24 +169,33 @@ def _scan(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Record
             for r in np.unique(row):
                 own = [index.names[i] for i in pair[row == r] % len(index.names)]
                 n_items[r], sha[r] = len(own), _sha(own)
-            yield _verdict(batch.column(0).slice(a, b - a), np.diff(bounds), n_hit, n_items, sha)
+            out = _verdict(batch.column(0).slice(a, b - a), np.diff(bounds), n_hit, n_items, sha)
+            yield out if more is None else pa.RecordBatch.from_arrays(out.columns + more.slice(a, b - a).columns, out.schema.names + keep)
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K, max_broadcast_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
-    """Per document: words, words inside an item's window, items found, and the verdict."""
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K, max_broadcast_words: int = MAX_BROADCAST_WORDS, keep: Sequence[str] = ()) -> DataFrame:
+    """Per document: words, words inside an item's window, items found, the verdict, and the columns to ``keep``."""
     items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").filter(F.col("text").isNotNull())
-    docs = docs.select("doc_id", "text")
+    more = [c for c in keep if c != "text"]
+    docs = docs.select("doc_id", "text", *more)
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if size <= 2 * max_broadcast_words:  # a word and its end take two bytes at least
         t = items.toArrow()
         index = share(docs.sparkSession, Index(t.column("text"), t.column("item_id").to_pylist(), window, k))
-        return docs.mapInArrow(lambda batches: _scan(batches, index()), SCHEMA)
-    return _joined(docs, items, window, k)
+        own = T._parse_datatype_string(SCHEMA).fields
+        schema = T.StructType(own + [docs.schema[c] for c in keep])
+        return docs.mapInArrow(lambda batches: _scan(batches, index(), list(keep)), schema)
+    found = _joined(docs.select("doc_id", "text"), items, window, k)
+    if not keep:
+        return found.drop("doc_key")
+    # rows of one id and text have one verdict
+    key = F.xxhash64("doc_id", "text")
+    verdict = found.groupBy("doc_key").agg(*[F.first(c).alias(c) for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")])
+    return docs.withColumn("doc_key", key).join(verdict, "doc_key").select(*[f.split(" ")[0] for f in SCHEMA.split(", ")], *keep)
 
 
 def _joined(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
     """The same by shuffles only; no side is held whole by a task."""
-    key = F.xxhash64("text")
     docs = docs.withColumn("doc_key", F.xxhash64("doc_id", "text"))
     items = items.withColumn("item_key", F.xxhash64("item_id", "text"))
 
@@ -247,7 +258,7 @@ def _joined(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame
 
     counted = docs.select("doc_id", "doc_key", "text").mapInArrow(count, "doc_id long, doc_key long, n_words long")
     n_hit, ids = F.coalesce("n_hit", F.lit(0)), F.coalesce("ids", F.array().cast("array<string>"))
-    return counted.join(per_doc, "doc_key", "left").select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return counted.join(per_doc, "doc_key", "left").select("doc_key", "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loamgrid.llm._core import crc_mod, share, table
 
@@ -122,8 +123,8 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     return Model(list(zip(*(t.column(c).to_pylist() for c in ("lang", "ord", "key", "n")), strict=True)))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score) from the text alone."""
+def predict(docs: DataFrame, model: Model, keep: Sequence[str] | None = None) -> DataFrame:
+    """(doc_id, lang_pred, score) from the text alone; with ``keep`` also the text and those columns."""
     shared = share(docs.sparkSession, model)  # bounded by the training sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,9 +145,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 best = int(np.argmax(total))
                 pred.append(model.langs[best])
                 score.append(1.0 / float(np.exp(np.maximum(total - total[best], -700)).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+            kept = [] if keep is None else batch.columns[1:]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), *kept], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    source = docs.select("doc_id", "text", *(keep or ()))
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())] + ([] if keep is None else source.schema.fields[1:]))
+    names = schema.names
+    return source.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:

@@ -26,12 +26,13 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loamgrid.llm._core import byte_views, checkpoint, merge_intervals, prefix_hash, row_chunks, span_hash, table, winnow
 
@@ -391,21 +392,23 @@ def _cut(text_out: bool):
                 n_removed.append(gone)
                 n_spans.append(runs)
                 out.append(rest.decode("utf-8", "ignore") if text_out else hashlib.sha256(rest).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(out, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "text" if text_out else "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(out, pa.string()), *batch.columns[4:]], ["doc_id", "n_bytes", "n_removed", "n_spans", "text" if text_out else "kept_sha256", *batch.schema.names[4:]])
 
     return run
 
 
-def dedup(docs: DataFrame, text_out: bool = False, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def dedup(docs: DataFrame, text_out: bool = False, length: int = LENGTH, gram: int = GRAM, keep: Sequence[str] = ()) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans and the hash of what is kept.
 
     With ``text_out`` the kept text itself; bytes of a character that was cut in part are dropped.
+    The columns to ``keep`` follow.
     """
-    base = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID).cast("long")).alias("id"), "text")
-    spans = duplicate_spans(base, length, gram).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = base.join(spans, "id", "left").select("id", "text", "spans", F.when(F.col("id") != _NULL_ID, F.col("id")).alias("doc_id"))
+    base = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID).cast("long")).alias("id"), "text", *keep)
+    spans = duplicate_spans(base.select("id", "text"), length, gram).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    joined = base.join(spans, "id", "left").select("id", "text", "spans", F.when(F.col("id") != _NULL_ID, F.col("id")).alias("doc_id"), *keep)
     name = "text" if text_out else "kept_sha256"
-    return joined.mapInArrow(_cut(text_out), f"doc_id long, n_bytes long, n_removed long, n_spans long, {name} string")
+    own = T._parse_datatype_string(f"doc_id long, n_bytes long, n_removed long, n_spans long, {name} string").fields
+    return joined.mapInArrow(_cut(text_out), T.StructType(own + [joined.schema[c] for c in keep]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
