@@ -13,7 +13,8 @@ def occurrences(entries: DataFrame) -> DataFrame:
     seg = entries.select("entry_id", F.explode(F.regexp_extract_all("body", F.lit(X.SEGMENT), F.lit(1))).alias("s")).filter(F.octet_length(F.lower("s")) >= 2)
     s = F.col("s")
     parts = F.when(F.substring(s, 2, 1 << 30).rlike("[A-Z]"), F.concat(X.camel_parts(s), F.array(F.lower(s)))).otherwise(F.array(F.lower(s)))
-    return seg.select("entry_id", F.explode(parts).alias("term"))
+    # the filter holds always; said here, plans that join on term and plans that don't share one exchange
+    return seg.select("entry_id", F.explode(parts).alias("term")).filter("term is not null and entry_id is not null")
 
 
 def postings(entries: DataFrame) -> DataFrame:

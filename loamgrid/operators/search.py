@@ -76,15 +76,37 @@ def bm25(tf: Column, dl: Column, avgdl: Column, weight: Column) -> Column:
     return weight * tf * (K1 + 1) / (tf + F.lit(K1) * norm)
 
 
+def _score(rows: DataFrame, entries: DataFrame, as_of: int) -> DataFrame:
+    """Sum of BM25 times confidence and recency over (query_id, n_terms, entry_id, tf, dl, idf, avgdl)."""
+    meta = entries.select("entry_id", "topic", "tags", (F.floor(F.col("confidence") * 255.0) / 255.0).alias("conf"), F.greatest(F.lit(as_of) - day(F.col("ts_min")), F.lit(0)).alias("age"))
+    s = bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf")) * F.col("conf") / (1.0 + F.col("age") / 30.0)
+    return rows.join(meta, "entry_id").groupBy("query_id", "entry_id").agg(F.sum(s).alias("score"), F.count("*").alias("hits"), F.first("n_terms").alias("n_terms"), F.first("topic").alias("topic"), F.first("tags").alias("tags"))
+
+
 def scored(entries: DataFrame, queries: DataFrame, posts: DataFrame, stats: DataFrame, as_of: int = AS_OF) -> DataFrame:
-    """(query_id, entry_id, topic, tags, hits, n_terms, score) with corpus statistics, confidence and recency."""
+    """(query_id, entry_id, topic, tags, hits, n_terms, score) from a stored index, with its corpus statistics."""
     wanted = posts.join(small(queries), "term")
     df = posts.join(small(queries.select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("df"))
     df = df.crossJoin(F.broadcast(stats)).select("term", I.idf(F.col("df").cast("double"), F.col("n").cast("double")).alias("idf"), "avgdl")
-    meta = entries.select("entry_id", "topic", "tags", (F.floor(F.col("confidence") * 255.0) / 255.0).alias("conf"), F.greatest(F.lit(as_of) - day(F.col("ts_min")), F.lit(0)).alias("age"))
-    rows = wanted.join(small(df), "term").join(meta, "entry_id").join(I.lengths(posts), "entry_id")
-    s = bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf")) * F.col("conf") / (1.0 + F.col("age") / 30.0)
-    return rows.groupBy("query_id", "entry_id").agg(F.sum(s).alias("score"), F.count("*").alias("hits"), F.first("n_terms").alias("n_terms"), F.first("topic").alias("topic"), F.first("tags").alias("tags"))
+    return _score(wanted.join(small(df), "term").join(I.lengths(posts), "entry_id"), entries, as_of)
+
+
+def scan(corpus: DataFrame, entries: DataFrame, queries: DataFrame, as_of: int = AS_OF) -> DataFrame:
+    """The same without an index, by one pass over the texts of ``corpus``.
+
+    Only the queries' terms are told apart; all other tokens of an entry are one row, so what is
+    shuffled is a few rows an entry. Statistics, lengths and hits come from that one exchange.
+    """
+    asked = small(queries.select("term").distinct()).withColumn("asked", F.lit(True))
+    # other tokens are the empty term: a key that is never null lets no filter be pushed into one user of the exchange alone
+    term = F.coalesce(F.when(F.col("asked"), F.col("term")), F.lit(""))
+    counts = I.occurrences(corpus).join(asked, "term", "left").select("entry_id", term.alias("term")).groupBy("entry_id", "term").agg(F.count("*").alias("tf"))
+    df = counts.groupBy("term").agg(F.sum(F.least("tf", F.lit(1))).alias("df"), F.sum("tf").alias("all"))
+    one = corpus.agg(F.count("*").alias("n"))
+    total = df.agg(F.sum("all").alias("total")).crossJoin(one).select("n", (F.floor(F.col("total") / F.greatest("n", F.lit(1)) * 100.0) / 100.0).alias("avgdl"))
+    idf = df.crossJoin(F.broadcast(total)).select("term", I.idf(F.col("df").cast("double"), F.col("n").cast("double")).alias("idf"), "avgdl")
+    rows = counts.withColumn("dl", F.sum("tf").over(Window.partitionBy("entry_id"))).withColumn("tf", F.least("tf", F.lit(65535)))
+    return _score(rows.join(small(queries), "term").join(F.broadcast(idf), "term"), entries, as_of)  # a row per asked term
 
 
 def scored_subset(entries: DataFrame, queries: DataFrame, posts: DataFrame) -> DataFrame:
@@ -215,10 +237,9 @@ def remove_similar(hits: DataFrame, entries: DataFrame, limit: float = 0.7) -> D
 def search(spark: SparkSession, entries: DataFrame, query: str, mode: str = "auto", limit: int = 20, posts: DataFrame | None = None, detail: str = "medium", **where) -> DataFrame:
     """The search tool: query text with optional ``tag:``, ``topic:`` and ``source:`` words; one lazy plan."""
     rest, found = X.parse_query(query)
-    posts = I.postings(entries) if posts is None else posts
     queries = query_terms(spark, [rest])
     e = filters(entries, **(found | where))
-    hits = choose(scored(e, queries, posts, I.corpus_stats(entries, posts)), mode)
+    hits = choose(scan(entries, e, queries) if posts is None else scored(e, queries, posts, I.corpus_stats(entries, posts)), mode)
     if detail == "count":
         return totals(hits)
     if detail == "topics":

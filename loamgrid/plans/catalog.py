@@ -1,4 +1,679 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, each with the SQL that checks it where SQL can."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loamgrid.functions import text as X
+from loamgrid.operators import brief as B
+from loamgrid.operators import code as C
+from loamgrid.operators import index as I
+from loamgrid.operators import prompts as P
+from loamgrid.operators import search as S
+from loamgrid.operators import similarity as M
+from loamgrid.operators import topics as T
+from loamgrid.sources import log as L
+from loamgrid.sources.tables import AS_OF, day, entries, file_mtimes, read, tool_events
+from loamgrid.streaming import sessions as Z
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        if sql is not None:
+            ORACLE[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def tokens_sql(x: str) -> str:
+    seg = rf"list_filter(regexp_extract_all({x}, '([A-Za-z0-9]+|[^\x00-\x7F][A-Za-z0-9\x{{80}}-\x{{10FFFF}}]*)'), lambda s: strlen(lower(s)) >= 2)"
+    parts = r"string_split(trim(regexp_replace(s, '(\p{Lu})', ' \1', 'g')), ' ')"
+    camel = f"list_filter(list_transform({parts}, lambda p: lower(p)), lambda p: strlen(p) >= 2 AND p <> lower(s))"
+    return f"flatten(list_transform({seg}, lambda s: list_concat(CASE WHEN regexp_matches(substr(s, 2), '[A-Z]') THEN {camel} ELSE [] END, [lower(s)])))"
+
+
+def terms_sql(x: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+    t = f"list_filter({tokens_sql(x)}, lambda w: w NOT IN ({stop}))"
+    return f"list_filter({t}, lambda w, i: list_position({t}, w) = i)"
+
+
+def long_terms_sql(x: str) -> str:
+    return f"list_distinct(list_filter({tokens_sql(x)}, lambda w: strlen(w) >= 3))"
+
+
+KB = """kb AS (SELECT d.doc_id AS entry_id, lang || '/' || source AS topic, text AS body, CAST(28401120 + (d.doc_id * 37) % 43200 AS INTEGER) AS ts_min,
+ 'src/' || source || '.rs:' || CAST(d.doc_id % 97 AS VARCHAR) AS source,
+ CASE WHEN toxic = 1 THEN CAST(0.3 AS DOUBLE) WHEN quality = 0 THEN CAST(0.5 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS confidence,
+ list_filter([lang, CASE WHEN quality = 1 THEN 'gotcha' END, CASE WHEN toxic = 1 THEN 'constraint' END], lambda x: x IS NOT NULL) AS tags,
+ coalesce(toxic, 0) = 1 AS deleted FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+POST = f"occ AS (SELECT entry_id, unnest({tokens_sql('body')}) AS term FROM kb), post AS (SELECT entry_id, term, CAST(least(count(*), 65535) AS INTEGER) AS tf FROM occ GROUP BY ALL), len AS (SELECT entry_id, sum(tf) AS dl FROM post GROUP BY ALL)"
+STATS = "stats AS (SELECT (SELECT count(*) FROM kb) AS n, (SELECT sum(tf) FROM post) AS total), avgs AS (SELECT n, total, floor(CAST(total AS DOUBLE) / n * CAST(100 AS DOUBLE)) / CAST(100 AS DOUBLE) AS avgdl FROM stats)"
+IDF = "floor(ln((CAST(n AS DOUBLE) - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE)) + 1) * CAST(1000 AS DOUBLE)) / CAST(1000 AS DOUBLE)"
+
+
+def _double(*values: float) -> list[str]:
+    return [f"CAST({v} AS DOUBLE)" for v in values]
+
+
+def bm25_sql(idf: str) -> str:
+    k1p, k1, a, b, one = _double(2.2, 1.2, 0.25, 0.75, 1.0)
+    return f"{idf} * tf * {k1p} / (tf + {k1} * ({a} + {b} * dl / greatest(avgdl, {one})))"
+
+
+def hits_sql(queries: str, where: str = "true") -> str:
+    """CTEs up to ``hit``: (query_id, entry_id, topic, tags, hits, n_terms, score) of queries (query_id, term, n_terms)."""
+    half, z, one = _double(255.0, 30.0, 1.0)
+    return f"""{KB}, {POST}, {STATS}, q AS ({queries}),
+df AS (SELECT term, count(*) AS df FROM post WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+idf AS (SELECT term, {IDF} AS idf, avgdl FROM df, avgs),
+hit AS (SELECT query_id, entry_id, any_value(topic) AS topic, any_value(tags) AS tags, any_value(n_terms) AS n_terms, count(*) AS hits,
+ sum({bm25_sql('idf')} * (floor(confidence * {half}) / {half}) / ({one} + greatest({AS_OF} - ts_min // 1440, 0) / {z})) AS score
+ FROM post JOIN q USING (term) JOIN idf USING (term) JOIN kb USING (entry_id) JOIN len USING (entry_id) WHERE {where} GROUP BY query_id, entry_id)"""
+
+
+def terms_cte(text: str) -> str:
+    return f"SELECT 0 AS query_id, unnest(t) AS term, len(t) AS n_terms FROM (SELECT {terms_sql(repr(text))} AS t)"
+
+
+WORDS, RARE = "thin hand erst ndble", "thin zzyzx erst"
+TOP = "SELECT entry_id, round(score, 6) AS score FROM {} ORDER BY round(score, 6) DESC, entry_id LIMIT 20"
+
+
+def _hits(spark: SparkSession, sf_dir: str, words: str = WORDS, **where) -> DataFrame:
+    e = entries(spark, sf_dir)
+    return S.scan(e, S.filters(e, **where), S.query_terms(spark, [words]))
+
+
+def _top(hits: DataFrame) -> DataFrame:
+    return S.top(hits.withColumn("score", F.round("score", 6))).select("entry_id", "score")
+
+
+# --- log and index ---
+
+
+@query(f"WITH {KB} SELECT entry_id, topic, ts_min, confidence, strlen(body) AS n_bytes FROM kb WHERE NOT deleted")
+def live_entries(spark, d):
+    e = entries(spark, d)
+    gone = read(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("entry_id"))
+    return e.join(gone, "entry_id", "left_anti").select("entry_id", "topic", "ts_min", "confidence", F.octet_length("body").cast("long").alias("n_bytes"))
+
+
+@query(f"WITH {KB}, {POST} SELECT * FROM post")
+def tokens_tf(spark, d):
+    return I.postings(entries(spark, d))
+
+
+@query(f"WITH {KB}, {POST}, {STATS}, df AS (SELECT term, count(*) AS df FROM post GROUP BY ALL) SELECT term, df, {IDF} AS idf FROM df, avgs")
+def doc_freq_idf(spark, d):
+    e = entries(spark, d)
+    p = I.postings(e)
+    return I.term_stats(p, I.corpus_stats(e, p))
+
+
+@query(f"WITH {KB}, {POST}, {STATS} SELECT n, CAST(total AS BIGINT) AS total, avgdl FROM avgs")
+def corpus_stats(spark, d):
+    e = entries(spark, d)
+    return I.corpus_stats(e, I.postings(e))
+
+
+_CAMEL = "array_to_string(list_transform(string_split(p_name || ' ' || p_type, ' '), lambda w: upper(w[1]) || lower(w[2:])), '')"
+
+
+@query(f"SELECT p_partkey, unnest({tokens_sql('s')}) AS token FROM (SELECT p_partkey, {_CAMEL} AS s FROM part)")
+def camel_tokens(spark, d):
+    s = F.replace(F.initcap(F.concat("p_name", F.lit(" "), "p_type")), F.lit(" "), F.lit(""))
+    return read(spark, d, "part").select("p_partkey", F.explode(X.tokens(s)).alias("token"))
+
+
+@query(f"SELECT item_id, array_to_string({terms_sql('text')}, ' ') AS terms FROM benchmark")
+def query_terms(spark, d):
+    return read(spark, d, "benchmark").select("item_id", F.array_join(X.terms("text"), " ").alias("terms"))
+
+
+
+
+@query(
+    f"""WITH {KB}, e AS (SELECT entry_id, regexp_extract(lower(body), '([a-z]+)', 1) || '/' || split_part(topic, '/', 1) AS topic, body FROM kb), occ AS (SELECT DISTINCT entry_id, unnest({tokens_sql('body')}) AS term FROM kb),
+nm AS (SELECT dst, unnest(list_distinct({tokens_sql('dst')})) AS term FROM (SELECT DISTINCT topic AS dst FROM e)), need AS (SELECT dst, count(*) AS need FROM nm GROUP BY ALL),
+f AS (SELECT dst, entry_id FROM occ JOIN nm USING (term) JOIN need USING (dst) GROUP BY dst, entry_id, need HAVING count(*) = need)
+SELECT topic AS src, dst, CAST(least(count(*), 65535) AS BIGINT) AS mentions FROM f JOIN e USING (entry_id) WHERE topic <> dst GROUP BY ALL"""
+)
+def xref_edges(spark, d):
+    e = entries(spark, d)
+    first = F.regexp_extract(F.lower("body"), "([a-z]+)", 1)
+    p = I.postings(e)
+    return I.xref_edges(e.withColumn("topic", F.concat(first, F.lit("/"), F.substring_index("topic", "/", 1))), p)
+
+
+# --- search ---
+
+
+@query(f"WITH {hits_sql(terms_cte(WORDS))} {TOP.format('hit')}")
+def bm25_or(spark, d):
+    return _top(S.choose(_hits(spark, d), "or"))
+
+
+@query(f"WITH {hits_sql(terms_cte(WORDS))} {TOP.format('hit')}")
+def bm25_stored(spark, d):
+    e = entries(spark, d)
+    p = I.postings(e)
+    return _top(S.scored(e, S.query_terms(spark, [WORDS]), p, I.corpus_stats(e, p)))
+
+
+@query(f"WITH {hits_sql(terms_cte(WORDS))} {TOP.format('hit WHERE hits = n_terms')}")
+def bm25_and(spark, d):
+    return _top(S.choose(_hits(spark, d), "and"))
+
+
+_AUTO = "(SELECT *, max(CASE WHEN hits = n_terms THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS a FROM hit) WHERE a = 0 OR hits = n_terms"
+
+
+@query(f"WITH {hits_sql(terms_cte(RARE))} {TOP.format(_AUTO)}")
+def bm25_fallback(spark, d):
+    return _top(S.choose(_hits(spark, d, RARE)))
+
+
+@query(f"WITH {hits_sql(terms_cte(WORDS), where='''(topic = 'en' OR topic LIKE 'en/%')''')} {TOP.format('hit')}")
+def bm25_filtered_topic(spark, d):
+    return _top(_hits(spark, d, topic="en"))
+
+
+@query(f"WITH {hits_sql(terms_cte(WORDS), where='''list_contains(tags, 'gotcha')''')} {TOP.format('hit')}")
+def bm25_filtered_tag(spark, d):
+    return _top(_hits(spark, d, tag="gotcha"))
+
+
+@query(f"WITH {hits_sql(terms_cte(WORDS), where=f'ts_min // 1440 BETWEEN {AS_OF - 14} AND {AS_OF - 3}')} {TOP.format('hit')}")
+def bm25_filtered_date(spark, d):
+    return _top(_hits(spark, d, after=S.relative_days(days=14), before=S.relative_days(hours=72)))
+
+
+@query(f"WITH {hits_sql(terms_cte(WORDS), where='''contains(lower(source), 'src1')''')} {TOP.format('hit')}")
+def bm25_filtered_source(spark, d):
+    return _top(_hits(spark, d, source="SRC1"))
+
+
+_SUBSET = f"""{KB}, {POST}, sub AS (SELECT entry_id FROM kb WHERE topic LIKE 'en/%'), own AS (SELECT * FROM post WHERE entry_id IN (SELECT entry_id FROM sub)), q AS ({terms_cte(WORDS)}),
+av AS (SELECT (SELECT count(*) FROM sub) AS n, CAST((SELECT sum(tf) FROM own) AS DOUBLE) / (SELECT count(*) FROM sub) AS avgdl), df AS (SELECT term, count(*) AS df FROM own WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+idf AS (SELECT term, ln((n - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE)) + 1) AS idf, avgdl FROM df, av),
+hit AS (SELECT entry_id, sum({bm25_sql('idf')}) AS score FROM own JOIN q USING (term) JOIN idf USING (term) JOIN len USING (entry_id) GROUP BY ALL)"""
+
+
+@query(f"WITH {_SUBSET} {TOP.format('hit')}")
+def bm25_subset_stats(spark, d):
+    e = entries(spark, d)
+    return _top(S.scored_subset(S.filters(e, topic="en"), S.query_terms(spark, [WORDS]), I.postings(e)))
+
+
+_BATCH = f"SELECT item_id AS query_id, unnest(t) AS term, len(t) AS n_terms FROM (SELECT item_id, {terms_sql('text')}[1:6] AS t FROM benchmark)"
+_BATCH_TOP = "t AS (SELECT query_id, entry_id, topic, tags, round(score, 6) AS score FROM (SELECT *, max(CASE WHEN hits = n_terms THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS a FROM hit) WHERE a = 0 OR hits = n_terms QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, entry_id) <= 20)"
+
+
+def _batch(spark, d):
+    e = entries(spark, d)
+    q = S.terms_of(read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 6)
+    return S.top(S.choose(S.scan(e, e, q)).withColumn("score", F.round("score", 6)))
+
+
+@query(f"WITH {hits_sql(_BATCH)}, {_BATCH_TOP} SELECT entry_id, max(score) AS score FROM t GROUP BY ALL")
+def search_batch(spark, d):
+    return S.batch_best(_batch(spark, d))
+
+
+@query(f"WITH {hits_sql(_BATCH)}, {_BATCH_TOP} SELECT query_id, entry_id, score FROM t")
+def search_queries(spark, d):
+    return _batch(spark, d).select("query_id", "entry_id", "score")
+
+
+_RERANK_WORDS = "thin gotcha src1 en"
+_RERANK = f"""r AS (SELECT entry_id, score * CASE WHEN len(list_filter(ts, lambda w: contains(lower(topic), w))) > 0 THEN CAST(1.5 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END
+ * (1 + CAST(0.3 AS DOUBLE) * len(list_filter(ts, lambda w: contains(lower(array_to_string(tags, ' ')), w)))) AS score FROM hit, (SELECT list(term) AS ts FROM q))"""
+
+
+@query(f"WITH {hits_sql(terms_cte(_RERANK_WORDS))}, {_RERANK} {TOP.format('r')}")
+def search_rerank(spark, d):
+    return _top(S.rerank(_hits(spark, d, _RERANK_WORDS), S.query_terms(spark, [_RERANK_WORDS])))
+
+
+_DIVERSE = """s AS (SELECT entry_id, topic, round(score, 6) AS score FROM hit), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, entry_id) AS pos, row_number() OVER (PARTITION BY topic ORDER BY score DESC, entry_id) AS it FROM s),
+k AS (SELECT coalesce(max(CASE WHEN pos = 20 THEN score END), 0) AS kth FROM r) SELECT entry_id, score FROM r, k WHERE it <= 3 OR score > CAST(1.5 AS DOUBLE) * kth ORDER BY score DESC, entry_id LIMIT 20"""
+
+
+@query(f"WITH {hits_sql(terms_cte(WORDS))}, {_DIVERSE}")
+def search_diverse_sql(spark, d):
+    return S.diverse(_hits(spark, d).withColumn("score", F.round("score", 6))).select("entry_id", "score")
+
+
+@query()
+def search_diverse_exact(spark, d):
+    return S.diverse_exact(_hits(spark, d).withColumn("score", F.round("score", 6)))
+
+
+@query(f"WITH {hits_sql(terms_cte(WORDS))}, s AS (SELECT entry_id, topic, round(score, 6) AS score FROM hit) SELECT topic, entry_id, score, max(score) OVER (PARTITION BY topic) AS topic_best FROM s QUALIFY row_number() OVER (PARTITION BY topic ORDER BY score DESC, entry_id) <= 5")
+def search_grouped(spark, d):
+    return S.grouped(_hits(spark, d).withColumn("score", F.round("score", 6))).select("topic", "entry_id", "score", "topic_best")
+
+
+@query(f"WITH {hits_sql(terms_cte(WORDS))} SELECT topic, count(*) AS n FROM hit GROUP BY ALL")
+def search_topics(spark, d):
+    return S.by_topic(_hits(spark, d)).select("topic", "n")
+
+
+@query(f"WITH {hits_sql(terms_cte(WORDS))} SELECT count(*) AS n, count(DISTINCT topic) AS topics FROM hit")
+def search_count(spark, d):
+    return S.totals(_hits(spark, d)).select("n", "topics")
+
+
+@query()
+def search_dedup(spark, d):
+    best = S.top(_hits(spark, d).withColumn("score", F.round("score", 6)))
+    return S.remove_similar(best, entries(spark, d))
+
+
+@query()
+def search_full(spark, d):
+    return S.search(spark, entries(spark, d), f"topic:en tag:gotcha {WORDS}", mode="or")
+
+
+# --- topics ---
+
+
+@query(f"WITH {KB} SELECT topic, count(*) AS n, max(ts_min) AS last FROM kb GROUP BY ALL")
+def topic_list(spark, d):
+    return T.topic_list(entries(spark, d))
+
+
+@query(f"WITH {KB}, t AS (SELECT topic, count(*) AS n, max(ts_min) AS last FROM kb GROUP BY ALL) SELECT split_part(topic, '/', 1) AS prefix, CAST(sum(n) AS BIGINT) AS n, max(last) AS last, count(*) AS topics FROM t GROUP BY ALL")
+def topic_rollup(spark, d):
+    return T.rollup(entries(spark, d))
+
+
+@query(f"WITH {KB} SELECT topic, CAST(max(ts_min // 1440) AS INTEGER) AS last_day FROM kb GROUP BY ALL")
+def topic_recency(spark, d):
+    return T.recency(entries(spark, d))
+
+
+@query(f"WITH {KB} SELECT topic, CAST({AS_OF} - max(ts_min // 1440) AS INTEGER) AS age FROM kb GROUP BY ALL HAVING age > 1")
+def topic_prune(spark, d):
+    return T.stale_topics(entries(spark, d), 1)
+
+
+@query(f"WITH {KB} SELECT topic, CAST(max(ts_min // 1440) AS INTEGER) AS last_day FROM kb GROUP BY ALL ORDER BY 2 DESC, 1 LIMIT 15")
+def topic_newest(spark, d):
+    return T.newest(entries(spark, d))
+
+
+@query(f"WITH {KB} SELECT entry_id, topic FROM kb WHERE ts_min // 1440 >= {AS_OF - 7}")
+def topic_recent(spark, d):
+    return T.recent(entries(spark, d)).select("entry_id", "topic")
+
+
+@query(f"WITH {KB} SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM kb) GROUP BY ALL ORDER BY n DESC, tag LIMIT 32")
+def tag_freq(spark, d):
+    return T.top_tags(entries(spark, d))
+
+
+@query(f"WITH {KB} SELECT count(DISTINCT topic) AS topics, count(*) AS entries, min(ts_min) AS first, max(ts_min) AS last FROM kb")
+def kb_stats(spark, d):
+    return T.stats(entries(spark, d))
+
+
+@query(f"WITH {KB} SELECT entry_id, topic, CAST(row_number() OVER (PARTITION BY topic ORDER BY entry_id) - 1 AS INTEGER) AS idx FROM kb")
+def entry_index(spark, d):
+    return T.entry_index(entries(spark, d)).select("entry_id", "topic", "idx")
+
+
+@query(f"WITH {KB} SELECT entry_id FROM kb WHERE contains(lower(body), 'thin')")
+def match_body(spark, d):
+    return T.matching(entries(spark, d), "Thin").select("entry_id")
+
+
+@query(f"WITH {KB}, m AS (SELECT 'src/src' || CAST(user_id % 20 AS VARCHAR) || '.rs' AS path, max(ts) AS mtime FROM events GROUP BY ALL) SELECT entry_id, path FROM kb JOIN m ON split_part(source, ':', 1) = path WHERE epoch(mtime) > CAST(ts_min AS BIGINT) * 60")
+def stale_sources(spark, d):
+    return T.stale_sources(entries(spark, d), file_mtimes(spark, d)).select("entry_id", "path")
+
+
+@query(f"WITH {KB} SELECT entry_id FROM kb WHERE contains(source, 'src7.rs')")
+def source_entries(spark, d):
+    return T.by_source(entries(spark, d), "src7.rs").select("entry_id")
+
+
+@query(f"WITH {KB} SELECT entry_id, CASE topic WHEN 'en/src0' THEN 'english/zero' WHEN 'fr/src1' THEN 'en/src2' ELSE topic END AS topic FROM kb")
+def rename_map(spark, d):
+    names = spark.createDataFrame([("en/src0", "english/zero"), ("fr/src1", "en/src2")], "topic string, renamed string")
+    return T.rename(entries(spark, d), F.broadcast(names)).select("entry_id", "topic")  # a fixed map
+
+
+@query(f"WITH {KB} SELECT entry_id, array_to_string(list_sort(list_filter(list_distinct(list_concat(tags, ['reviewed', 'en'])), lambda x: x <> 'gotcha')), ',') AS tags FROM kb")
+def tag_edit(spark, d):
+    return entries(spark, d).select("entry_id", F.array_join(T.edit_tags(F.col("tags"), ["reviewed", "en"], ["gotcha"]), ",").alias("tags"))
+
+
+@query(f"WITH {KB}, i AS (SELECT DISTINCT user_id AS session, event_id % (SELECT count(*) FROM documents) AS entry_id FROM events) SELECT session, topic, count(*) AS n FROM i JOIN kb USING (entry_id) GROUP BY ALL HAVING count(*) >= 3")
+def focus_topics(spark, d):
+    n = read(spark, d, "documents").count()
+    i = read(spark, d, "events").select(F.col("user_id").alias("session"), (F.col("event_id") % n).alias("entry_id"))
+    return T.focus(i, entries(spark, d))
+
+
+_LAYERS = """l AS (SELECT user_id AS session, event_id % (SELECT count(*) FROM documents) AS entry_id, CAST(event_id % 4 AS INTEGER) AS layer, value AS score FROM events),
+o AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY session, entry_id ORDER BY layer, score DESC) = 1)
+SELECT session, entry_id, layer FROM (SELECT *, row_number() OVER (PARTITION BY session, layer ORDER BY score DESC, entry_id) AS r FROM o) WHERE r <= CASE layer WHEN 1 THEN 5 ELSE 3 END"""
+
+
+@query(f"WITH {_LAYERS}")
+def ambient_layers(spark, d):
+    n = read(spark, d, "documents").count()
+    e = read(spark, d, "events").select(F.col("user_id").alias("session"), (F.col("event_id") % n).alias("entry_id"), (F.col("event_id") % 4).cast("int").alias("layer"), F.col("value").alias("score"))
+    return T.first_layer(e, {0: 3, 1: 5, 2: 3, 3: 3}).select("session", "entry_id", "layer")
+
+
+# --- duplicates ---
+
+_SETS = "sets AS (SELECT topic, entry_id, {} AS terms FROM kb), big AS (SELECT * FROM sets WHERE len(terms) >= {})"
+_J = "CAST(len(list_intersect(a.terms, b.terms)) AS DOUBLE) / (len(a.terms) + len(b.terms) - len(list_intersect(a.terms, b.terms)))"
+_PAIRS = f"WITH {KB}, {_SETS.format(long_terms_sql('body'), 4)} SELECT a.topic, a.entry_id AS a, b.entry_id AS b, round({_J}, 6) AS similarity FROM big a JOIN big b ON a.topic = b.topic AND a.entry_id < b.entry_id AND {_J} > CAST(0.7 AS DOUBLE)"
+
+
+@query(_PAIRS)
+def near_dup_topic(spark, d):
+    return M.similar_pairs(M.token_sets(entries(spark, d), 4), 0.7).withColumn("similarity", F.round("similarity", 6))
+
+
+_ASYM = f"""WITH {KB}, old AS (SELECT entry_id, topic, list_distinct({tokens_sql('body')}) AS w FROM kb), new AS (SELECT entry_id AS new_id, topic, {long_terms_sql('body')} AS t FROM kb),
+p AS (SELECT new_id, entry_id, len(list_intersect(t, w)) AS o, len(t) AS n, len(w) AS m FROM new JOIN old ON new.topic = old.topic WHERE len(t) >= 6 AND len(t) > CAST(0.7 AS DOUBLE) * len(w) AND len(w) > CAST(0.7 AS DOUBLE) * len(t))
+SELECT new_id, entry_id, round(CAST(o AS DOUBLE) / (n + m - o), 6) AS similarity FROM p WHERE CAST(o AS DOUBLE) / (n + m - o) > CAST(0.7 AS DOUBLE)"""
+
+
+@query(_ASYM)
+def near_dup_asym(spark, d):
+    e = entries(spark, d)
+    return M.store_check(e, e.select(F.col("entry_id").alias("new_id"), "topic", "body")).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def batch_dedup(spark, d):
+    sets = M.token_sets(entries(spark, d), 6)
+    return M.batch_keep(sets, M.similar_pairs(sets, 0.7))
+
+
+def _vectors(spark, d):
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("topic"), "embedding")
+
+
+def _cosines_sql(low: float, high: float, more: str = "") -> str:
+    dot = "list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e))"
+    return f"WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, {dot} AS c FROM v a JOIN v b ON a.vec_id < b.vec_id {more}) SELECT a, b, round(c, 6) AS cosine FROM p WHERE c >= CAST({low} AS DOUBLE) AND c < CAST({high} AS DOUBLE)"
+
+
+@query(_cosines_sql(0.4, 2.0))
+def cosine_pairs(spark, d):
+    return M.cosine_pairs(_vectors(spark, d), 0.4).withColumn("cosine", F.round("cosine", 6))
+
+
+@query(_cosines_sql(0.35, 0.45, "AND a.label <> b.label"))
+def cross_links(spark, d):
+    return M.cosine_pairs(_vectors(spark, d), 0.35, 0.45, across=True).withColumn("cosine", F.round("cosine", 6))
+
+
+@query("SELECT topic, CAST(pos AS INTEGER) AS pos, round(avg(v), 6) AS value FROM (SELECT label AS topic, unnest(range(len(embedding))) AS pos, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings) GROUP BY topic, pos")
+def topic_centroids(spark, d):
+    return M.centroids(_vectors(spark, d)).withColumn("value", F.round("value", 6))
+
+
+@query(
+    "WITH c AS (SELECT topic, pos, avg(v) AS x FROM (SELECT label AS topic, unnest(range(len(embedding))) AS pos, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings) GROUP BY topic, pos), n AS (SELECT topic, sqrt(sum(x * x)) AS n FROM c GROUP BY ALL), "
+    "p AS (SELECT a.topic AS a, b.topic AS b, sum(a.x * b.x) AS dot FROM c a JOIN c b ON a.pos = b.pos AND a.topic < b.topic GROUP BY ALL) SELECT a, b, round(dot / (x.n * y.n), 6) AS cosine FROM p JOIN n x ON x.topic = a JOIN n y ON y.topic = b WHERE dot / (x.n * y.n) > CAST(0.1 AS DOUBLE)"
+)
+def topic_overlap(spark, d):
+    return M.centroid_overlap(_vectors(spark, d), 0.1).withColumn("cosine", F.round("cosine", 6))
+
+
+# --- briefing ---
+
+_FIRST = r"coalesce(list_filter(list_transform(string_split_regex(regexp_replace(body, '\n$', ''), '\r?\n'), lambda s: trim(s, e' \t\r\n\v\f')), lambda s: s <> '' AND NOT regexp_matches(s, '^\[(tags|source|type|modified|tier|confidence|links|linked from):'))[1], '')"
+_REL = f"""{KB}, {POST}, r AS (SELECT kb.*, greatest({AS_OF} - ts_min // 1440, 0) AS days_old, CASE WHEN topic = 'en/src1' THEN CAST(10 AS DOUBLE) WHEN topic LIKE 'en/src1/%' THEN CAST(9 AS DOUBLE) END AS base,
+ (SELECT sum(tf) FROM post WHERE post.entry_id = kb.entry_id AND list_contains({terms_sql("'en/src1'")}, term)) AS tf FROM kb),
+rel AS (SELECT *, (coalesce(base, 0) + coalesce(tf, 0)) * (1 + 1 / (1 + days_old / CAST(7 AS DOUBLE))) * confidence AS relevance FROM r WHERE base IS NOT NULL OR tf IS NOT NULL)"""
+
+
+def _relevant(spark, d):
+    e = entries(spark, d)
+    return B.relevance(e, I.postings(e), "en/src1")
+
+
+@query(f"WITH {_REL} SELECT entry_id, round(relevance, 6) AS relevance, CAST(days_old AS INTEGER) AS days_old FROM rel")
+def brief_relevance(spark, d):
+    return _relevant(spark, d).select("entry_id", F.round("relevance", 6).alias("relevance"), "days_old")
+
+
+_CATEGORY = "CASE " + " ".join(f"WHEN {' OR '.join(f'''list_contains(tags, '{w}') OR contains(lower({_FIRST}), '{w}')''' for w in words)} THEN '{name}'" for name, words in B.CATEGORIES) + " ELSE 'UNTAGGED' END"
+
+
+@query(f"WITH {KB} SELECT entry_id, {_CATEGORY} AS category FROM kb")
+def brief_category(spark, d):
+    return entries(spark, d).select("entry_id", B.category(F.col("tags"), F.col("body")).alias("category"))
+
+
+_DEDUP = f"""WITH {KB}, k AS (SELECT *, CASE WHEN strlen(lower({_FIRST})) >= 10 THEN lower({_FIRST}) END AS key, confidence AS relevance FROM kb),
+b AS (SELECT key, arg_max(entry_id, struct_pack(a := relevance, b := entry_id)) AS best, arg_max(topic, struct_pack(a := relevance, b := entry_id)) AS best_topic FROM k WHERE key IS NOT NULL GROUP BY key),
+j AS (SELECT k.*, best, best_topic, coalesce(k.entry_id <> best AND k.topic <> best_topic, false) AS gone FROM k LEFT JOIN b ON k.key = b.key),
+o AS (SELECT key, list_sort(list(topic)) AS others FROM j WHERE gone GROUP BY key)
+SELECT entry_id, CASE WHEN entry_id = best THEN coalesce(array_to_string(others, ','), '') ELSE '' END AS also_in FROM j LEFT JOIN o ON j.key = o.key WHERE NOT gone"""
+
+
+@query(_DEDUP)
+def brief_dedup(spark, d):
+    return B.dedup(entries(spark, d).withColumn("relevance", F.col("confidence"))).select("entry_id", F.array_join("also_in", ",").alias("also_in"))
+
+
+@query()
+def brief_chain(spark, d):
+    return B.chains(_relevant(spark, d)).select("entry_id", F.round("relevance", 6).alias("relevance"), "chain")
+
+
+@query()
+def brief_supersede_exact(spark, d):
+    return B.supersede(entries(spark, d).withColumn("days_old", F.lit(AS_OF) - day(F.col("ts_min"))))
+
+
+@query()
+def brief_scan(spark, d):
+    return B.briefing(entries(spark, d), "en/src1")
+
+
+@query(f"WITH {_REL} SELECT topic, count(*) AS n, CAST(min(days_old) AS INTEGER) AS newest FROM rel GROUP BY ALL")
+def brief_topics(spark, d):
+    return B.topic_info(_relevant(spark, d))
+
+
+# --- text ---
+
+
+@query()
+def snippet(spark, d):
+    date = F.date_format(F.timestamp_seconds(F.col("ts_min").cast("long") * 60), "yyyy-MM-dd HH:mm")
+    return entries(spark, d).select("entry_id", X.snippet(F.col("topic"), date, F.col("body")).alias("snippet"))
+
+
+_BODY = "'[tags: ' || lang || ', b' || source || ']' || chr(10) || '[source: ' || source || '.rs]' || chr(10) || '[confidence: 0.' || CAST(doc_id % 9 + 1 AS VARCHAR) || ']' || chr(10) || 'x'"
+
+
+@query(f"SELECT doc_id, regexp_extract(b, '\\[tags: (.*)\\]', 1) AS tags, regexp_extract(b, '\\[source: (.*)\\]', 1) AS source, CAST(regexp_extract(b, '\\[confidence: (.*)\\]', 1) AS DOUBLE) AS confidence FROM (SELECT doc_id, {_BODY} AS b FROM documents)")
+def metadata_parse(spark, d):
+    b = F.concat(F.lit("[tags: "), "lang", F.lit(", b"), "source", F.lit("]\n[source: "), "source", F.lit(".rs]\n[confidence: 0."), (F.col("doc_id") % 9 + 1).cast("string"), F.lit("]\nx"))
+    return read(spark, d, "documents").select("doc_id", X.metadata(b).alias("m")).select("doc_id", F.array_join("m.tags", ", ").alias("tags"), "m.source", "m.confidence")
+
+
+def _single(w: str) -> str:
+    return f"CASE WHEN strlen({w}) <= 3 THEN {w} WHEN {w} LIKE '%ies' AND strlen({w}) >= 5 THEN regexp_replace({w}, 'ies$', 'y') WHEN {w} LIKE '%sses' THEN regexp_replace({w}, 'es$', '') WHEN {w} LIKE '%s' AND NOT regexp_matches({w}, '(ss|us|is)$') THEN regexp_replace({w}, 's$', '') ELSE {w} END"
+
+
+@query(f"SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_transform(list_transform(string_split(replace(p_name, ' ', 's,') || 's,Gaps, ' || p_type, ','), lambda x: trim(x)), lambda w: lower({_single('w')})), lambda x: x <> ''))), ', ') AS tags FROM part")
+def normalize_tags(spark, d):
+    raw = F.concat(F.replace("p_name", F.lit(" "), F.lit("s,")), F.lit("s,Gaps, "), "p_type")
+    return read(spark, d, "part").select("p_partkey", X.normalize_tags(raw).alias("tags"))
+
+
+@query("SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(regexp_replace(lower(p_brand || '//' || p_name || '/ #' || p_type || '-'), '[^\\p{L}\\p{N}/-]', '-', 'g'), '/'), lambda x: trim(x, '-')), lambda x: x <> ''), '/') AS topic FROM part")
+def sanitize_topic(spark, d):
+    return read(spark, d, "part").select("p_partkey", X.sanitize_topic(F.concat("p_brand", F.lit("//"), "p_name", F.lit("/ #"), "p_type", F.lit("-"))).alias("topic"))
+
+
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'gotcha' WHEN 1 THEN 'gap' WHEN 2 THEN 'data-flow' END AS tags FROM part")
+def auto_tags(spark, d):
+    lead = F.when(F.col("p_size") % 4 == 0, "Bug: ").when(F.col("p_size") % 4 == 1, " TODO: ").when(F.col("p_size") % 4 == 2, "\nflow: ").otherwise("")
+    return read(spark, d, "part").select("p_partkey", X.auto_tags(F.concat(lead, "p_name")).alias("tags"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.' || json_keys(props)[1]) AS VARCHAR) AS first_value, len(json_keys(props)) AS n_keys FROM events")
+def json_props(spark, d):
+    e = read(spark, d, "events")
+    key = F.get(F.json_object_keys("props"), F.lit(0))
+    m = F.from_json("props", "map<string,string>")
+    return e.select("event_id", F.element_at(m, key).alias("first_value"), F.size(F.json_object_keys("props")).cast("long").alias("n_keys"))
+
+
+@query(f"WITH {KB} SELECT topic, entry_id, ts_min, strlen(body) AS n FROM kb WHERE body <> ''")
+def json_export(spark, d):
+    e = entries(spark, d)
+    back = L.to_json(e).select("topic", F.col("entries").alias("rows"))
+    rows = back.select("topic", F.explode(F.from_json("rows", "array<struct<ts:int,body:string>>")).alias("r")).select("topic", F.col("r.ts").alias("ts_min"), F.octet_length("r.body").cast("long").alias("n"))
+    return rows.join(e.select("topic", "entry_id", "ts_min"), ["topic", "ts_min"]).select("topic", "entry_id", "ts_min", "n")
+
+
+# --- code ---
+
+_LINES = "lines AS (SELECT page_id AS path, ln AS line, x AS text FROM (SELECT page_id, unnest(range(1, len(a) + 1)) AS ln, unnest(a) AS x FROM (SELECT page_id, string_split(html, '><') AS a FROM pages)))"
+
+
+def _page_lines(spark, d):
+    a = F.split("html", "><")
+    return read(spark, d, "pages").select(F.col("page_id").alias("path"), F.posexplode(a).alias("line", "text")).withColumn("line", F.col("line") + 1)
+
+
+_PAGE_RULES = [("nav", ["nav", "href"]), ("code", ["script", "style"]), ("text", ["<p", "p>", "article"])]
+
+
+@query(f"WITH {_LINES} SELECT path, CAST(line AS INTEGER) AS line, k AS kind FROM (SELECT path, line, unnest(list_filter([{', '.join('CASE WHEN ' + ' OR '.join(f'''contains(text, '{w}')''' for w in ws) + f''' THEN '{k}' END''' for k, ws in _PAGE_RULES)}], lambda x: x IS NOT NULL)) AS k FROM lines WHERE NOT regexp_matches(trim(text), '^(//|/\\*|\\* )'))")
+def line_patterns(spark, d):
+    return C.patterns(_page_lines(spark, d), _PAGE_RULES).select("path", "line", "kind")
+
+
+_IDS = "ids AS (SELECT path, line, unnest(list_distinct(regexp_extract_all(text, '([A-Za-z0-9_]+)'))) AS name FROM lines WHERE NOT regexp_matches(trim(text), '^(//|/\\*|\\* )'))"
+
+
+@query(f"WITH {_LINES}, {_IDS}, n AS (SELECT name, count(*) AS n FROM ids GROUP BY ALL) SELECT name, n FROM n WHERE strlen(name) >= 4")
+def word_usages(spark, d):
+    return C.identifiers(_page_lines(spark, d)).groupBy("name").agg(F.count("*").alias("n")).filter(F.octet_length("name") >= 4)
+
+
+_DEFS = "defs AS (SELECT path AS home, line, regexp_extract(text, '^h1>([A-Za-z0-9_]+)', 1) AS name FROM lines WHERE regexp_matches(text, '^h1>[A-Za-z0-9_]{4,}'))"
+
+
+def _defs(lines):
+    return lines.select(F.regexp_extract("text", "^h1>([A-Za-z0-9_]+)", 1).alias("name"), "path", "line").filter(F.octet_length("name") >= 4)
+
+
+@query(f"WITH {_LINES}, {_DEFS}, w AS (SELECT DISTINCT path, unnest(regexp_extract_all(text, '([A-Za-z0-9_]+)')) AS name FROM lines) SELECT least(path, home) AS a, greatest(path, home) AS b, count(*) AS n FROM w JOIN defs USING (name) WHERE path <> home GROUP BY ALL HAVING count(*) >= 2")
+def coupling(spark, d):
+    lines = _page_lines(spark, d)
+    return C.coupling(lines, _defs(lines))
+
+
+@query(f"WITH {_LINES}, {_IDS}, {_DEFS} SELECT defs.name, home AS def_path, ids.path, CAST(ids.line AS INTEGER) AS line FROM defs JOIN ids USING (name) WHERE home <> ids.path OR defs.line <> ids.line")
+def symbol_usages(spark, d):
+    lines = _page_lines(spark, d)
+    return C.usages(lines, _defs(lines)).select("name", "def_path", "path", "line")
+
+
+# --- sessions ---
+
+_EV = """ev AS (SELECT event_id, ts, user_id AS key, CASE event_type WHEN 'view' THEN 'Read' WHEN 'click' THEN 'Edit' WHEN 'purchase' THEN 'Bash' WHEN 'error' THEN 'Bash' WHEN 'signup' THEN 'store' ELSE 'Other' END AS tool,
+ CASE event_type WHEN 'purchase' THEN true WHEN 'error' THEN false END AS ok FROM events)"""
+
+
+def _sessions_sql(gap: int, more: str = "") -> str:
+    return f"WITH {_EV}, g AS (SELECT *, coalesce(CAST(epoch_us(ts) - lag(epoch_us(ts)) OVER w >= CAST({gap} AS BIGINT) * 1000000 AS INTEGER), 0) AS b FROM ev WINDOW w AS (PARTITION BY key ORDER BY ts, event_id)), s AS (SELECT *, sum(b) OVER (PARTITION BY key ORDER BY ts, event_id) AS s FROM g) SELECT key, min(ts) AS start, max(ts) AS last, count(*) AS n FROM s GROUP BY key, s {more}"
+
+
+@query(_sessions_sql(4 * 3600))
+def sessions_4h(spark, d):
+    return Z.sessions(tool_events(spark, d)).select("key", "start", "last", "n")
+
+
+@query(_sessions_sql(300, "HAVING count(*) >= 2"))
+def sessions_5m_threshold(spark, d):
+    return Z.busy_sessions(tool_events(spark, d), least=2).select("key", "start", "last", "n")
+
+
+@query()
+def phase_machine(spark, d):
+    return Z.phases(tool_events(spark, d))
+
+
+@query(f"WITH {_EV}, s AS (SELECT *, sum(CASE WHEN tool = 'store' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ts, event_id) AS seg FROM ev) SELECT event_id, key, CAST(row_number() OVER (PARTITION BY key, seg ORDER BY ts, event_id) AS INTEGER) AS calls FROM s")
+def calls_since_store(spark, d):
+    return Z.calls_since_store(tool_events(spark, d))
+
+
+@query(f"WITH {_EV}, b AS (SELECT *, lag(ok) OVER (PARTITION BY key ORDER BY ts, event_id) AS p FROM ev WHERE tool = 'Bash') SELECT event_id, key FROM b WHERE ok AND NOT p")
+def build_resolved(spark, d):
+    return Z.resolved_builds(tool_events(spark, d))
+
+
+@query(f"WITH {_EV}, g AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY key ORDER BY ts, event_id) AS gap FROM ev) SELECT event_id, key FROM g WHERE gap IS NULL OR gap >= CAST(7200 AS BIGINT) * 1000000")
+def rate_limit(spark, d):
+    return Z.spaced(tool_events(spark, d), 7200)
+
+
+@query()
+def rate_limit_exact(spark, d):
+    return Z.rate_limit(tool_events(spark, d), 7200)
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n FROM events GROUP BY ALL")
+def periodic_hourly(spark, d):
+    return Z.periodic(tool_events(spark, d), "1 hour")
+
+
+@query("SELECT session, entry_id FROM (SELECT DISTINCT user_id AS session, event_id % 97 AS entry_id FROM events)")
+def injected_once(spark, d):
+    e = read(spark, d, "events").select("ts", F.col("user_id").alias("session"), (F.col("event_id") % 97).alias("entry_id"))
+    return Z.once_per_session(e).select("session", "entry_id")
+
+
+# --- prompts ---
+
+
+@query(f"WITH {KB}, s AS (SELECT *, sum(strlen(topic) + 30 + strlen(source)) OVER (PARTITION BY topic ORDER BY entry_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS spent FROM kb) SELECT topic, entry_id FROM s WHERE coalesce(spent, 0) < 400")
+def prompt_budget(spark, d):
+    return T.budgeted(entries(spark, d), F.octet_length("topic") + 30 + F.octet_length("source"), 400, ["topic"], ["entry_id"]).select("topic", "entry_id")
+
+
+@query(f"WITH {KB}, g AS (SELECT topic, count(*) AS n, arg_min(body, entry_id) AS body FROM kb GROUP BY ALL) SELECT topic, n, CASE WHEN strlen({_FIRST}) <= 200 THEN {_FIRST} END AS sample FROM g")
+def drift_sample(spark, d):
+    e = entries(spark, d)
+    g = T.drift_sample(e)
+    whole = e.groupBy("topic").agg(F.min_by("body", "entry_id").alias("body"))
+    return g.join(whole, "topic").select("topic", "n", F.when(F.octet_length(X.first_content("body")) <= 200, F.col("sample")).alias("sample"))
+
+
+@query(f"WITH {KB}, t AS (SELECT topic FROM kb GROUP BY ALL ORDER BY count(*) DESC, topic LIMIT 5) SELECT topic, entry_id, CAST(row_number() OVER (PARTITION BY topic ORDER BY ts_min, entry_id) AS INTEGER) AS age_rank FROM kb WHERE topic IN (SELECT topic FROM t)")
+def stale_candidates(spark, d):
+    return T.stale_candidates(entries(spark, d)).select("topic", "entry_id", "age_rank")
+
+
+@query()
+def generated(spark, d):
+    return P.generate(P.prompt(P.synthesis(entries(spark, d), -1), "Sum up:"))

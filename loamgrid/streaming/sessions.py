@@ -17,6 +17,10 @@ LATE = "10 minutes"
 BUILD_FRESH_S = 300
 
 
+def _micros() -> Column:
+    return F.unix_micros(F.col("ts").cast("timestamp"))
+
+
 def sessions(events: DataFrame, gap: str = "4 hours") -> DataFrame:
     """(key, start, end, n): runs of a key's events with gaps below ``gap``. Works on batches and streams."""
     e = events.withWatermark("ts", LATE) if events.isStreaming else events
@@ -31,7 +35,7 @@ def busy_sessions(events: DataFrame, gap: str = "5 minutes", least: int = 20) ->
 def numbered(events: DataFrame, gap_s: int = 4 * 3600) -> DataFrame:
     """Events with their session's number within the key, by a running sum over gaps."""
     w = Window.partitionBy("key").orderBy("ts", "event_id")
-    new = (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w) >= gap_s * 1_000_000).cast("int")
+    new = (_micros() - F.lag(_micros()).over(w) >= gap_s * 1_000_000).cast("int")
     return events.withColumn("session", F.sum(F.coalesce(new, F.lit(0))).over(w))
 
 
@@ -65,7 +69,7 @@ def phases(events: DataFrame) -> DataFrame:
                 out.append(state[0])
             yield pd.DataFrame({"event_id": b.event_id, "key": b.key, "phase": out})
 
-    e = events.select("event_id", (F.unix_micros("ts") / 1e6).alias("t"), "key", "tool", "ok", "ts")
+    e = events.select("event_id", (_micros() / 1e6).alias("t"), "key", "tool", "ok", "ts")
     return e.repartition("key").sortWithinPartitions("key", "ts", "event_id").drop("ts").mapInPandas(run, "event_id long, key long, phase string")
 
 
@@ -87,7 +91,7 @@ def phases_stream(events: DataFrame) -> DataFrame:
         state.setTimeoutTimestamp(max(int(rows.t.max() * 1000) + 4 * 3_600_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"event_id": rows.event_id, "key": key[0], "phase": out})
 
-    e = events.withWatermark("ts", LATE).select("event_id", (F.unix_micros("ts") / 1e6).alias("t"), "key", "tool", "ok", "ts")
+    e = events.withWatermark("ts", LATE).select("event_id", (_micros() / 1e6).alias("t"), "key", "tool", "ok", "ts")
     return e.groupBy("key").applyInPandasWithState(run, "event_id long, key long, phase string", "phase string, build int, t double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -113,7 +117,7 @@ def resolved_builds(events: DataFrame) -> DataFrame:
 def spaced(events: DataFrame, least_s: int = 120) -> DataFrame:
     """(event_id, key): events at least ``least_s`` after the key's previous one."""
     w = Window.partitionBy("key").orderBy("ts", "event_id")
-    gap = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w)
+    gap = _micros() - F.lag(_micros()).over(w)
     return events.withColumn("gap", gap).filter(F.col("gap").isNull() | (F.col("gap") >= least_s * 1_000_000)).select("event_id", "key")
 
 
@@ -131,7 +135,7 @@ def rate_limit(events: DataFrame, least_s: int = 120) -> DataFrame:
                 keep.append(ok)
             yield b.loc[keep, ["event_id", "key"]]
 
-    e = events.select("event_id", "key", F.unix_micros("ts").alias("t"))
+    e = events.select("event_id", "key", _micros().alias("t"))
     return e.repartition("key").sortWithinPartitions("key", "t", "event_id").mapInPandas(run, "event_id long, key long")
 
 
