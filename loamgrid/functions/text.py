@@ -178,7 +178,7 @@ def glob_to_like(pattern: str) -> str:
 
 def contains_word(line: Column, word: Column) -> Column:
     """The word stands in the line with no identifier character at either side."""
-    return line.rlike(F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), word, F.lit(r"\E(?![A-Za-z0-9_])")))
+    return F.rlike(line, F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), word, F.lit(r"\E(?![A-Za-z0-9_])")))
 
 
 def has_timing(line: Column | str) -> Column:

@@ -19,7 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 MAGIC, VERSION = b"LGKB", 1
 SCHEMA = "file string, kind string, log_offset long, topic string, body string, ts_min int, target long"
-_ENTRY, _TOMB = struct.Struct("<BIi2x"), struct.Struct("<3xI")
+_ENTRY, _TOMB = "<BIi2x", "<3xI"
+_ENTRY_SIZE, _TOMB_SIZE = struct.calcsize(_ENTRY), struct.calcsize(_TOMB)
 
 
 def header() -> bytes:
@@ -30,11 +31,11 @@ def pack_entry(topic: str, body: str, ts_min: int) -> bytes:
     t, b = topic.encode(), body.encode()
     if len(t) > 255:
         raise ValueError("a topic has at most 255 bytes")
-    return b"\x01" + _ENTRY.pack(len(t), len(b), ts_min) + t + b
+    return b"\x01" + struct.pack(_ENTRY, len(t), len(b), ts_min) + t + b
 
 
 def pack_delete(target: int) -> bytes:
-    return b"\x02" + _TOMB.pack(target)
+    return b"\x02" + struct.pack(_TOMB, target)
 
 
 def parse(data: bytes, start: int = 8) -> Iterator[tuple]:
@@ -42,16 +43,16 @@ def parse(data: bytes, start: int = 8) -> Iterator[tuple]:
     at = start
     while at < len(data):
         kind = data[at]
-        if kind == 1 and at + 1 + _ENTRY.size <= len(data):
-            n_topic, n_body, ts = _ENTRY.unpack_from(data, at + 1)
-            body = at + 1 + _ENTRY.size + n_topic
+        if kind == 1 and at + 1 + _ENTRY_SIZE <= len(data):
+            n_topic, n_body, ts = struct.unpack_from(_ENTRY, data, at + 1)
+            body = at + 1 + _ENTRY_SIZE + n_topic
             if body + n_body > len(data):
                 return
             yield "entry", at, data[body - n_topic : body].decode("utf-8", "replace"), data[body : body + n_body].decode("utf-8", "replace"), ts, None, body + n_body
             at = body + n_body
-        elif kind == 2 and at + 1 + _TOMB.size <= len(data):
-            yield "delete", at, None, None, None, _TOMB.unpack_from(data, at + 1)[0], at + 1 + _TOMB.size
-            at += 1 + _TOMB.size
+        elif kind == 2 and at + 1 + _TOMB_SIZE <= len(data):
+            yield "delete", at, None, None, None, struct.unpack_from(_TOMB, data, at + 1)[0], at + 1 + _TOMB_SIZE
+            at += 1 + _TOMB_SIZE
         else:
             return
 
@@ -206,4 +207,4 @@ def source_tree(spark: SparkSession, root: str) -> DataFrame:
     rel = F.regexp_replace("path", r"^file:/*", "/")
     rel = F.substring(rel, len(root.rstrip("/")) + 2, 1 << 30)
     kept = ~rel.rlike(r"(^|/)(\.[^/]*|" + "|".join(SKIPPED) + ")/") & (F.size(F.split(rel, "/")) <= 13)
-    return f.select(rel.alias("path"), F.col("content").cast("string").alias("content")).filter(kept).select("path", F.posexplode(F.split("content", r"\r?\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    return f.filter(kept).select(rel.alias("path"), F.col("content").cast("string").alias("content")).select("path", F.posexplode(F.split("content", r"\r?\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
