@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm._core import byte_views, prefix_hash, row_chunks, share, span_hash, table
+from loamgrid.llm._core import byte_views, checkpoint, prefix_hash, row_chunks, share, span_hash, table
 
 GRAM, BITS, SEGMENT, DICT_BYTES, PER_TASK = 8, 17, 64, 65_536, 512
 LEVEL = 3
@@ -132,7 +132,7 @@ def dictionaries(docs: DataFrame, domain: Column, size: int = DICT_BYTES) -> tup
     sent = share(docs.sparkSession, weight.astype(np.float32))
     # the driver gets what two dictionaries can need, whatever the corpus
     keep = 4 * size // SEGMENT
-    best = rows.mapInArrow(_offer(sent), "kind int, gain double, segment binary")
+    best = checkpoint(rows.mapInArrow(_offer(sent), "kind int, gain double, segment binary"))  # a few segments a task; the texts are read once
     out = []
     for kind in (0, 1):
         got = best.filter(F.col("kind") == kind).groupBy("segment").agg(F.max("gain").alias("gain")).orderBy(F.desc("gain"), "segment").limit(keep).collect()
