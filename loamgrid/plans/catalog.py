@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loamgrid.functions import text as X
 from loamgrid.operators import brief as B
 from loamgrid.operators import code as C
+from loamgrid.operators import context as N
 from loamgrid.operators import index as I
 from loamgrid.operators import prompts as P
 from loamgrid.operators import search as S
@@ -285,6 +286,31 @@ def search_full(spark, d):
     return S.search(spark, entries(spark, d), f"topic:en tag:gotcha {WORDS}", mode="or")
 
 
+_PROMPTS = f"""p AS (SELECT conv_id * 1000 + turn AS query_id, text, contains(text, '?') OR regexp_matches(text, '^([Hh]ow |[Ww]hat.|[Ww]hy |[Ww]her.)') AS question, {terms_sql('text')} AS ts FROM conversations WHERE role = 'user'),
+g AS (SELECT * FROM p WHERE strlen(text) BETWEEN 10 AND 500 AND len(ts) >= CASE WHEN question THEN 2 ELSE 3 END)"""
+_PROMPT_Q = "SELECT query_id, unnest(ts[1:6]) AS term, len(ts[1:6]) AS n_terms FROM g"
+_PROMPT_TOP = """t AS (SELECT hit.*, question, max(CASE WHEN hits = n_terms THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS a FROM hit JOIN g USING (query_id)),
+u AS (SELECT query_id, entry_id, round(score, 6) AS score FROM t WHERE hits = n_terms OR (question AND a = 0))
+SELECT query_id, entry_id, score FROM u QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) <= 3"""
+
+
+@query(f"WITH {_PROMPTS}, {hits_sql(_PROMPT_Q)}, {_PROMPT_TOP}")
+def prompt_context(spark, d):
+    c = read(spark, d, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    return N.for_prompts(entries(spark, d), c).select("query_id", "entry_id", "score")
+
+
+@query(f"WITH {_PROMPTS} SELECT query_id, question FROM g")
+def prompt_gate(spark, d):
+    c = read(spark, d, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    return N.gate(c).select("query_id", "question")
+
+
+@query()
+def ambient_context(spark, d):
+    return N.ambient(spark, entries(spark, d), "src/src7.rs", ["thin", "hand"], ["erst"])
+
+
 # --- topics ---
 
 

@@ -10,7 +10,7 @@ import pytest
 from loamgrid.plans import catalog
 from tests.conftest import SF
 
-TABLES = "documents labels benchmark pages embeddings events part".split()
+TABLES = "documents labels benchmark pages embeddings events part conversations".split()
 
 
 @pytest.fixture(scope="module")
