@@ -37,16 +37,20 @@ _SLACK = 1e-6
 
 def _units(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Double-precision matrix of the packed float or double vectors, and its rows' norms."""
-    width = dim * 8
     raw = b"".join(v.as_py() for v in column)
-    x = np.frombuffer(raw, "<f8").reshape(-1, dim) if width else np.zeros((0, 0))
+    kind = "<f4" if len(raw) == 4 * dim * len(column) else "<f8"
+    x = np.frombuffer(raw, kind).reshape(-1, dim).astype(np.float64)
     return x, np.sqrt(np.einsum("ij,ij->i", x, x))
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, dim, data): components as doubles; dim 0 for vectors that link with nothing."""
+    """(vec_id, dim, data): components as they are stored; dim 0 for vectors that link with nothing.
+
+    Floats travel as floats and are made doubles where they are compared, which is exact.
+    """
     for batch in batches:
         dims, data = [], []
+        kind = "<f4" if pa.types.is_float32(batch.column(1).type.value_type) else "<f8"
         column = batch.column(1)
         for v in column:
             values = v.values if v.is_valid else None
@@ -65,7 +69,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 x = x / top
             dims.append(len(x))
-            data.append((x + 0.0).tobytes())
+            data.append((x + 0.0).astype(kind).tobytes())  # + 0.0: no negative zeros
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims, pa.int32()), pa.array(data, pa.binary())], ["vec_id", "dim", "data"])
 
 
