@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import sys
 import types
@@ -46,13 +47,34 @@ def crc_mod(column: str, modulus: int) -> Column:
 
 
 def worker_state(name: str) -> types.ModuleType:
-    """A namespace that lives as long as the Python worker, so caches outlast one task."""
+    """A namespace that lives as long as the Python worker, so caches outlast one task.
+
+    Workers serve many operators in turn; only the last one's namespace is kept.
+    """
     key = f"_loamgrid_state_{name}"
     if key not in sys.modules:
+        for other in [k for k in sys.modules if k.startswith("_loamgrid_state_")]:
+            del sys.modules[other]
         sys.modules[key] = types.ModuleType(key)
     return sys.modules[key]
 
 
+def released(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The task, after which its worker gives freed memory back to the system instead of hoarding it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
+
+
 def share(spark: SparkSession, value: object) -> Callable[[], object]:
     """Broadcast an object of any class of this package; the result gives it back in a task.
 
@@ -64,6 +86,7 @@ def share(spark: SparkSession, value: object) -> Callable[[], object]:
     def get() -> object:
         state = worker_state("shared")
         if getattr(state, "name", None) != name:
+            state.value = None
             state.value, state.name = pickle.loads(sent.value), name
         return state.value
 
@@ -234,7 +257,7 @@ def components(edges: DataFrame, one_task: int = 2_000_000) -> DataFrame:
         return _contract(batches, 1 << 60)
 
     schema = "a long, b long"
-    e = checkpoint(edges.select("a", "b").mapInArrow(local, schema))
+    e = checkpoint(edges.select("a", "b").mapInArrow(released(local), schema))
     while e.count() > one_task:
         # large star then small star (Kiveris et al.): both keep connectivity and shorten trees
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -242,8 +265,8 @@ def components(edges: DataFrame, one_task: int = 2_000_000) -> DataFrame:
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low2, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low2.select("a", F.col("m").alias("b")))
-        after = checkpoint(small.distinct().mapInArrow(local, schema).distinct())
+        after = checkpoint(small.distinct().mapInArrow(released(local), schema).distinct())
         if after.exceptAll(e.distinct()).isEmpty() and e.distinct().count() == after.count():
             return after.select(F.col("a").alias("node"), F.col("b").alias("component"))
         e = after
-    return e.coalesce(1).mapInArrow(final, schema).select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return e.coalesce(1).mapInArrow(released(final), schema).select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamgrid.llm._core import table, worker_state
+from loamgrid.llm._core import released, table, worker_state
 
 #: Bounds of the lazily built tables; beyond them they start afresh, which changes no result.
-MAX_STATES, MAX_PIECES, MAX_PAIRS, CACHED_CHARS = 200_000, 250_000, 600_000, 64
+MAX_STATES, MAX_PIECES, MAX_PAIRS, CACHED_CHARS = 120_000, 150_000, 400_000, 64
 #: Bytes after which agreed tokens leave the transducer; an agreement takes at most the longest token.
 LOOKAHEAD = 256
 
@@ -363,7 +363,7 @@ def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None)
                 text_sha.append(sha(b"".join(map(tokens.__getitem__, ids))).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

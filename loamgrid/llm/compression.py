@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm._core import byte_views, checkpoint, prefix_hash, row_chunks, share, span_hash, table
+from loamgrid.llm._core import byte_views, checkpoint, prefix_hash, released, row_chunks, share, span_hash, table
 
 GRAM, BITS, SEGMENT, DICT_BYTES, PER_TASK = 8, 17, 64, 65_536, 512
 LEVEL = 3
@@ -122,7 +122,7 @@ def _assemble(rows: list[tuple[float, bytes]], counts: np.ndarray, size: int) ->
 def dictionaries(docs: DataFrame, domain: Column, size: int = DICT_BYTES) -> tuple[bytes, bytes]:
     """(general, in-domain) dictionaries of the corpus; ``domain`` marks the documents of the domain."""
     rows = docs.select("text", F.coalesce(domain, F.lit(False)).cast("int").alias("inside"))
-    t = rows.mapInArrow(_count, "bucket long, total long, domain long").groupBy("bucket").agg(F.sum("total").alias("total"), F.sum("domain").alias("domain")).toArrow()  # at most 2**BITS rows
+    t = rows.mapInArrow(released(_count), "bucket long, total long, domain long").groupBy("bucket").agg(F.sum("total").alias("total"), F.sum("domain").alias("domain")).toArrow()  # at most 2**BITS rows
     counts = np.zeros((2, 1 << BITS))
     at = np.asarray(t.column("bucket"))
     counts[0, at], counts[1, at] = np.asarray(t.column("total")), np.asarray(t.column("domain"))
@@ -132,7 +132,7 @@ def dictionaries(docs: DataFrame, domain: Column, size: int = DICT_BYTES) -> tup
     sent = share(docs.sparkSession, weight.astype(np.float32))
     # the driver gets what two dictionaries can need, whatever the corpus
     keep = 4 * size // SEGMENT
-    best = checkpoint(rows.mapInArrow(_offer(sent), "kind int, gain double, segment binary"))  # a few segments a task; the texts are read once
+    best = checkpoint(rows.mapInArrow(released(_offer(sent)), "kind int, gain double, segment binary"))  # a few segments a task; the texts are read once
     out = []
     for kind in (0, 1):
         got = best.filter(F.col("kind") == kind).groupBy("segment").agg(F.max("gain").alias("gain")).orderBy(F.desc("gain"), "segment").limit(keep).collect()
@@ -164,7 +164,7 @@ def score(docs: DataFrame, general: bytes, inside: bytes, level: int = LEVEL) ->
             g, d = np.array(bits[0], np.int64), np.array(bits[1], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(g), pa.array(d), pa.array((g - d) / np.maximum(g, 1))], ["doc_id", "n_bytes", "bits_general", "bits_domain", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, bits_general long, bits_domain long, score double")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, n_bytes long, bits_general long, bits_domain long, score double")
 
 
 def evaluate(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamgrid.llm._core import byte_views, prefix_hash, row_chunks, share, span_hash, table, winnow
+from loamgrid.llm._core import byte_views, prefix_hash, released, row_chunks, share, span_hash, table, winnow
 
 WINDOW, K = 13, 5
 #: Items' words that may be broadcast (8 bytes a word and about as much again for its k-grams).
@@ -184,7 +184,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
         index = share(docs.sparkSession, Index(t.column("text"), t.column("item_id").to_pylist(), window, k))
         own = T._parse_datatype_string(SCHEMA).fields
         schema = T.StructType(own + [docs.schema[c] for c in keep])
-        return docs.mapInArrow(lambda batches: _scan(batches, index(), list(keep)), schema)
+        return docs.mapInArrow(released(lambda batches: _scan(batches, index(), list(keep))), schema)
     found = _joined(docs.select("doc_id", "text"), items, window, k)
     if not keep:
         return found.drop("doc_key")
@@ -204,7 +204,7 @@ def _joined(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame
             raw, off = byte_views(batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(n[n < window]).astype(np.int32)) if len(n := np.diff(word_hashes(raw, off)[1])) else pa.array([], pa.int32())], ["n"])
 
-    short = [r[0] for r in items.select("text").mapInArrow(bounds_of, "n int").distinct().collect() if r[0]]  # at most window - 1 rows
+    short = [r[0] for r in items.select("text").mapInArrow(released(bounds_of), "n int").distinct().collect() if r[0]]  # at most window - 1 rows
 
     def prints(of_items: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,8 +227,8 @@ def _joined(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame
 
         return run
 
-    left = docs.select("doc_key", "text").mapInArrow(prints(False), "h long, key long").withColumnRenamed("key", "doc_key")
-    right = items.select("item_key", "text").mapInArrow(prints(True), "h long, key long").withColumnRenamed("key", "item_key").distinct()
+    left = docs.select("doc_key", "text").mapInArrow(released(prints(False)), "h long, key long").withColumnRenamed("key", "doc_key")
+    right = items.select("item_key", "text").mapInArrow(released(prints(True)), "h long, key long").withColumnRenamed("key", "item_key").distinct()
     pairs = left.join(right, "h").select("doc_key", "item_key").distinct()
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +247,7 @@ def _joined(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.string()), pa.array(spans, pa.list_(pa.int32()))], ["doc_key", "item_id", "hits"])
 
     once = docs.select("doc_key", "text").dropDuplicates(["doc_key"])
-    found = pairs.join(once, "doc_key").join(items.select("item_key", "item_id", F.col("text").alias("item")), "item_key").select("doc_key", "text", "item_id", "item").mapInArrow(extend, "doc_key long, item_id string, hits array<int>")
+    found = pairs.join(once, "doc_key").join(items.select("item_key", "item_id", F.col("text").alias("item")), "item_key").select("doc_key", "text", "item_id", "item").mapInArrow(released(extend), "doc_key long, item_id string, hits array<int>")
     per_doc = found.groupBy("doc_key").agg(F.sort_array(F.collect_set("item_id")).alias("ids"), F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +256,7 @@ def _joined(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame
             for a, b in row_chunks(off):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(word_hashes(raw, off[a : b + 1])[1]), pa.int64())], ["doc_id", "doc_key", "n_words"])
 
-    counted = docs.select("doc_id", "doc_key", "text").mapInArrow(count, "doc_id long, doc_key long, n_words long")
+    counted = docs.select("doc_id", "doc_key", "text").mapInArrow(released(count), "doc_id long, doc_key long, n_words long")
     n_hit, ids = F.coalesce("n_hit", F.lit(0)), F.coalesce("ids", F.array().cast("array<string>"))
     return counted.join(per_doc, "doc_key", "left").select("doc_key", "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm._core import checkpoint, components, forest, share, table
+from loamgrid.llm._core import checkpoint, components, forest, released, share, table
 
 THRESHOLD, BLOCKS, CHUNK = 0.9, 4, 8192
 _SLACK = 1e-6
@@ -266,13 +266,13 @@ def _join(grids: dict[int, Grid], threshold: float):
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of ``vectors`` (vec_id, embedding)."""
-    packed = vectors.select("vec_id", "embedding").mapInArrow(_pack, "vec_id long, dim int, data binary")
+    packed = vectors.select("vec_id", "embedding").mapInArrow(released(_pack), "vec_id long, dim int, data binary")
     rows = checkpoint(packed)
     good = rows.filter("dim > 0")
     classes = good.groupBy("dim", "data").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
     classes = checkpoint(classes.withColumn("id", F.monotonically_increasing_id()))
     sums: dict[int, list] = {}
-    moments = classes.select("dim", "data").mapInArrow(_moments, "dim int, n long, s array<double>")
+    moments = classes.select("dim", "data").mapInArrow(released(_moments), "dim int, n long, s array<double>")
     summed = moments.select("dim", "n", F.posexplode("s").alias("at", "v")).groupBy("dim", "at").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
     for r in summed.orderBy("dim", "at").collect():  # dimensions squared rows
         sums.setdefault(r.dim, []).append(r.v / r.n)
@@ -283,7 +283,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, blocks: in
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _place(shared(), None)(batches)
 
-    cells = keyed.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    cells = keyed.mapInArrow(released(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     # at most blocks * (2 / width + 2)^2 cells, whatever the number of vectors
     chunks = {r.cell: -(-r.n // chunk) for r in cells.collect()}
     plan = share(vectors.sparkSession, (grids, chunks))
@@ -295,8 +295,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, blocks: in
         return _join(shared(), threshold)(batches)
 
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = keyed.mapInArrow(place, "cell long, chunk int, role int, id long, dim int, data binary, n long")
-    found = checkpoint(placed.repartition(max(n, 48), "cell", "chunk").sortWithinPartitions("cell", "chunk", "role").mapInArrow(join, "kind int, a long, b long"))
+    placed = keyed.mapInArrow(released(place), "cell long, chunk int, role int, id long, dim int, data binary, n long")
+    found = checkpoint(placed.repartition(max(n, 48), "cell", "chunk").sortWithinPartitions("cell", "chunk", "role").mapInArrow(released(join), "kind int, a long, b long"))
     part = components(found.filter("kind = 1").select("a", "b"))
     direct = found.filter("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("others"))
     full = classes.join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")).join(direct, "id", "left")

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from loamgrid.llm._core import share, table, worker_state
+from loamgrid.llm._core import released, share, table, worker_state
 from loamgrid.llm._trees import Boosted
 
 _TOKEN = re.compile(
@@ -432,7 +432,7 @@ def extract(pages: DataFrame) -> DataFrame:
                     at += len(f)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(released(run), "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamgrid.llm._core import crc_mod, share, table
+from loamgrid.llm._core import crc_mod, released, share, table
 
 MAX_DOCS, MAX_WORDS, MAX_ORDER, SMOOTH = 2000, 60_000, 5, 0.1
 #: Words that a task remembers beyond the trained ones.
-MAX_REMEMBERED = 200_000
+MAX_REMEMBERED = 100_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SPREAD = 1 << 32
 
@@ -71,23 +71,26 @@ class Model:
             if v is None:
                 v = tables[order][key] = np.zeros(len(self.langs))
             v[at[lang]] += n
-        self.logs: list[dict[str, np.ndarray]] = []
+        self.at: list[dict[str, int]] = []  # per order, the row of each key in the order's matrix
+        self.logs: list[np.ndarray] = []
         for order, counts in enumerate(tables):
             total = sum(counts.values()) if counts else np.zeros(len(self.langs))
             keep = list(counts.items())
             if order == 0 and len(keep) > max_words:  # the most frequent words; ties by spelling
                 keep = sorted(keep, key=lambda kv: (-kv[1].sum(), kv[0]))[:max_words]
             floor = SMOOTH * max(1, len(counts))
-            self.logs.append({k: np.log((v + SMOOTH) / (total + floor)) for k, v in keep})
+            self.at.append({k: i for i, (k, _) in enumerate(keep)})
+            self.logs.append(np.log((np.array([v for _, v in keep]).reshape(len(keep), -1) + SMOOTH) / (total + floor)).astype(np.float32) if keep else np.zeros((0, len(self.langs)), np.float32))
 
     def word(self, w: str) -> np.ndarray:
-        known = self.logs[0].get(w)
+        known = self.at[0].get(w)
         if known is not None:
-            return known
+            return self.logs[0][known]
         for n in range(MAX_ORDER, 0, -1):
-            found = [v for g in _grams(w, n) if (v := self.logs[n].get(g)) is not None]
+            at = self.at[n]
+            found = [i for g in _grams(w, n) if (i := at.get(g)) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.logs[n][found].mean(axis=0)
         return np.zeros(len(self.langs))
 
 
@@ -96,7 +99,7 @@ class _Rows(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.matrix = model, np.zeros((1024, len(model.langs)))
+        self.model, self.matrix = model, np.zeros((1024, len(model.langs)), np.float32)
 
     def __missing__(self, w: str) -> int:
         i = len(self)
@@ -116,7 +119,7 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(_SPREAD * min(1.0, max_docs / n)))])
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(_SPREAD))
     chosen = rows.filter(spread < share[F.col("lang")]).select("lang", "text")
-    counted = chosen.mapInArrow(_count, "lang string, ord int, key string, n long").groupBy("lang", "ord", "key").agg(F.sum("n").alias("n"))
+    counted = chosen.mapInArrow(released(_count), "lang string, ord int, key string, n long").groupBy("lang", "ord", "key").agg(F.sum("n").alias("n"))
     # words and n-grams seen once tell little and are most of the distinct ones in a large sample
     few = F.lit(sum(min(n, max_docs) for n in sizes.values()) < 500)
     t = counted.filter((F.col("n") > 1) | few).toArrow()
@@ -141,7 +144,7 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str] | None = None) ->
                 if len(rows) > MAX_REMEMBERED:
                     rows = _Rows(model)
                 at = np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
-                total = rows.matrix[at].sum(axis=0)
+                total = rows.matrix[at].sum(axis=0, dtype=np.float64)
                 best = int(np.argmax(total))
                 pred.append(model.langs[best])
                 score.append(1.0 / float(np.exp(np.maximum(total - total[best], -700)).sum()))
@@ -151,7 +154,7 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str] | None = None) ->
     source = docs.select("doc_id", "text", *(keep or ()))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())] + ([] if keep is None else source.schema.fields[1:]))
     names = schema.names
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(released(run), schema)
 
 
 def identify(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:

@@ -18,4 +18,5 @@ QUERIES = {
 ORACLE = {
     "op1_embedding_near_dup": embeddings.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
+    "op10_suffix_dedup": suffix.ORACLE,
 }

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm._core import checkpoint, components, table
+from loamgrid.llm._core import checkpoint, components, released, table
 
 MAX_BITS = 3
 _SPLIT = bytes(32 if b == 0x20 or 0x09 <= b <= 0x0D else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -144,15 +144,15 @@ def _keyed(wide: bool):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): SimHash of each whole text as a signed long."""
-    return docs.select("doc_id", "text").mapInArrow(_prints, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(released(_prints), "doc_id long, fp long")
 
 
 def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b) of distinct fingerprints that differ in 1 to ``max_bits`` (3 at most) bits, both ways round once."""
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("the keys find pairs of at most 3 differing bits")
-    narrow = prints.select("fp").mapInArrow(_keyed(False), "key long, fp long").withColumnRenamed("fp", "a")
-    wide = prints.select("fp").mapInArrow(_keyed(True), "key long, fp long").withColumnRenamed("fp", "b")
+    narrow = prints.select("fp").mapInArrow(released(_keyed(False)), "key long, fp long").withColumnRenamed("fp", "a")
+    wide = prints.select("fp").mapInArrow(released(_keyed(True)), "key long, fp long").withColumnRenamed("fp", "b")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
     return narrow.join(wide, "key").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 

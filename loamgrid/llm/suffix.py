@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamgrid.llm._core import byte_views, checkpoint, merge_intervals, prefix_hash, row_chunks, span_hash, table, winnow
+from loamgrid.llm._core import byte_views, checkpoint, merge_intervals, prefix_hash, released, row_chunks, span_hash, table, winnow
 
 LENGTH, GRAM = 100, 40
 #: Contexts of one k-gram that are indexed in one block; groups of more take the shuffle on strings.
@@ -353,18 +353,18 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def duplicate_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(id, start, end): byte intervals to cut, maybe overlapping, by document. ``docs``: (id long, text)."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = docs.mapInArrow(_scan(length, gram), _OPEN).repartition(n, "h").sortWithinPartitions("kind", "h", "ctx", "id", "at").mapInArrow(_meet, _OPEN)
+    met = docs.mapInArrow(released(_scan(length, gram)), _OPEN).repartition(n, "h").sortWithinPartitions("kind", "h", "ctx", "id", "at").mapInArrow(released(_meet), _OPEN)
     met = checkpoint(met)
     cut = met.filter("kind = 1").select("id", F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("end"))
     asks = met.filter("kind = 0").select("h", "id", "at", "size")
     crowd = asks.groupBy("h").count().filter(F.col("count") > BLOCK_CONTEXTS).select("h", F.lit(True).alias("big"))
     asks = asks.join(crowd, "h", "left").withColumn("big", F.coalesce("big", F.lit(False)))
     wanted = asks.groupBy("id").agg(F.collect_list(F.struct("h", "at", "size", "big")).alias("want"))
-    got = docs.join(wanted, "id").select("id", "text", "want").mapInArrow(_fetch, "h long, id long, at long, data binary, big boolean")
-    small = got.filter("not big").select("h", "id", "at", "data").repartition(n, "h").sortWithinPartitions("h").mapInArrow(_index_blocks(length), "id long, start long, end long")
+    got = docs.join(wanted, "id").select("id", "text", "want").mapInArrow(released(_fetch), "h long, id long, at long, data binary, big boolean")
+    small = got.filter("not big").select("h", "id", "at", "data").repartition(n, "h").sortWithinPartitions("h").mapInArrow(released(_index_blocks(length)), "id long, start long, end long")
     if crowd.isEmpty():
         return cut.union(small)
-    names = got.filter("big").select("h", "id", "at", "data").mapInArrow(_strings(length), "x long, y long, id long, at long")
+    names = got.filter("big").select("h", "id", "at", "data").mapInArrow(released(_strings(length)), "x long, y long, id long, at long")
     firsts = names.groupBy("x", "y").agg(F.min(F.struct("id", "at")).alias("first"))
     large = names.join(firsts, ["x", "y"]).filter((F.col("id") != F.col("first.id")) | (F.col("at") != F.col("first.at"))).select("id", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
     return cut.union(small).union(large)
@@ -408,8 +408,21 @@ def dedup(docs: DataFrame, text_out: bool = False, length: int = LENGTH, gram: i
     joined = base.join(spans, "id", "left").select("id", "text", "spans", F.when(F.col("id") != _NULL_ID, F.col("id")).alias("doc_id"), *keep)
     name = "text" if text_out else "kept_sha256"
     own = T._parse_datatype_string(f"doc_id long, n_bytes long, n_removed long, n_spans long, {name} string").fields
-    return joined.mapInArrow(_cut(text_out), T.StructType(own + [joined.schema[c] for c in keep]))
+    return joined.mapInArrow(released(_cut(text_out)), T.StructType(own + [joined.schema[c] for c in keep]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
+
+
+ORACLE = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM b WHERE len(h) >= 200)),
+r AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+g AS (SELECT doc_id, i, sum(f) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 1 ELSE 0 END AS f FROM r)),
+sp AS (SELECT doc_id, min(i) AS s, max(i) + 100 AS e FROM g GROUP BY doc_id, g),
+k AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS p FROM sp),
+j AS (SELECT b.doc_id, count(*) AS n, sum(e - s) AS gone, string_agg(substr(h, 2 * p + 1, 2 * (s - p)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS kept FROM b JOIN k ON b.doc_id = k.doc_id GROUP BY b.doc_id)
+SELECT b.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM b LEFT JOIN j ON b.doc_id = j.doc_id
+"""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm._core import checkpoint, crc_mod, prefix_hash, share, span_hash, table
+from loamgrid.llm._core import checkpoint, crc_mod, prefix_hash, released, share, span_hash, table
 
 ORDERS, BITS, MAX_FEATURES, MAX_ROWS = (3, 4, 5), 20, 4096, 12_000
 _SPREAD, _CHARS = 1 << 32, 1 << 19
@@ -124,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     total = known.count()
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(_SPREAD)) < int(_SPREAD * min(1.0, max_rows / max(1, total))))
     sample = checkpoint(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text"))  # at most about max_rows ids
-    t = sample.mapInArrow(_tally, "bucket int, neg int, pos int").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).filter("neg + pos > 1").toArrow()  # at most 2**20 rows
+    t = sample.mapInArrow(released(_tally), "bucket int, neg int, pos int").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).filter("neg + pos > 1").toArrow()  # at most 2**20 rows
     n = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
     n_neg, n_pos = n.get(0, 0), n.get(1, 0)
     rate = n_pos / max(1, n_pos + n_neg)
@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
                     out[a + r] = (f[cut[r] : cut[r + 1]] & (1 << BITS) - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["y", "f"])
 
-    got = sample.mapInArrow(features, "y int, f array<int>").toArrow()  # the sample's kept features only
+    got = sample.mapInArrow(released(features), "y int, f array<int>").toArrow()  # the sample's kept features only
     y = np.asarray(got.column("y")).astype(float)
     lists = got.column("f").combine_chunks()
     size = np.asarray(lists.value_lengths())
@@ -181,7 +181,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 z[a : a + len(bounds) - 1] += np.bincount(f >> BITS, weight[f & (1 << BITS) - 1], minlength=len(bounds) - 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
