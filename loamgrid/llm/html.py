@@ -277,7 +277,8 @@ class _Maker:
         if k == 0:
             return f"<nav data-y=0>{self.links()}</nav>"
         if k == 1:
-            o, c = self.box("menu nav breadcrumb breadcrumbs navigation", "div ul div")
+            # menus are told by their links where nothing names them
+            o, c = ("<div", "</div>") if r.random() < 0.35 else self.box("menu nav breadcrumb breadcrumbs navigation", "div ul div")
             return f"{o} data-y=0>{self.links()}{c}"
         if k == 2:
             o, c = self.box("ad ads advert sponsor promo banner sponsored advertisement")
@@ -295,6 +296,8 @@ class _Maker:
             return f'{o} data-y=0>{r.choice(["<label>" + self.words(1, 3) + "</label><input name=q>", "<p>" + self.words(3, 12) + "</p><input>"])}<button>{self.words(1, 2)}</button>{c}'
         if k == 7:
             o, c = self.box("share social toolbar tags pagination")
+            if r.random() < 0.25:
+                return f"<div data-y=0>{self.links()}</div>"
             return f"{o} data-y=0>{r.choice([self.links, lambda: self.words(1, 8)])()}{c}"
         if k == 8:
             return f"<header data-y=0>{r.choice(['<h1>' + self.words(1, 3) + '</h1>', self.links(), '<p>' + self.words(2, 8) + '</p>'])}</header>"
