@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import pickle
 import sys
 import types
@@ -38,7 +39,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the corpus, to be worked on in short batches."""
+    return short_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def crc_mod(column: str, modulus: int) -> Column:
@@ -47,34 +49,48 @@ def crc_mod(column: str, modulus: int) -> Column:
 
 
 def worker_state(name: str) -> types.ModuleType:
-    """A namespace that lives as long as the Python worker, so caches outlast one task.
+    """A namespace that lives as long as the worker runs tasks of one operator, so caches outlast a task."""
+    return sys.modules.setdefault(f"_loamgrid_state_{name}", types.ModuleType(f"_loamgrid_state_{name}"))
 
-    Workers serve many operators in turn; only the last one's namespace is kept.
-    """
-    key = f"_loamgrid_state_{name}"
-    if key not in sys.modules:
-        for other in [k for k in sys.modules if k.startswith("_loamgrid_state_")]:
-            del sys.modules[other]
-        sys.modules[key] = types.ModuleType(key)
-    return sys.modules[key]
+
+def _trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def released(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The task, after which its worker gives freed memory back to the system instead of hoarding it."""
+    """The task as one of an operator whose worker keeps no caches of operators before, nor freed memory.
+
+    Workers serve many operators in turn; what one has cached must not weigh on the next.
+    """
+    own = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = sys.modules.setdefault("_loamgrid_operator", types.ModuleType("_loamgrid_operator"))
+        if getattr(now, "name", None) != own:
+            now.name = own
+            for key in [k for k in sys.modules if k.startswith("_loamgrid_state_")]:
+                del sys.modules[key]
+            gc.collect()
+            _trim()
         try:
             yield from task(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            _trim()
 
     return run
 
 
+def short_batches(spark: SparkSession) -> SparkSession:
+    """Let Arrow batches hold 2,000 rows: whole texts are long, and batches count for both ends' memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
+    return spark
+
+
 def share(spark: SparkSession, value: object) -> Callable[[], object]:
     """Broadcast an object of any class of this package; the result gives it back in a task.
 
