@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgrid.llm import bpe, decontaminate, langid, simhash, suffix
-from loamgrid.llm._core import checkpoint, table
+from loamgrid.llm._core import checkpoint, short_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text whose likeliest language is less likely than this is of no known language.
@@ -23,6 +23,7 @@ MIN_LANGUAGE_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a recognised language; a missing lang is filled in."""
+    short_batches(spark)
     held = langid.crc_mod("doc_id", 4) == 2
     model = langid.train(docs.filter(~held))
     found = langid.predict(docs.select(*COLUMNS), model, keep=COLUMNS[2:]).filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE))
