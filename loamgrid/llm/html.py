@@ -11,7 +11,8 @@ The trees are trained here, on pages made by a seeded generator of many layouts,
 labels are known; nothing is learned from, or kept about, the pages that are read.
 
 Edge cases: null and empty pages, and pages in which no node is accepted, have an empty text;
-unclosed, stray and cut-off tags are tolerated; whole pages are read whatever their length;
+unclosed, stray and cut-off tags are tolerated (only what holds no markup, as scripts and styles, runs
+to the page's end if unclosed); whole pages are read whatever their length;
 repeated rows get equal results; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -31,7 +32,9 @@ from loamgrid.llm._trees import Boosted
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|title|object|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|iframe|textarea)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<title(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?(?:</title\s*>|\Z)"
+    r"|<(?:desc|annotation)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>[^<]*</(?:desc|annotation)\s*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?][^>]*>"
     r"|<[a-zA-Z/!?][^<]*\Z",
@@ -41,10 +44,12 @@ _MARKS = re.compile(r"\b(class|id|role|data-y|itemprop|aria-label|hidden)\s*(?:=
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark meter output progress q ruby rb rp rt s samp small span strike strong sub sup time tt u var img input picture audio video canvas area map object embed source track param wbr".split())
+#: Elements of drawings and formulas; they are no blocks, and whether they are closed makes no difference.
+_FOREIGN = frozenset("svg g defs symbol use path rect circle ellipse line polyline polygon text tspan textpath image switch view set animate animatemotion animatetransform mpath stop lineargradient radialgradient pattern clippath mask marker filter foreignobject feblend fecolormatrix fecomponenttransfer fecomposite feconvolvematrix fediffuselighting fedisplacementmap fedistantlight fedropshadow feflood fefunca fefuncb fefuncg fefuncr fegaussianblur feimage femerge femergenode femorphology feoffset fepointlight fespecularlighting fespotlight fetile feturbulence desc title math mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mlabeledtr mtd maction semantics annotation annotation-xml".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt".split())
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": (), "tbody": ("thead", "tbody", "tr", "td", "th")}
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "tbody": ("table",), "option": ("select",)}
-_GROUPS = {t: i for i, g in enumerate(("html body", "article main", "nav menu", "aside", "footer", "header hgroup", "form fieldset legend dialog", "p", "h1", "h2 h3 h4 h5 h6", "li dd dt", "ul ol dl", "table tbody thead tr td th", "blockquote pre figure figcaption", "section", "div center", "head")) for t in g.split()}
+_GROUPS = {t: i for i, g in enumerate(("html body", "article main", "nav menu", "aside", "footer", "header hgroup", "form fieldset legend dialog select", "p", "h1", "h2 h3 h4 h5 h6", "li dd dt", "ul ol dl", "table tbody thead tr td th", "blockquote pre figure figcaption", "section", "div center", "head")) for t in g.split()}
 _GOOD = frozenset("article content main post entry story body text prose page copy essay markdown rich primary maincontent".split())
 _BAD = frozenset("nav navbar navigation menu menubar footer foot header head masthead topbar sidebar side rail aside ad ads adv advert adverts advertisement banner sponsor sponsored promo promoted promotion comment comments reply replies respond discussion disqus cookie cookies consent gdpr notice notices alert warning message toast popup modal overlay share sharing social related recommended more trending popular login signin signup register form search subscribe newsletter breadcrumb breadcrumbs pagination pager toolbar widget widgets legal copyright privacy terms skip meta byline tags tag contact feedback poll survey offer deal teaser links outbrain taboola complementary contentinfo dialog hidden".split())
 
@@ -94,7 +99,7 @@ def parse(source: str) -> Page:
         depth.append(len(stack) if i else 0)
         g, b, m = _attributes(raw) if raw else (0, 0, -1)
         page.good.append(g)
-        page.bad.append(b)
+        page.bad.append(b + (tag == "template"))  # never shown, as what is hidden
         page.mark.append(m)
         page.links.append(0)
         page.tags.append(1)
@@ -123,6 +128,8 @@ def parse(source: str) -> Page:
         if name is None:
             continue
         name = name.lower()
+        if name in _FOREIGN:
+            continue
         if name in _INLINE:
             if name == "a":
                 link = 0 if m[2] else 1
@@ -143,6 +150,8 @@ def parse(source: str) -> Page:
             continue
         if name in ("html", "body") and (name == "html" or any(tags[s] == "body" for s in stack)):
             continue
+        while name in _CLOSES_P and tags[stack[-1]] in ("option", "optgroup", "select"):
+            stack.pop()
         if name in _CLOSES_P and tags[stack[-1]] == "p":
             stack.pop()
         same = _SAME.get(name)

@@ -132,6 +132,21 @@ def test_pages(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_drawings_formulas_and_controls_do_not_swallow_what_follows():
+    trees = html.model()
+
+    def read(article):
+        p = html.parse(PAGE.replace("{}", f"<article>{article}</article>"))
+        return html.main_text(p, trees.raw(html.features(p)))
+
+    s = "Plain words of a sentence that goes on, and on."
+    for x in ('<svg class="i"/>', '<svg class="i">', '<svg><title/><path d="M0"/></svg>', "<svg><title>T</title><desc>D</desc><g><path/></g></svg>", "<math/>", "<object data=x>", "<select><option>AA<option>BB</select>", "<template>hid</template>", "<svg-icon></svg-icon>"):
+        assert read(f"<p>{s}{x} two {s}</p><p>three {s}</p>") == f"{s} two {s} three {s}", x
+    assert read(f"<p>{s}</p><select><option>AA<p>three {s}</p>") == f"{s} three {s}"
+    assert read(f"<p>{s} <math><mi>xyz</mi><annotation>tex</annotation></math> is {s}</p>") == f"{s} xyz is {s}"
+    assert read(f"<p>{s} <object data=x>instead</object> is {s}</p>") == f"{s} instead is {s}"
+
+
 def test_pages_of_unseen_layouts():
     maker, trees, wrong = html._Maker(4242), html.model(), 0
     for _ in range(120):
