@@ -40,7 +40,8 @@ _TOKEN = re.compile(
     r"|<[a-zA-Z/!?][^<]*\Z",
     re.S | re.I,
 )
-_MARKS = re.compile(r"\b(class|id|role|data-y|itemprop|aria-label|hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_MARKS = re.compile(r"\b(class|id|role|itemprop|aria-label|hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_TRUTH = re.compile(r"(?<![^\s\"'])data-y=([01])(?![^\s/])")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark meter output progress q ruby rb rp rt s samp small span strike strong sub sup time tt u var img input picture audio video canvas area map object embed source track param wbr".split())
@@ -71,24 +72,24 @@ class Page:
         self.texts: list[tuple[int, str]] = []
 
 
-def _attributes(raw: str) -> tuple[int, int, int]:
+def _attributes(raw: str) -> tuple[int, int]:
     good = bad = 0
-    mark = -1
     for name, value in _MARKS.findall(raw):
         name, value = name.lower(), value.strip("\"'")
-        if name == "data-y":
-            mark = int(value)
-        elif name == "hidden":
+        if name == "hidden":
             bad += 1
         else:
             words = {w.lower() for w in _WORD.findall(value)}
             good += len(words & _GOOD)
             bad += len(words & _BAD)
-    return good, bad, mark
+    return good, bad
 
 
-def parse(source: str) -> Page:
-    """The page's block tree. Markup that nests wrongly is repaired as browsers do in common cases."""
+def parse(source: str, marked: bool = True) -> Page:
+    """The page's block tree. Markup that nests wrongly is repaired as browsers do in common cases.
+
+    Only ``marked`` pages, those made here, have their ``data-y`` read.
+    """
     page, stack = Page(), [0]
     parent, tags, depth = page.parent, page.tag, page.depth
 
@@ -97,10 +98,11 @@ def parse(source: str) -> Page:
         parent.append(stack[-1] if i else -1)
         tags.append(tag)
         depth.append(len(stack) if i else 0)
-        g, b, m = _attributes(raw) if raw else (0, 0, -1)
+        g, b = _attributes(raw) if raw else (0, 0)
+        truth = _TRUTH.search(raw) if marked else None
         page.good.append(g)
         page.bad.append(b + (tag == "template"))  # never shown, as what is hidden
-        page.mark.append(m)
+        page.mark.append(int(truth[1]) if truth else -1)
         page.links.append(0)
         page.tags.append(1)
         return i
@@ -435,7 +437,7 @@ def extract(pages: DataFrame) -> DataFrame:
             out: list[str] = []
             source = batch.column(2)
             for a in range(0, batch.num_rows, 256):
-                parsed = [parse(v.as_py() or "") for v in source.slice(a, 256)]
+                parsed = [parse(v.as_py() or "", marked=False) for v in source.slice(a, 256)]
                 x = [features(p) for p in parsed]
                 odds = trees.raw(np.concatenate(x))
                 at = 0

@@ -147,6 +147,16 @@ def test_drawings_formulas_and_controls_do_not_swallow_what_follows():
     assert read(f"<p>{s} <object data=x>instead</object> is {s}</p>") == f"{s} instead is {s}"
 
 
+def test_training_marks_are_not_read_from_pages(spark):
+    s = "Plain words of a sentence that goes on, and on."
+    marks = ['data-year="2024"', 'data-y="12.5"', "data-y", "data-y=0", "data-y=1", 'title="data-y=0"', ""]
+    rows = [(i, "u", PAGE.replace("{}", f"<article><p {m}>{s}</p></article>")) for i, m in enumerate(marks)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [x.text for x in got] == [s] * len(marks)
+    assert html.parse("<p data-y=1>a<p class=b data-y=0>c<p data-year=1 data-y=01>d").mark == [-1, 1, 0, -1]
+    assert html.parse("<p data-y=1>a", marked=False).mark == [-1, -1]
+
+
 def test_pages_of_unseen_layouts():
     maker, trees, wrong = html._Maker(4242), html.model(), 0
     for _ in range(120):
