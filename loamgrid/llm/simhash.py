@@ -76,7 +76,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a in range(0, len(h), 1 << 14):
                 counts += np.unpackbits(h[a : a + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
             out[r] = np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
 
 @lru_cache(1)
@@ -142,9 +142,9 @@ def _keyed(wide: bool):
     return run
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): SimHash of each whole text as a signed long."""
-    return docs.select("doc_id", "text").mapInArrow(released(_prints), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, fp): SimHash of each whole text as a signed long; long columns to ``keep`` follow."""
+    return docs.select("doc_id", "text", *keep).mapInArrow(released(_prints), ", ".join(f"{c} long" for c in ("doc_id", "fp", *keep)))
 
 
 def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -159,7 +159,28 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fingerprint, n_near, component_id), one row per row of ``docs``."""
-    rows = checkpoint(fingerprints(docs))  # hashing whole texts is the costly part; it is done once
+    rows, per = _components(fingerprints(docs), max_bits)
+    return rows.join(per, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "n_near", "component_id")
+
+
+def survivors(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """One whole row of each group of near-duplicates: that of the smallest id, nulls last, ties by the row itself.
+
+    Groups are told apart by their fingerprints, so ids may repeat or be null.
+    """
+    docs = docs.withColumn("text_key", F.xxhash64("text"))
+    # a text by its id and hash: whole texts are sent once, when the rows are known
+    rows, per = _components(fingerprints(docs, "text_key"), max_bits)
+    best = rows.join(per, "fp").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("best")).select("best.doc_id", "best.text_key")
+    same = docs["doc_id"].eqNullSafe(best["doc_id"]) & (docs["text_key"] == best["text_key"])
+    kept = docs.join(best, same, "left_semi")
+    columns = [c for c in kept.columns if c not in ("doc_id", "text_key")]
+    return kept.groupBy("doc_id", "text_key").agg(F.min(F.struct(*columns)).alias("row")).select("doc_id", "row.*").select(*[c for c in docs.columns if c != "text_key"])
+
+
+def _components(prints: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``prints``, and (fp, n_near, component_id, component) of each fingerprint."""
+    rows = checkpoint(prints)  # hashing whole texts is the costly part; it is done once
     classes = rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
     pairs = checkpoint(links(classes, max_bits))
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -167,8 +188,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     part = components(pairs).withColumnRenamed("node", "fp")
     full = classes.join(degree, "fp", "left").join(part, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     root = full.groupBy("component").agg(F.min("first").alias("component_id"))
-    per = full.join(root, "component").select("fp", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), "component_id")
-    return rows.join(per, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "n_near", "component_id")
+    return rows, full.join(root, "component").select("fp", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), "component_id", "component")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

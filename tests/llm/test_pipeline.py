@@ -36,3 +36,23 @@ def test_stages(spark, tmp_path):
     assert ids[2] == ids[1]
     assert ids[3] == ids[4] == ids[2] - {101}
     assert {row.doc_id for row in corpus_pipeline.run(spark, str(d)).collect()} == ids[4]
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    r = random.Random(21)
+    a, b, c, d, e = (" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(80)) for _ in range(5))
+    rows = [(None, a, "x"), (None, b, "x"), (None, b, "w"), (1, c, "x"), (1, d, "x"), (1, d, "x"), (2, d, "x"), (None, d, "x"), (3, e, "x"), (None, e, "x")]
+    docs = spark.createDataFrame([(i, t, "xx", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs.repartition(4), "")
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    want = [(None, a, "x"), (None, b, "w"), (1, c, "x"), (1, d, "x"), (3, e, "x")]
+    assert sorted((x.doc_id or 0, x.text, x.source) for x in got.collect()) == sorted((i or 0, t, s) for i, t, s in want)
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+    # documents that share an id, or have none, are cut each by its own spans
+    own = [(i, (a + c)[9 * k : 9 * k + 90]) for k, i in enumerate([None, None, None, 7, 7])]
+    rows = [(i, t + d if k in (0, 3) else t + b if k == 4 else t) for k, (i, t) in enumerate(own)] + [(8, e), (8, e[:250] + b[:40])]
+    docs = spark.createDataFrame([(i, t, "xx", "s", len(t)) for i, t in rows], docs.schema)
+    got = [(x.doc_id, x.text) for x in corpus_pipeline.repeated_passages(spark, docs, "").collect()]
+    assert len(got) == len(rows)
+    assert sum(d in t for _, t in got) == 1 and sum(len(t) for _, t in got) == sum(len(t) for _, t in rows) - len(d) - 250
+    assert {i for i, t in got if t in dict.fromkeys(t for _, t in rows)} == {None, 7, 8}
