@@ -127,16 +127,18 @@ def analyze(lines: DataFrame, topic: str, ts_min: int) -> DataFrame:
     syms, found = symbols(lines), patterns(lines)
 
     def report(kind: str, rows: DataFrame, text: Column, order: list) -> DataFrame:
-        top = rows.orderBy(*order).limit(200).agg(F.array_join(F.collect_list(text), "\n").alias("t"))
-        return top.select(F.lit(topic).alias("topic"), F.concat(F.lit(f"[tags: {kind}]\n[confidence: 0.8]\n"), "t").alias("body"), F.lit(ts_min).alias("ts_min"))
+        sort = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
+        every = F.array_sort(F.collect_list(F.struct(sort.alias("sort"), text.alias("text"))))
+        whole = rows.agg(F.array_join(F.transform(every, lambda x: x["text"]), "\n").alias("t"))
+        return whole.select(F.lit(topic).alias("topic"), F.concat(F.lit(f"[tags: {kind}]\n[confidence: 0.8]\n"), "t").alias("body"), F.lit(ts_min).alias("ts_min"))
 
     c = F.col
     parts = [
-        report("module-map", module_map(lines, syms, found), F.concat_ws(" ", "path", c("lines").cast("string"), c("symbols").cast("string")), [F.desc("lines"), "path"]),
-        report("symbols", syms, F.concat_ws(" ", "kind", "name", "path"), ["path", "line"]),
-        report("coupling", coupling(lines, syms).orderBy(F.desc("n"), "a", "b").limit(15), F.concat_ws(" ", "a", "b", c("n").cast("string")), [F.desc("n"), "a", "b"]),
-        report("pattern", pattern_inventory(found), F.concat_ws(" ", "kind", "path", c("line").cast("string")), ["kind", "path", "line"]),
-        report("dependencies", imports(lines), F.concat("path", F.lit(": "), F.array_join("modules", ", ")), ["path"]),
+        report("module-map", module_map(lines, syms, found), F.concat_ws(" ", "path", c("lines").cast("string"), c("symbols").cast("string")), [-c("lines"), c("path")]),
+        report("symbols", syms, F.concat_ws(" ", "kind", "name", "path"), [c("path"), c("line")]),
+        report("coupling", coupling(lines, syms).orderBy(F.desc("n"), "a", "b").limit(15), F.concat_ws(" ", "a", "b", c("n").cast("string")), [-c("n"), c("a"), c("b")]),
+        report("pattern", pattern_inventory(found), F.concat_ws(" ", "kind", "path", c("line").cast("string")), [c("kind"), c("path"), c("line")]),
+        report("dependencies", imports(lines), F.concat("path", F.lit(": "), F.array_join("modules", ", ")), [c("path")]),
     ]
     return reduce(DataFrame.unionByName, parts)
 

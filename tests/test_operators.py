@@ -126,6 +126,15 @@ def test_code(spark):
     assert C.analyze(lines, "code", 1).count() == 5
 
 
+def test_code_reports_are_whole(spark):
+    rows = [(f"f{i:04}.rs", j, t) for i in range(450) for j, t in enumerate([f"use dep{i}::x;", f"fn name{i}() {{}}", *["x"] * (i % 3)], 1)]
+    lines = spark.createDataFrame(rows, "path string, line int, text string")
+    got = [r.body.split("\n")[2:] for r in C.analyze(lines, "code", 1).collect()]
+    assert got[0] == [f"f{i:04}.rs {2 + i % 3} 1" for i in sorted(range(450), key=lambda i: (-(i % 3), i))]
+    assert got[1] == [f"fn name{i} f{i:04}.rs" for i in range(450)]
+    assert got[4] == [f"f{i:04}.rs: dep{i}" for i in range(450)]
+
+
 def test_build_output(spark):
     o = spark.createDataFrame([(1, "x: error: bad\nok\nx: error: bad\\ny: error: worse"), (2, "step 12ms\nrate 5 GB/s\nstep 5ms")], "id long, output string")
     assert [r.error for r in C.build_errors(o).orderBy("at").collect()] == ["x: error: bad", "y: error: worse"]
