@@ -6,7 +6,8 @@ log frequency there; a word never seen is scored by its n-grams of the greatest
 any is known, averaged so that each word weighs alike.
 
 The training documents may be a sample: at most about ``max_docs`` per language, chosen by a hash
-of the id, always with their whole texts. Prediction reads every whole text and nothing else.
+of the id, always with their whole texts. All words and n-grams of the sample are kept, those seen
+once too, whatever its size. Prediction reads every whole text and nothing else.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; so is everything if no
 labelled text has a letter. Equal scores go to the language first in alphabetical order. Repeated
@@ -21,13 +22,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loamgrid.llm._core import crc_mod, released, share, table
 
-MAX_DOCS, MAX_WORDS, MAX_ORDER, SMOOTH = 2000, 60_000, 5, 0.1
+MAX_DOCS, MAX_ORDER, SMOOTH = 2000, 5, 0.1
 #: Words that a task remembers beyond the trained ones.
 MAX_REMEMBERED = 100_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -59,37 +61,71 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, pa.int32()), pa.array(c), pa.array(d, pa.int64())], ["lang", "ord", "key", "n"])
 
 
+def _key(gram: str) -> int:
+    return xxhash.xxh64_intdigest(gram.encode(), 42)
+
+
+class _Keys:
+    """Row of each known gram: its place among the sorted hashes."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def find(self, grams: list[str]) -> np.ndarray:
+        """Rows of those grams that are known."""
+        if not len(self.hashes):
+            return np.zeros(0, np.int64)
+        want = np.array([_key(g) for g in grams], np.uint64)
+        i = np.minimum(np.searchsorted(self.hashes, want), len(self.hashes) - 1)
+        return i[self.hashes[i] == want]
+
+    def __getitem__(self, gram: str) -> int:
+        found = self.find([gram])
+        if not len(found):
+            raise KeyError(gram)
+        return int(found[0])
+
+
 class Model:
-    """Log frequencies of words and n-grams by language."""
-
-    def __init__(self, rows: list[tuple[str, int, str, int]], max_words: int = MAX_WORDS):
-        self.langs = sorted({r[0] for r in rows})
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        tables: list[dict[str, np.ndarray]] = [{} for _ in range(MAX_ORDER + 1)]
-        for lang, order, key, n in rows:
-            v = tables[order].get(key)
-            if v is None:
-                v = tables[order][key] = np.zeros(len(self.langs))
-            v[at[lang]] += n
-        self.at: list[dict[str, int]] = []  # per order, the row of each key in the order's matrix
+    """Log frequencies of words and n-grams by language, in rows sorted by the keys' hashes."""
+
+    def __init__(self, rows: Sequence[tuple[str, int, str, int]]):
+        lang, order, key, n = zip(*rows, strict=True) if rows else ((), (), (), ())
+        self._fill(list(lang), np.array(order, np.int32), np.array([_key(k) for k in key], np.uint64), np.array(n, np.int64))
+
+    @classmethod
+    def of(cls, t: pa.Table) -> Model:
+        """From a table of lang, ord, h (Spark's xxhash64 of the key) and n."""
+        model = cls.__new__(cls)
+        model._fill(t.column("lang"), np.asarray(t.column("ord")), np.asarray(t.column("h")).view(np.uint64), np.asarray(t.column("n")))
+        return model
+
+    def _fill(self, lang, order: np.ndarray, key: np.ndarray, n: np.ndarray) -> None:
+        coded = pa.chunked_array([lang if isinstance(lang, list) else lang.combine_chunks()], pa.string()).combine_chunks().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        self.langs = sorted(names)
+        at = np.array([self.langs.index(x) for x in names], np.int64)[np.asarray(coded.indices)]
+        self.at: list[_Keys] = []
         self.logs: list[np.ndarray] = []
-        for order, counts in enumerate(tables):
-            total = sum(counts.values()) if counts else np.zeros(len(self.langs))
-            keep = list(counts.items())
-            if order == 0 and len(keep) > max_words:  # the most frequent words; ties by spelling
-                keep = sorted(keep, key=lambda kv: (-kv[1].sum(), kv[0]))[:max_words]
-            floor = SMOOTH * max(1, len(counts))
-            self.at.append({k: i for i, (k, _) in enumerate(keep)})
-            self.logs.append(np.log((np.array([v for _, v in keep]).reshape(len(keep), -1) + SMOOTH) / (total + floor)).astype(np.float32) if keep else np.zeros((0, len(self.langs)), np.float32))
+        for o in range(MAX_ORDER + 1):
+            mine = order == o
+            keys, row = np.unique(key[mine], return_inverse=True)
+            counts = np.zeros((len(keys), len(self.langs)), np.float32)
+            np.add.at(counts, (row, at[mine]), n[mine])
+            total = counts.sum(axis=0, dtype=np.float64)
+            self.at.append(_Keys(keys))
+            self.logs.append(np.log((counts + np.float32(SMOOTH)) / (total + SMOOTH * max(1, len(keys))).astype(np.float32)))
 
     def word(self, w: str) -> np.ndarray:
-        known = self.at[0].get(w)
-        if known is not None:
-            return self.logs[0][known]
+        known = self.at[0].find([w])
+        if len(known):
+            return self.logs[0][known[0]]
         for n in range(MAX_ORDER, 0, -1):
-            at = self.at[n]
-            found = [i for g in _grams(w, n) if (i := at.get(g)) is not None]
-            if found:
+            found = self.at[n].find(_grams(w, n))
+            if len(found):
                 return self.logs[n][found].mean(axis=0)
         return np.zeros(len(self.langs))
 
@@ -120,10 +156,8 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(_SPREAD))
     chosen = rows.filter(spread < share[F.col("lang")]).select("lang", "text")
     counted = chosen.mapInArrow(released(_count), "lang string, ord int, key string, n long").groupBy("lang", "ord", "key").agg(F.sum("n").alias("n"))
-    # words and n-grams seen once tell little and are most of the distinct ones in a large sample
-    few = F.lit(sum(min(n, max_docs) for n in sizes.values()) < 500)
-    t = counted.filter((F.col("n") > 1) | few).toArrow()
-    return Model(list(zip(*(t.column(c).to_pylist() for c in ("lang", "ord", "key", "n")), strict=True)))
+    # whatever the sample holds is kept; keys travel as hashes
+    return Model.of(counted.select("lang", "ord", F.xxhash64("key").alias("h"), "n").toArrow())
 
 
 def predict(docs: DataFrame, model: Model, keep: Sequence[str] | None = None) -> DataFrame:

@@ -63,6 +63,19 @@ def test_language_backs_off():
     assert (m.word("ж") == 0).all()
 
 
+def test_language_model_keeps_every_word_of_the_sample(spark):
+    r = random.Random(3)
+    rows = [(i, "aa", " ".join("".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(130))) for i in range(520)]
+    rows += [(1000 + i, "bb", f"{w} {w}x") for i, w in enumerate(["kolom", "zuwoki", "qvarint"])]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    few = ["kolom", "kolomx", "zuwokix", "qvarint"]
+    for words in ({w for _, x, t in rows if x == "aa" for w in t.split()}, few):
+        assert len(model.at[0].find(list(words))) == len(words)
+    assert all(np.argmax(model.word(w)) == 1 for w in few)
+    assert len(model.at[0]) > 60_000
+    assert len(model.at[1].find(["k", "q"])) == 2 and not len(model.at[0].find(["never"]))
+
+
 def test_toxicity(spark, frames):
     rows, docs, labels = frames
     got = {x.doc_id: x for x in toxicity.classify(docs, labels).collect()}
