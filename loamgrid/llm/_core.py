@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy pass handles at once; keeps temporaries near the CPU caches.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
@@ -86,8 +87,12 @@ def released(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
 
 
 def short_batches(spark: SparkSession) -> SparkSession:
-    """Let Arrow batches hold 2,000 rows: whole texts are long, and batches count for both ends' memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
+    """Let Arrow batches hold 2 MB: whole texts are long, and batches count for both ends' memory.
+
+    A setting of the session that says less, or was made by the user, stays.
+    """
+    if spark.conf.get(_BATCH_BYTES) == str(64 << 20):  # as Spark sets it
+        spark.conf.set(_BATCH_BYTES, 2 << 20)
     return spark
 
 
@@ -172,6 +177,39 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * down[start])
 
 
+PRIME, _PRIME_BASE = np.int64(2**31 - 1), 1_103_515_245
+
+
+def prefix_prime(values: np.ndarray) -> np.ndarray:
+    """As prefix_hash, in the field of a prime: what collides in one of the two doesn't in the other."""
+    up, _ = _prime_powers(len(values))
+    out = np.empty(len(values) + 1, np.int64)
+    out[0] = 0
+    np.cumsum((values.astype(np.int64) + 1) * up[: len(values)] % PRIME, out=out[1:])
+    return out
+
+
+def span_prime(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the spans [start, end) below 2**31 - 1; the values must be below 2**31."""
+    _, down = _prime_powers(len(prefix))
+    return (prefix[end] - prefix[start]) % PRIME * down[start] % PRIME
+
+
+def _prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    have = _POWERS.get("prime up")
+    if have is None or len(have) <= n:
+        size = max(n + 1, CHUNK_BYTES + 4096)
+        for name, base in (("prime up", _PRIME_BASE), ("prime down", pow(_PRIME_BASE, -1, int(PRIME)))):
+            p = np.ones(size, np.int64)
+            width, step = 1, base % int(PRIME)
+            while width < size:  # p[width:2 * width] = p[:width] * base**width
+                part = min(width, size - width)
+                p[width : width + part] = p[:part] * step % PRIME
+                width, step = 2 * width, step * step % int(PRIME)
+            _POWERS[name] = p
+    return _POWERS["prime up"], _POWERS["prime down"]
+
+
 def sliding(values: np.ndarray, width: int, op=np.minimum) -> np.ndarray:
     """Minimum (or other idempotent fold) of each window of ``width`` values."""
     n = len(values) - width + 1
