@@ -13,22 +13,23 @@ bits; the single error lies in either:
 Joining the keys finds every pair; each is verified by its bit difference. Equal fingerprints are
 collapsed first, so copies are never expanded into pairs, and links are counted by class.
 
-Edge cases: null and empty texts have no words and fingerprint zero, which links like any other;
-ids may repeat (each row counts as a document); an empty table gives an empty result; extra
-columns are ignored.
+Edge cases: null and empty texts have no words and fingerprint zero, which links like any other; a
+bit that is set in just half the hashes (a tie) is 0; ids may repeat (each row counts as a
+document) or be null (smaller ids come first, so component_id is null only if all of the component's
+are); texts of any length are read whole; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm._core import checkpoint, components, released, table
+from loamgrid.llm._core import checkpoint, components, released, table, worker_state
 
 MAX_BITS = 3
 _SPLIT = bytes(32 if b == 0x20 or 0x09 <= b <= 0x0D else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -79,9 +80,15 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
 
-@lru_cache(1)
 def _decoder() -> tuple[np.ndarray, np.ndarray]:
     """For each 11-bit syndrome the error pattern of weight up to 3, and the syndrome of each bit."""
+    state = worker_state("golay")
+    if not hasattr(state, "tables"):
+        state.tables = _tables()
+    return state.tables
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
     generator = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
     def remainder(v: int) -> int:
         for i in range(22, 10, -1):
@@ -171,11 +178,11 @@ def survivors(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     docs = docs.withColumn("text_key", F.xxhash64("text"))
     # a text by its id and hash: whole texts are sent once, when the rows are known
     rows, per = _components(fingerprints(docs, "text_key"), max_bits)
-    best = rows.join(per, "fp").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("best")).select("best.doc_id", "best.text_key")
-    same = docs["doc_id"].eqNullSafe(best["doc_id"]) & (docs["text_key"] == best["text_key"])
-    kept = docs.join(best, same, "left_semi")
-    columns = [c for c in kept.columns if c not in ("doc_id", "text_key")]
-    return kept.groupBy("doc_id", "text_key").agg(F.min(F.struct(*columns)).alias("row")).select("doc_id", "row.*").select(*[c for c in docs.columns if c != "text_key"])
+    best = rows.join(per, "fp").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("some_id"), "text_key")).alias("best")).select("best.*")
+    named = docs.withColumns({"no_id": F.col("doc_id").isNull(), "some_id": F.coalesce("doc_id", F.lit(0).cast("long"))})
+    # join and aggregate go by the same columns, so texts are sent once
+    kept = named.join(best, ["no_id", "some_id", "text_key"], "left_semi").groupBy("no_id", "some_id", "text_key").agg(F.min(F.struct(*[c for c in docs.columns if c != "text_key"])).alias("row"))
+    return kept.select("row.*")
 
 
 def _components(prints: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame]:

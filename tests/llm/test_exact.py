@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,7 +270,8 @@ def test_run_index_statistics():
     for _ in range(60):
         codes = np.array([r.choice([0, 1, 1, 2, 3]) for _ in range(80)] + [0], np.uint8)
         index = suffix.RunIndex(codes)
-        order, got = index.order, index.statistics()
+        order, (matched, got) = suffix.suffix_order(codes)[0], index.matches()
+        assert not hasattr(index, "order") and (matched[order[1:]] == order[:-1]).all()
         for a, b in zip(order, order[1:], strict=False):
             n = 0
             while a + n < len(codes) and b + n < len(codes) and codes[a + n] == codes[b + n] != 0:
@@ -295,3 +301,82 @@ def test_queries_run_on_tables(spark):
         df = q(spark, SF)
         assert df.count() == spark.read.parquet(f"{SF}/{'embeddings' if q is embeddings.query else 'documents'}.parquet").count()
         assert df.filter(F.col(df.columns[0]).isNull()).count() == 0
+
+
+def test_decontamination_compares_words(spark):
+    """Words whose polynomial hashes modulo 2**64 are equal are told apart, by both ways."""
+    t = "a"
+    for _ in range(11):
+        t += t.translate(str.maketrans("ab", "ba"))
+    other = t.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(12))
+    items = [(1, f"{t} {rest}"), (2, f"{other} {rest}"), (3, f"{t} one"), (4, f"{other} one")]
+    docs = [(1, f"x {t} {rest} y"), (2, f"x {other} {rest} y"), (3, f"{other} one"), (4, "x"), (4, f"{t} one"), (None, f"{t} one"), (None, "y")]
+    d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    for bound in (10**6, 0):
+        got = [tuple(x) for x in decontaminate.contamination(d, b, max_broadcast_words=bound).collect()]
+        assert sorted(got, key=repr) == sorted(brute_leaks_any(docs, items), key=repr)
+
+
+def brute_leaks_any(docs, items):
+    return [brute_leaks([x], items)[0] for x in docs]
+
+
+def test_decontamination_with_a_common_preamble(spark):
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    lead = " ".join(word() for _ in range(20))
+    items = [(i, f"{lead} {i} " + " ".join(word() for _ in range(15))) for i in range(10_000)]
+    index = decontaminate.Index(pa.array([t for _, t in items]), [str(i) for i, _ in items])
+    docs = decontaminate.Words(*decontaminate.byte_views(pa.array([f"so {lead} it is"] * 300)))
+    s, _, c = index.find(docs)
+    assert len(s) == 300 * 8 and len(index.items(np.unique(c))) == 10_000  # a row a window, not a row an item
+    d = spark.createDataFrame([(1, f"so {lead} it is"), (2, items[77][1])], DOCS)
+    got = {x.doc_id: x for x in decontaminate.contamination(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert (got[1].n_items, got[1].n_hit, got[2].n_items) == (10_000, 20, 10_000)
+    assert got[1].items_sha256 == sha(",".join(sorted(str(i) for i, _ in items)).encode())
+
+
+def test_simhash_on_workers_without_the_package(tmp_path):
+    """Operators travel by value: the workers' path doesn't hold the repository."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+from pyspark.sql import SparkSession
+from loamgrid.llm import bpe, decontaminate, langid, simhash, suffix
+sys.path.pop(0)
+spark = SparkSession.builder.config(map={{"spark.master": "local-cluster[1,2,1024]", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2", "spark.checkpoint.dir": "file://{tmp_path}/c", "spark.executor.memory": "700m"}}).getOrCreate()
+d = spark.createDataFrame([(i, "w%d some words that stand here" % (i % 3), "xx") for i in range(9)], "doc_id long, text string, lang string")
+assert simhash.near_duplicates(d).count() == 9 and simhash.survivors(d).count() <= 3
+assert suffix.dedup(d).count() == 9 and langid.identify(d).count() == 9
+assert decontaminate.contamination(d, d.selectExpr("doc_id item_id", "text").limit(2)).filter("contaminated").count() == 6
+print("done")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    import pyspark
+
+    env["SPARK_SCALA_VERSION"], env["SPARK_HOME"] = "2.13", str(Path(pyspark.__file__).parent)
+    got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env | {"PYSPARK_PYTHON": sys.executable, "SPARK_LOCAL_IP": "127.0.0.1"}, capture_output=True, text=True, timeout=300)
+    assert got.stdout.strip().endswith("done"), got.stderr[-3000:]
+
+
+@pytest.mark.parametrize(("hot", "crowd"), [(64, 4096), (2, 4096), (2, 2)])
+def test_suffix_dedup_of_null_shared_and_repeated_ids(spark, monkeypatch, hot, crowd):
+    monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "BLOCK_CONTEXTS", crowd)
+    r = random.Random(41)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    p, q = text(300), text(160)
+    rows = [(1, p), (7, text(400) + p), (7, p + text(419)), (7, p + q), (None, text(200) + q), (None, q), (None, None), (8, "x" + q), (8, "x" + q), (9, ""), (9, None)]
+    rows += [(100 + i % 40, text(90) + p[i : i + 150] + text(90)) for i in range(120)]
+    rows += rows[20:24]
+    df = spark.createDataFrame([(*x, "c", 1) for x in rows], DOCS + ", id string, key int").repartition(5)
+    # rows as documents of their own: by id, nulls first, then in any order of the texts, here Spark's
+    hashed = {x.text: x.h for x in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    of = sorted({(i is not None, i or 0, hashed[t], t or "") for i, t in rows})
+    want = brute_repeats([(k, t) for k, (*_, t) in enumerate(of)], 100)
+    number = {(a, i, t): k for k, (a, i, _, t) in enumerate(of)}
+    expect = sorted((i is not None, i or 0, len((t or "").encode()), int((g := want[number[i is not None, i or 0, t or ""]]).sum()), sha(np.frombuffer((t or "").encode(), np.uint8)[~g].tobytes())) for i, t in rows)
+    got = suffix.dedup(df).collect()
+    assert sorted((x.doc_id is not None, x.doc_id or 0, x.n_bytes, x.n_removed, x.kept_sha256) for x in got) == expect
+    assert sum(x.n_removed for x in got if x.doc_id == 7) == 3 * 300 + 160
