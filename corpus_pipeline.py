@@ -4,10 +4,11 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that the stage befo
 last return the columns of ``documents``; their decisions are in the rows and texts they return.
 
 Edge cases: null and empty texts have no letters and go with the first stage; later stages take
-them as their operators do; of repeated rows, as of near-duplicates, one row stays; a null id, and an
-id that other texts have too, is like any other there, and which of their repeated passages stands
-earlier is by hash; an empty table gives an empty result; extra
-columns are dropped.
+them as their operators do; of repeated rows, as of near-duplicates, one row stays; rows of a null
+id, or of an id that other texts have too, are documents of their own in every stage; texts of any
+length are read whole; of languages that tie the first in the alphabet is taken, of rows that tie
+for the smallest id that of the smallest text hash; an empty table gives an empty result; extra
+columns, whatever their names, are dropped.
 """
 
 from __future__ import annotations
@@ -21,8 +22,6 @@ from loamgrid.llm._core import checkpoint, short_batches, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text whose likeliest language is less likely than this is of no known language.
 MIN_LANGUAGE_SCORE = 0.5
-#: Ids of several rows that may be broadcast.
-MAX_BROADCAST_IDS = 1_000_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,14 +40,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut every passage of 100 bytes or more that stands earlier in the corpus; n_chars follows."""
-    # there an id names one document: rows without an own id get one from the hash of id and text
-    shared = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit(True).alias("shared"))
-    if shared.count() <= MAX_BROADCAST_IDS:  # else the texts are shuffled
-        shared = F.broadcast(shared)
-    own = F.when(F.col("shared") | F.col("doc_id").isNull(), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))
-    named = docs.join(shared, "doc_id", "left").withColumns({"given_id": F.col("doc_id"), "doc_id": own})
-    cut = suffix.dedup(named, text_out=True, keep=(*COLUMNS[2:4], "given_id"))
-    return cut.withColumn("doc_id", F.col("given_id")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    cut = suffix.dedup(docs, text_out=True, keep=COLUMNS[2:4])
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

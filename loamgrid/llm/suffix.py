@@ -5,22 +5,28 @@ doc_id, or same document and earlier start). Four steps:
 
 1. Winnowing: of the k-gram hashes of each document the minimum of every window is kept. Two equal
    strings of LENGTH bytes keep the same k-gram at the same place, so every repeat shares a kept
-   hash. Each is sent with a hash of its context, the bytes that strings around it can cover.
-   Within a task only the first of equal (k-gram, context) is open; the others repeat it in
-   full and leave as finished intervals, so a hot passage sends one row per task.
-2. Rows meet by k-gram hash, sorted. Of equal contexts all but the first are finished. Firsts of
-   groups with several contexts (passages' edges) ask for their bytes.
-3. Those contexts are fetched by a join with the documents and indexed in blocks: suffix order,
-   Burrows-Wheeler transform in runs, text positions and longest-common-prefix values sampled at
-   the runs' ends. Streaming the text over the samples gives its matching statistics; matches of
-   at least LENGTH bytes form intervals of suffixes, of which the earliest stays. Groups too large
-   for one block go by a shuffle on the LENGTH-byte strings themselves.
+   hash. Each is sent with a name of its context, the bytes that strings around it can cover: 95
+   bits of two hashes, modulo 2**64 and in a prime field. Equal contexts are one class; its first
+   stands for all in the index, where copies would only lengthen runs, and the copies are repeats of
+   it from end to end. Within a part of a task only the first of a class is sent, so a hot passage
+   sends one row per part.
+2. Rows meet by k-gram hash, sorted; classes are closed. Firsts of groups with several classes
+   (passages' edges) ask for their bytes. A k-gram with many classes in one part of a task is spread
+   over ``SALTS`` groups, all of whose firsts ask.
+3. Those contexts are fetched by a join with the documents and indexed in blocks: of the
+   Burrows-Wheeler transform only its runs are kept, with text positions and longest-common-prefix
+   values sampled at the runs' ends. Streaming the text over the samples gives each position's
+   matching statistic and the position that it matches; matches of at least LENGTH bytes chain
+   positions together, of which the earliest stays. Groups too large for one block go by a shuffle
+   on the LENGTH-byte strings themselves.
 4. Intervals are united per document and cut out of its bytes.
 
 Edge cases: null and empty texts have zero bytes and lose nothing; texts shorter than LENGTH lose
-nothing; doc_id names a document, so repeated rows of one id and text all get its one result and
-aren't repeats of each other; a null id counts as the smallest; an empty table gives an empty
-result; extra columns are ignored.
+nothing, and very long ones are read whole; rows of an id that other texts have too, or without an
+id, are documents of their own, in order of id (null first) and then of a hash of the text; rows
+repeated with id and text are one document: all get its result and aren't repeats of each other;
+strings that tie for the earliest start don't exist but for these; an empty table gives an empty
+result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamgrid.llm._core import byte_views, checkpoint, merge_intervals, prefix_hash, released, row_chunks, span_hash, table, winnow
+from loamgrid.llm._core import byte_views, checkpoint, merge_intervals, mix, prefix_hash, prefix_prime, released, row_chunks, span_hash, span_prime, table, winnow
 
 LENGTH, GRAM = 100, 40
 #: Contexts of one k-gram that are indexed in one block; groups of more take the shuffle on strings.
@@ -42,8 +48,13 @@ BLOCK_CONTEXTS = 4096
 BLOCK_BYTES = 1 << 19
 #: Text within which equal contexts are thinned before they are sent; bounds a task's memory.
 SCAN_BYTES = 1 << 22
+#: Contexts of one k-gram within SCAN_BYTES from which on it is spread, and over how many groups.
+HOT, SALTS = 64, 61
+#: Ids of several rows that may be broadcast.
+MAX_BROADCAST_IDS = 1_000_000
 _NULL_ID = -(2**63)
-_OPEN = "kind int, h long, ctx long, id long, at long, len int, size int"
+_OPEN = "kind int, h long, salt int, ctx long, id long, key long, at long, len int, size int"
+_SPANS = "id long, key long, start long, end long"
 
 
 def _contexts(pos: np.ndarray, low: np.ndarray, high: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +82,8 @@ def _winnow_rows(raw: np.ndarray, off: np.ndarray, length: int, gram: int) -> It
         lo, hi = _contexts(sel, bounds[row], bounds[row + 1], length, gram)
         use = hi - lo >= length
         sel, row, lo, hi = sel[use], row[use], lo[use], hi[use]
-        ctx = span_hash(prefix, lo, hi) ^ (sel - lo).astype(np.uint64)
+        prime = span_prime(prefix_prime(buf), lo, hi).astype(np.uint64)
+        ctx = span_hash(prefix, lo, hi) ^ mix(prime << np.uint64(8) | (sel - lo).astype(np.uint64))
         yield row + a, h[sel], ctx, sel - bounds[row], lo - bounds[row], hi - bounds[row]
 
 
@@ -85,72 +97,100 @@ def _first_of(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def _documents(ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each row's document, in order of id and key; id and key of each number)."""
+    order = np.lexsort((keys, ids))
+    new = _first_of(ids[order], keys[order])
+    number = np.empty(len(ids), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, ids[order][new], keys[order][new]
+
+
 def _scan(length: int, gram: int):
-    def rows(raw: np.ndarray, off: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(raw: np.ndarray, off: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         parts = list(_winnow_rows(raw, off, length, gram))
         if not parts:
             return
         row, h, ctx, pos, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
-        ident = ids[row]
-        order = np.lexsort((pos, ident, ctx, h))
-        row, h, ctx, pos, lo, hi, ident = (x[order] for x in (row, h, ctx, pos, lo, hi, ident))
+        number, ids, keys = _documents(ids, keys)
+        doc = number[row]
+        order = np.lexsort((pos, doc, ctx, h))
+        h, ctx, pos, lo, hi, doc = (x[order] for x in (h, ctx, pos, lo, hi, doc))
         first = _first_of(h, ctx)
         # a later row of the same document and place (a repeated row) is not a repeat
         twin = ~first
-        twin[1:] &= (ident[1:] == ident[:-1]) & (pos[1:] == pos[:-1])
+        twin[1:] &= (doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1])
         rest = ~first & ~twin
-        n = int(first.sum())
-        yield _rows(np.zeros(n, np.int32), h[first].view(np.int64), ctx[first].view(np.int64), ident[first], lo[first], pos[first] - lo[first], hi[first] - lo[first])
         if rest.any():
-            d, s, e = merge_intervals(ident[rest], lo[rest], hi[rest])
-            yield _rows(np.ones(len(d), np.int32), d * np.int64(-7046029254386353131), np.zeros(len(d), np.int64), d, s, np.zeros(len(d), np.int32), e - s)
+            d, s, e = merge_intervals(doc[rest], lo[rest], hi[rest])
+            yield _rows(1, ids[d] * np.int64(-7046029254386353131), 0, 0, ids[d], keys[d], s, 0, e - s)
+        h, ctx, pos, lo, hi, doc = (x[first] for x in (h, ctx, pos, lo, hi, doc))
+        begin = np.flatnonzero(_first_of(h))
+        many = np.diff(np.append(begin, len(h))) >= HOT
+        hot = np.repeat(many, np.diff(np.append(begin, len(h))))
+        salt = np.where(hot, 1 + (ctx % np.uint64(SALTS)).astype(np.int64), 0)
+        yield _rows(0, h.view(np.int64), salt, ctx.view(np.int64), ids[doc], keys[doc], lo, pos - lo, hi - lo)
+        if many.any():  # tells rows that stay in the k-gram's own group that others are elsewhere
+            yield _rows(0, h[begin[many]].view(np.int64), 0, 0, 0, 0, 0, 0, 0)
+
+    def part(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, keys, texts = pa.Table.from_batches(held).combine_chunks().columns
+        raw, off = byte_views(texts)
+        return rows(raw, off, ids.to_numpy(), keys.to_numpy())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            raw, off = byte_views(batch.column(1))
-            ids = np.asarray(batch.column(0))
-            for a, b in row_chunks(off, SCAN_BYTES):
-                yield from rows(raw, off[a : b + 1], ids[a:b])
+            if held and size + batch.nbytes > SCAN_BYTES:
+                yield from part(held)
+                held, size = [], 0
+            held.append(batch)
+            size += batch.nbytes
+        if held:
+            yield from part(held)
 
     return run
 
 
-def _rows(kind, h, ctx, ident, at, lead, size) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(h, pa.int64()), pa.array(ctx, pa.int64()), pa.array(ident, pa.int64()), pa.array(at, pa.int64()), pa.array(lead.astype(np.int32)), pa.array(size.astype(np.int32))], ["kind", "h", "ctx", "id", "at", "len", "size"])
+def _rows(kind, h, salt, ctx, ident, key, at, lead, size) -> pa.RecordBatch:
+    """A batch of _OPEN rows; numbers stand for whole columns."""
+    kinds = (np.int32, np.int64, np.int32, np.int64, np.int64, np.int64, np.int64, np.int32, np.int32)
+    columns = [np.broadcast_to(np.asarray(x, t), len(h)) for x, t in zip((kind, h, salt, ctx, ident, key, at, lead, size), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], [x.split(" ")[0] for x in _OPEN.split(", ")])
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a task sorted by (kind, h, ctx, id, at): finished intervals (kind 1) and requests for bytes (kind 0).
+    """Rows of a task sorted by (kind, h, salt, ctx, id, key, at): finished intervals (kind 1) and requests for bytes (kind 0).
 
     What is kept between batches is one row: the first of the last context seen, with whether it
     still waits for a second context of its k-gram.
     """
-    last: tuple | None = None  # kind 0 row (h, ctx, id, at, lead, size) of the running context's first
+    last: tuple | None = None  # kind 0 row (h, salt, ctx, id, key, at, lead, size) of the running context's first
     waiting = False
     for batch in batches:
-        kind, h, ctx, ident, at, lead, size = (np.asarray(c) for c in batch.columns)
-        done = kind == 1
-        if done.any():
-            yield _rows(kind[done], h[done], ctx[done], ident[done], at[done], lead[done], size[done])
+        kind, *columns = (np.asarray(c) for c in batch.columns)
+        if (done := kind == 1).any():
+            yield _rows(1, *(x[done] for x in columns))
         todo = ~done
         if not todo.any():
             continue
-        h, ctx, ident, at, lead, size = (x[todo] for x in (h, ctx, ident, at, lead, size))
+        columns = [x[todo] for x in columns]
         shift = 0
         if last is not None:
-            h, ctx, ident, at, lead, size = (np.concatenate([[v], x]) for v, x in zip(last, (h, ctx, ident, at, lead, size), strict=True))
+            columns = [np.concatenate([[v], x]) for v, x in zip(last, columns, strict=True)]
             shift = 1
-        first = _first_of(h, ctx)
-        group = _first_of(h)
+        h, salt, ctx, ident, key, at, lead, size = columns
+        first = _first_of(h, salt, ctx)
+        group = _first_of(h, salt)
         start = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
-        rest = ~first & ~((ident == ident[start]) & (at + lead == at[start] + lead[start]))
+        rest = ~first & (size > 0) & ~((ident == ident[start]) & (key == key[start]) & (at + lead == at[start] + lead[start]))
         if rest.any():
-            d, s, e = merge_intervals(ident[rest], at[rest], at[rest] + size[rest])
-            z = np.zeros(len(d), np.int64)
-            yield _rows(np.ones(len(d), np.int32), z, z, d, s, z, e - s)
+            number, ids, keys = _documents(ident[rest], key[rest])
+            d, s, e = merge_intervals(number, at[rest], at[rest] + size[rest])
+            yield _rows(1, ids[d] * np.int64(-7046029254386353131), 0, 0, ids[d], keys[d], s, 0, e - s)
         number = np.cumsum(group) - 1
-        several = np.bincount(number, weights=first)[number] > 1
+        several = (np.bincount(number, weights=first)[number] > 1) | (salt > 0)
         if shift and not waiting:  # its group had several contexts before
             several |= number == 0
         ask = first & several
@@ -158,10 +198,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ask[0] = False
         begin = np.flatnonzero(first)[-1]
         waiting = not bool(several[-1])
-        if ask.any():
-            n = int(ask.sum())
-            yield _rows(np.zeros(n, np.int32), h[ask], ctx[ask], ident[ask], at[ask], lead[ask], size[ask])
-        last = (h[begin], ctx[begin], ident[begin], at[begin], lead[begin], size[begin])
+        ask_now = ask & (size > 0)
+        if ask_now.any():
+            yield _rows(0, *(x[ask_now] for x in columns))
+        last = tuple(x[begin] for x in columns)
 
 
 def suffix_order(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,51 +228,57 @@ def suffix_order(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         group = np.cumsum(new)[place]
         order[place] = order[place][np.lexsort((order[place], group))]
         new |= ended
-    rank_sorted = np.cumsum(new) - 1
+    # a suffix's rank is the first row of its group; groups of one are done
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     width = 8
-    while n and rank_sorted[-1] < n - 1:
-        rank = np.empty(n, np.int64)
-        rank[order] = rank_sorted
-        nxt = np.zeros(n, np.int64)
-        nxt[: n - width] = rank[width:] + 1
-        key = rank.astype(np.uint64) << np.uint64(32) | nxt.astype(np.uint64)
-        order = np.argsort(key)
-        rank_sorted = np.cumsum(_first_of(key[order])) - 1
+    while len(rows := np.flatnonzero(~(new & np.append(new[1:], True)))):
+        p = order[rows]
+        after = np.where(p + width < n, rank[np.minimum(p + width, n - 1)] + 1, 0)
+        key = rank[p] << 32 | after
+        by = np.argsort(key)
+        p, first = p[by], _first_of(key[by])
+        order[rows], new[rows] = p, first
+        rank[p] = rows[np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))]
         width *= 2
     return order, head
 
 
 class RunIndex:
-    """Run-length BWT of a text with samples at the runs' ends.
+    """Run-length BWT of a text with samples at the runs' ends; the suffix order itself is not kept.
 
-    ``runs`` holds where the runs begin in suffix order; ``head`` and ``before`` the text positions
-    sampled at the first row of each run and at the last row of the run before it, ``shared`` what
-    the two have in common. ``statistics`` streams the text over the samples: a position whose row
-    follows a row with the same preceding byte matches its predecessor for one less than the
-    position before it does, so the samples alone give every value.
+    ``runs`` and ``run_bytes`` are the transform: where each run begins and its byte. For each run
+    ``head`` is the text position of its first row and ``before`` that of the row before it, the last
+    of another run; ``shared`` is what the two have in common. A position whose row follows a row with
+    the same preceding byte has the match of the position before it, one further on and one shorter,
+    so streaming over the samples gives every position's match and its length.
     """
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.order, self.packed = suffix_order(codes)
-        bwt = codes[self.order - 1]  # position 0 is preceded by the closing 0
+        self.size = len(codes)
+        order, packed = suffix_order(codes)
+        bwt = codes[order - 1]  # position 0 is preceded by the closing 0
         # the ends differ from each other, so rows after an end are runs of their own
         self.runs = np.flatnonzero(_first_of(bwt) | (bwt == 0))
         self.run_bytes = bwt[self.runs]
-        self.head = self.order[self.runs]
-        self.before = self.order[self.runs - 1]
-        self.shared = common_prefix(self.packed, self.head, self.before)
-        self.shared[self.runs == 0] = 0
+        head, before = order[self.runs], order[self.runs - 1]
+        shared = common_prefix(packed, head, before)
+        shared[self.runs == 0] = 0
+        by_place = np.argsort(head)
+        self.head, self.before, self.shared = head[by_place], before[by_place], shared[by_place]
+
+    def matches(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each text position, the position before it in suffix order and how much the two share."""
+        at = np.arange(self.size)
+        sample = np.zeros(self.size, np.int64)
+        sample[self.head[1:]] = 1
+        run = np.cumsum(sample)  # position 0 has a sample: it follows an end
+        on = at - self.head[run]
+        return self.before[run] + on, np.maximum(self.shared[run] - on, 0)
 
     def statistics(self) -> np.ndarray:
         """For each text position, how much it shares with its predecessor in suffix order."""
-        n = len(self.codes)
-        sample = np.full(n, -1, np.int64)
-        sample[self.head] = self.head
-        start = np.maximum.accumulate(sample)
-        value = np.zeros(n, np.int64)
-        value[self.head] = self.shared
-        return np.where(start >= 0, np.maximum(value[start] - (np.arange(n) - start), 0), 0)
+        return self.matches()[1]
 
 
 def common_prefix(packed: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -276,21 +322,20 @@ def repeated(texts: list[bytes], ident: np.ndarray, at: np.ndarray, length: int)
     codes = np.zeros(int((sizes + 1).sum()), np.uint8)
     inner = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(buf))
     codes[inner] = code[buf]
-    index = RunIndex(codes)
-    deep = index.statistics()[index.order] >= length  # matches its predecessor in full
-    owner = np.repeat(np.arange(len(texts)), sizes + 1)
-    where = np.arange(len(codes)) - begin[owner] + at[owner]
-    # a suffix is of interest if it or its successor matches
-    live = deep.copy()
-    live[:-1] |= deep[1:]
-    pos = index.order[live]
-    new = ~deep[live]
-    if not len(pos):
+    matched, shares = RunIndex(codes).matches()
+    deep = np.flatnonzero(shares >= length)
+    if not len(deep):
         return (np.zeros(0, np.int64),) * 3
-    group = np.cumsum(new)
-    d, w = ident[owner[pos]], where[pos]
-    order = np.lexsort((w, d, group))
-    g, d, w = group[order], d[order], w[order]
+    # chains of matches: each position's root is the one that matches nothing before it
+    pos = np.union1d(deep, matched[deep])
+    root = np.arange(len(pos))
+    root[np.searchsorted(pos, deep)] = np.searchsorted(pos, matched[deep])
+    while not np.array_equal(up := root[root], root):
+        root = up
+    owner = np.searchsorted(begin, pos, side="right") - 1
+    d, w = ident[owner], pos - begin[owner] + at[owner]
+    order = np.lexsort((w, d, root))
+    g, d, w = root[order], d[order], w[order]
     lead = np.maximum.accumulate(np.where(_first_of(g), np.arange(len(g)), 0))
     later = (d != d[lead]) | (w != w[lead])
     return merge_intervals(d[later], w[later], w[later] + length)
@@ -298,12 +343,14 @@ def repeated(texts: list[bytes], ident: np.ndarray, at: np.ndarray, length: int)
 
 def _index_blocks(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes]] = []
+        held: list[tuple[int, int, int, int, bytes]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            d, s, e = repeated([t for *_, t in held], np.array([x[1] for x in held], np.int64), np.array([x[2] for x in held], np.int64), length)
-            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e)], ["id", "start", "end"])
+            _, ids, keys, at, texts = zip(*held, strict=True)
+            number, ids, keys = _documents(np.array(ids, np.int64), np.array(keys, np.int64))
+            d, s, e = repeated(list(texts), number, np.array(at, np.int64), length)
+            return pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(keys[d]), pa.array(s), pa.array(e)], ["id", "key", "start", "end"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -311,7 +358,7 @@ def _index_blocks(length: int):
                     yield flush()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3]) + 1
+                size += len(row[4]) + 1
         if held:
             yield flush()
 
@@ -319,54 +366,59 @@ def _index_blocks(length: int):
 
 
 def _strings(length: int):
-    """Every string of ``length`` bytes of the contexts, as two hashes (a 128-bit name), with its start."""
+    """Every string of ``length`` bytes of the contexts, as two hashes (a 95-bit name), with its start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = byte_views(batch.column(3))
-            ident, at = np.asarray(batch.column(1)), np.asarray(batch.column(2))
+            raw, off = byte_views(batch.column(4))
+            ident, key, at = (np.asarray(batch.column(i)) for i in (1, 2, 3))
             for a, b in row_chunks(off, 1 << 18):
                 buf, bounds = raw[off[a] : off[b]], off[a : b + 1] - off[a]
                 p = np.arange(max(0, len(buf) - length + 1))
                 row = np.searchsorted(bounds, p, side="right") - 1
                 ok = p + length <= bounds[row + 1]
                 p, row = p[ok], row[ok]
-                one, two = span_hash(prefix_hash(buf), p, p + length), span_hash(prefix_hash(buf.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(7)), p, p + length)
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(ident[a + row]), pa.array(at[a + row] + p - bounds[row])], ["x", "y", "id", "at"])
+                one, two = span_hash(prefix_hash(buf), p, p + length), span_prime(prefix_prime(buf), p, p + length)
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two), pa.array(ident[a + row]), pa.array(key[a + row]), pa.array(at[a + row] + p - bounds[row])], ["x", "y", "id", "key", "at"])
 
     return run
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(big, h, id, at, bytes) of the requested contexts of each document."""
+    """(h, id, key, at, bytes, big) of the requested contexts of each document."""
     for batch in batches:
-        raw, off = byte_views(batch.column(1))
-        want = batch.column(2)
+        raw, off = byte_views(batch.column(2))
+        want = batch.column(3)
         f = want.flatten()
         big, h, at, size = (np.asarray(f.field(n)) for n in ("big", "h", "at", "size"))
         row = np.repeat(np.arange(batch.num_rows), np.asarray(want.value_lengths()))
-        begin = off[row] + at
-        data = pa.array([raw[s:e].tobytes() for s, e in zip(begin, begin + size, strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.asarray(batch.column(0))[row]), pa.array(at), data, pa.array(big)], ["h", "id", "at", "data", "big"])
+        for a in range(0, len(row), 1 << 14):
+            part = slice(a, a + (1 << 14))
+            begin = off[row[part]] + at[part]
+            data = pa.array([raw[s:e].tobytes() for s, e in zip(begin, begin + size[part], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(h[part]), *(pa.array(np.asarray(batch.column(i))[row[part]]) for i in (0, 1)), pa.array(at[part]), data, pa.array(big[part])], ["h", "id", "key", "at", "data", "big"])
 
 
 def duplicate_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(id, start, end): byte intervals to cut, maybe overlapping, by document. ``docs``: (id long, text)."""
+    """(id, key, start, end): byte intervals to cut, maybe overlapping, by document. ``docs``: (id long, key long, text)."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = docs.mapInArrow(released(_scan(length, gram)), _OPEN).repartition(n, "h").sortWithinPartitions("kind", "h", "ctx", "id", "at").mapInArrow(released(_meet), _OPEN)
+    met = docs.mapInArrow(released(_scan(length, gram)), _OPEN).repartition(n, "h", "salt").sortWithinPartitions("kind", "h", "salt", "ctx", "id", "key", "at").mapInArrow(released(_meet), _OPEN)
     met = checkpoint(met)
-    cut = met.filter("kind = 1").select("id", F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("end"))
-    asks = met.filter("kind = 0").select("h", "id", "at", "size")
+    cut = met.filter("kind = 1").select("id", "key", F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("end"))
+    asks = met.filter("kind = 0").select("h", "id", "key", "at", "size")
     crowd = asks.groupBy("h").count().filter(F.col("count") > BLOCK_CONTEXTS).select("h", F.lit(True).alias("big"))
     asks = asks.join(crowd, "h", "left").withColumn("big", F.coalesce("big", F.lit(False)))
-    wanted = asks.groupBy("id").agg(F.collect_list(F.struct("h", "at", "size", "big")).alias("want"))
-    got = docs.join(wanted, "id").select("id", "text", "want").mapInArrow(released(_fetch), "h long, id long, at long, data binary, big boolean")
-    small = got.filter("not big").select("h", "id", "at", "data").repartition(n, "h").sortWithinPartitions("h").mapInArrow(released(_index_blocks(length)), "id long, start long, end long")
+    # as many as the document is long: no more than its text
+    wanted = asks.groupBy("id", "key").agg(F.collect_list(F.struct("h", "at", "size", "big")).alias("want"))
+    got = docs.join(wanted, ["id", "key"]).select("id", "key", "text", "want").mapInArrow(released(_fetch), "h long, id long, key long, at long, data binary, big boolean")
+    columns = ["h", "id", "key", "at", "data"]
+    small = got.filter("not big").select(*columns).repartition(n, "h").sortWithinPartitions("h").mapInArrow(released(_index_blocks(length)), _SPANS)
     if crowd.isEmpty():
         return cut.union(small)
-    names = got.filter("big").select("h", "id", "at", "data").mapInArrow(released(_strings(length)), "x long, y long, id long, at long")
-    firsts = names.groupBy("x", "y").agg(F.min(F.struct("id", "at")).alias("first"))
-    large = names.join(firsts, ["x", "y"]).filter((F.col("id") != F.col("first.id")) | (F.col("at") != F.col("first.at"))).select("id", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
+    names = got.filter("big").select(*columns).mapInArrow(released(_strings(length)), "x long, y long, id long, key long, at long")
+    firsts = names.groupBy("x", "y").agg(F.min(F.struct("id", "key", "at")).alias("first"))
+    later = F.struct("id", "key", "at") != F.col("first")
+    large = names.join(firsts, ["x", "y"]).filter(later).select("id", "key", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
     return cut.union(small).union(large)
 
 
@@ -374,7 +426,7 @@ def _cut(text_out: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, n_removed, n_spans, out = [], [], [], []
-            for value, spans in zip(batch.column(1), batch.column(2), strict=True):
+            for value, spans in zip(batch.column(0), batch.column(1), strict=True):
                 data = (value.as_py() or "").encode()
                 kept, last, gone, runs = [], 0, 0, 0
                 if spans.is_valid:
@@ -392,7 +444,7 @@ def _cut(text_out: bool):
                 n_removed.append(gone)
                 n_spans.append(runs)
                 out.append(rest.decode("utf-8", "ignore") if text_out else hashlib.sha256(rest).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(out, pa.string()), *batch.columns[4:]], ["doc_id", "n_bytes", "n_removed", "n_spans", "text" if text_out else "kept_sha256", *batch.schema.names[4:]])
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(out, pa.string()), *batch.columns[3:]], ["doc_id", "n_bytes", "n_removed", "n_spans", "text" if text_out else "kept_sha256", *batch.schema.names[3:]])
 
     return run
 
@@ -403,14 +455,24 @@ def dedup(docs: DataFrame, text_out: bool = False, length: int = LENGTH, gram: i
     With ``text_out`` the kept text itself; bytes of a character that was cut in part are dropped.
     The columns to ``keep`` follow.
     """
-    base = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID).cast("long")).alias("id"), "text", *keep)
-    spans = duplicate_spans(base.select("id", "text"), length, gram).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = base.join(spans, "id", "left").select("id", "text", "spans", F.when(F.col("id") != _NULL_ID, F.col("id")).alias("doc_id"), *keep)
+    base = _named(docs.select("doc_id", "text", *keep))
+    spans = duplicate_spans(base.select("id", "key", "text"), length, gram).groupBy("id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    joined = base.join(spans, ["id", "key"], "left").select("text", "spans", F.when(F.col("id") != _NULL_ID, F.col("id")).alias("doc_id"), *keep)
     name = "text" if text_out else "kept_sha256"
     own = T._parse_datatype_string(f"doc_id long, n_bytes long, n_removed long, n_spans long, {name} string").fields
     return joined.mapInArrow(released(_cut(text_out)), T.StructType(own + [joined.schema[c] for c in keep]))
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """The rows with ``id`` for doc_id (null: the smallest), and ``key``: 0, or a hash of the text if the id doesn't name it alone."""
+    shared = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("doc_id").alias("shared_id"))
+    if shared.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:  # else the texts are shuffled
+        shared = F.broadcast(shared)
+    own = F.col("doc_id").isNotNull() & F.col("shared_id").isNull()
+    named = docs.join(shared, F.col("doc_id") == F.col("shared_id"), "left")
+    return named.withColumns({"id": F.coalesce("doc_id", F.lit(_NULL_ID).cast("long")), "key": F.when(own, F.lit(0).cast("long")).otherwise(F.xxhash64(F.coalesce("text", F.lit(""))))}).drop("doc_id", "shared_id")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
 
