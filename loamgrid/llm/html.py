@@ -11,9 +11,12 @@ The trees are trained here, on pages made by a seeded generator of many layouts,
 labels are known; nothing is learned from, or kept about, the pages that are read.
 
 Edge cases: null and empty pages, and pages in which no node is accepted, have an empty text;
-unclosed, stray and cut-off tags are tolerated (only what holds no markup, as scripts and styles, runs
-to the page's end if unclosed); whole pages are read whatever their length;
-repeated rows get equal results; an empty table gives an empty result; extra columns are ignored.
+tags are read as browsers read them, so unclosed, stray and cut-off ones, odd quotes and random
+bytes are tolerated (a tag that isn't ended, an open quote after =, and an unclosed script or style run
+to the page's end); reading takes time in proportion to the page, whatever it holds, and whole pages
+are read whatever their length; of labellings that tie the one that rejects is taken; null and
+repeated page ids and repeated rows are rows like any other, equal pages get equal results; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,21 +33,24 @@ from pyspark.sql import DataFrame, SparkSession
 from loamgrid.llm._core import released, share, table, worker_state
 from loamgrid.llm._trees import Boosted
 
+# Possessive parts never go back, and every markup that begins also ends, at the page's end if nowhere else.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|iframe|textarea)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<title(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?(?:</title\s*>|\Z)"
-    r"|<(?:desc|annotation)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>[^<]*</(?:desc|annotation)\s*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*>"
-    r"|<[a-zA-Z/!?][^<]*\Z",
-    re.S | re.I,
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)?+)*+)(?:>|\Z)"
+    r"|<(?:[!?]|/[^a-zA-Z])[^>]*+(?:>|\Z)",
+    re.S,
 )
+#: Elements that hold no markup; what follows them is looked for by their end tag.
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for t in ("script", "style", "noscript", "iframe", "textarea", "title", "xmp", "noembed", "noframes")}
+#: Controls of forms: what they show is no text of the page. They end at the next block at the latest.
+_CONTROLS = frozenset(("button", "label", "legend", "optgroup"))
+#: The rest of a drawing's or formula's hint, which isn't shown.
+_HINT = re.compile(r"[^<]*+</(?:desc|annotation)\s*+>", re.I)
 _MARKS = re.compile(r"\b(class|id|role|itemprop|aria-label|hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _TRUTH = re.compile(r"(?<![^\s\"'])data-y=([01])(?![^\s/])")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark meter output progress q ruby rb rp rt s samp small span strike strong sub sup time tt u var img input picture audio video canvas area map object embed source track param wbr".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark meter output progress q ruby rb rp rt s samp small span strike strong sub sup time tt u var img input picture audio video canvas area map object embed source track param wbr".split())
 #: Elements of drawings and formulas; they are no blocks, and whether they are closed makes no difference.
 _FOREIGN = frozenset("svg g defs symbol use path rect circle ellipse line polyline polygon text tspan textpath image switch view set animate animatemotion animatetransform mpath stop lineargradient radialgradient pattern clippath mask marker filter foreignobject feblend fecolormatrix fecomponenttransfer fecomposite feconvolvematrix fediffuselighting fedisplacementmap fedistantlight fedropshadow feflood fefunca fefuncb fefuncg fefuncr fegaussianblur feimage femerge femergenode femorphology feoffset fepointlight fespecularlighting fespotlight fetile feturbulence desc title math mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mlabeledtr mtd maction semantics annotation annotation-xml".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt".split())
@@ -107,9 +113,18 @@ def parse(source: str, marked: bool = True) -> Page:
         page.tags.append(1)
         return i
 
+    open_at: dict[str, list[int]] = {}  # where in the stack each tag is open
+
+    def close(at: int) -> None:
+        while len(stack) > at:
+            open_at[tags[stack.pop()]].pop()
+
+    def innermost(names: tuple[str, ...]) -> int:
+        return max((open_at[t][-1] for t in names if open_at.get(t)), default=0)
+
     node("html", "")
     buffer: list[str] = []
-    link, last = 0, 0
+    link, last, control = 0, 0, ""
 
     def flush() -> None:
         if buffer:
@@ -118,24 +133,37 @@ def parse(source: str, marked: bool = True) -> Page:
             if text:
                 page.texts.append((stack[-1], text))
 
-    for m in _TOKEN.finditer(source):
+    while m := _TOKEN.search(source, last):
         start = m.start()
-        if start > last:
+        if start > last and not control:
             text = source[last:start]
             buffer.append(text)
             if link:
                 page.links[stack[-1]] += len(text)
         last = m.end()
-        name = m[3]
+        name = m[2]
         if name is None:
             continue
         name = name.lower()
+        if name in _RAW and not m[1] and not (name == "title" and m[3].endswith("/")):
+            end = _RAW[name].search(source, last)
+            last = end.end() if end else len(source)
+            continue
+        if name in ("desc", "annotation") and not m[1] and not m[3].endswith("/"):
+            if end := _HINT.match(source, last):
+                last = end.end()
+            continue
         if name in _FOREIGN:
             continue
+        if name in _CONTROLS:
+            control = "" if m[1] else name
+            if not m[1]:
+                buffer.append(" ")
+            continue
         if name in _INLINE:
             if name == "a":
-                link = 0 if m[2] else 1
-            if not m[2]:
+                link = 0 if m[1] else 1
+            if not m[1]:
                 page.tags[stack[-1]] += 1
             continue
         if name == "br":
@@ -143,35 +171,28 @@ def parse(source: str, marked: bool = True) -> Page:
             page.tags[stack[-1]] += 1
             continue
         flush()
-        link = 0
-        if m[2]:
-            for at in range(len(stack) - 1, 0, -1):
-                if tags[stack[at]] == name:
-                    del stack[at:]
-                    break
+        link, control = 0, ""
+        if m[1]:
+            if at := innermost((name,)):
+                close(at)
             continue
-        if name in ("html", "body") and (name == "html" or any(tags[s] == "body" for s in stack)):
+        if name == "html" or (name == "body" and open_at.get("body")):
             continue
-        while name in _CLOSES_P and tags[stack[-1]] in ("option", "optgroup", "select"):
-            stack.pop()
+        while name in _CLOSES_P and tags[stack[-1]] in ("option", "select"):
+            close(len(stack) - 1)
         if name in _CLOSES_P and tags[stack[-1]] == "p":
-            stack.pop()
+            close(len(stack) - 1)
         same = _SAME.get(name)
-        if same:
-            for at in range(len(stack) - 1, 0, -1):
-                t = tags[stack[at]]
-                if t in same:
-                    del stack[at:]
-                    break
-                if t in _SCOPE[name]:
-                    break
+        if same and (at := innermost(same)) > innermost(_SCOPE[name]):
+            close(at)
         if name in _VOID:
             page.tags[stack[-1]] += 1
             continue
         if name == "body":
-            del stack[1:]
-        stack.append(node(name, m[4]))
-    if last < len(source):
+            close(1)
+        open_at.setdefault(name, []).append(len(stack))
+        stack.append(node(name, m[3]))
+    if last < len(source) and not control:
         buffer.append(source[last:])
         if link:
             page.links[stack[-1]] += len(source) - last
