@@ -5,15 +5,22 @@ score is the normalised difference (general - in-domain) / general of the two co
 both in bits.
 
 The dictionaries are built from counts over the whole corpus, by the COVER idea: every gram of
-``GRAM`` bytes of every document is counted (hashed to 2**BITS buckets), for all documents and for
-those of the domain; then each document offers segments of ``SEGMENT`` bytes that cover many
-grams whose counts are high for the respective dictionary. The best of each task go to a
-distributed top-k, so what is gathered follows the corpus and what is kept is bounded by
-``DICT_BYTES``.
+``GRAM`` bytes of every document is counted (hashed to buckets), for all documents and for those of
+the domain; then segments of ``SEGMENT`` bytes that cover many grams whose counts are high for the
+respective dictionary are gathered from all documents. The best of the whole corpus are chosen: each
+task offers as many as could be chosen in all, so none that belongs to the best is missed and the
+result doesn't depend on the partitions.
+
+What is gathered grows with the corpus: dictionaries, buckets and chosen segments all grow as the
+square root of its bytes (``sizes``): 64 KB a dictionary up to 0.1 GB of text, 1.1 MB at 30 GB, 64 MB
+at 100 TB. They do not grow in proportion, since every task holds both dictionaries; the counts that
+are shuffled on the way do.
 
 Edge cases: null and empty texts have size and score 0; without documents of the domain the
-in-domain dictionary is empty; texts of any length are compressed whole; repeated rows get equal
-results; an empty table gives an empty result; extra columns are ignored.
+in-domain dictionary is empty; texts of any length are compressed whole; segments that tie go in the
+order of their bytes; null ids are scored but never of the domain, rows that share an id are of the
+domain together; repeated rows get equal results; an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -27,90 +34,119 @@ from pyspark.sql import functions as F
 
 from loamgrid.llm._core import byte_views, checkpoint, prefix_hash, released, row_chunks, share, span_hash, table
 
-GRAM, BITS, SEGMENT, DICT_BYTES, PER_TASK = 8, 17, 64, 65_536, 512
+GRAM, BITS, SEGMENT, DICT_BYTES = 8, 17, 64, 65_536
+#: Bytes of text up to which a dictionary has DICT_BYTES and grams 2**BITS buckets.
+BASE_BYTES = 100_000_000
 LEVEL = 3
 #: Ids of labelled documents that may be broadcast.
 MAX_BROADCAST_IDS = 1_000_000
 
 
-def _grams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sizes(corpus_bytes: int) -> tuple[int, int]:
+    """(bytes of a dictionary, bits of a bucket's number) for a corpus."""
+    growth = max(1.0, corpus_bytes / BASE_BYTES) ** 0.5
+    return int(DICT_BYTES * growth), BITS + int(np.ceil(np.log2(growth)))
+
+
+def _grams(raw: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket, row, position) of all grams within rows."""
     buf, bounds = raw[off[0] : off[-1]], off - off[0]
     at = np.arange(max(0, len(buf) - GRAM + 1))
-    bucket = (span_hash(prefix_hash(buf), at, at + GRAM) >> np.uint64(64 - BITS)).astype(np.int64)
+    bucket = (span_hash(prefix_hash(buf), at, at + GRAM) >> np.uint64(64 - bits)).astype(np.int64)
     row = np.searchsorted(bounds, at, side="right") - 1
     ok = at + GRAM <= bounds[row + 1]
     return bucket[ok], row[ok], at[ok]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, all, domain): gram counts of each task, summed before they are sent."""
-    total = np.zeros((2, 1 << BITS), np.int64)
-    for batch in batches:
-        raw, off = byte_views(batch.column(0))
-        inside = np.asarray(batch.column(1))
-        for a, b in row_chunks(off):
-            bucket, row, _ = _grams(raw, off[a : b + 1])
-            total[0] += np.bincount(bucket, minlength=1 << BITS)
-            total[1] += np.bincount(bucket[inside[a + row] > 0], minlength=1 << BITS)
-    at = np.flatnonzero(total[0])
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0, at]), pa.array(total[1, at])], ["bucket", "total", "domain"])
+def _count(bits: int):
+    """(bucket, total, domain): gram counts of each task, summed before they are sent."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 1 << bits), np.int64)
+        for batch in batches:
+            raw, off = byte_views(batch.column(0))
+            inside = np.asarray(batch.column(1))
+            for a, b in row_chunks(off):
+                bucket, row, _ = _grams(raw, off[a : b + 1], bits)
+                for kind, some in enumerate((bucket, bucket[inside[a + row] > 0])):
+                    if 16 * len(some) < 1 << bits:
+                        np.add.at(total[kind], some, 1)
+                    else:
+                        total[kind] += np.bincount(some, minlength=1 << bits)
+        at = np.flatnonzero(total[0])
+        for a in range(0, len(at), 1 << 16):
+            part = at[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[0, part]), pa.array(total[1, part])], ["bucket", "total", "domain"])
 
-def _offer(counts):
+    return run
+
+
+class _Best:
+    """The ``keep`` segments of greatest gain, ties in the order of their bytes; equal ones count once."""
+
+    def __init__(self, keep: int):
+        self.keep, self.floor, self.held = keep, 0.0, {}
+
+    def offer(self, gain: np.ndarray, cut) -> None:
+        """Gains of segments and a function that gives the bytes of one."""
+        for i in np.flatnonzero((gain > 0) & (gain >= self.floor)).tolist():
+            self.held[cut(i)] = gain.item(i)
+        if len(self.held) > 2 * self.keep:
+            self.trim()
+
+    def trim(self) -> None:
+        self.held = dict(sorted(self.held.items(), key=lambda x: (-x[1], x[0]))[: self.keep])
+        if len(self.held) == self.keep:
+            self.floor = min(self.held.values())
+
+
+def _offer(counts, bits: int, keep: int):
     """(kind, gain, segment): a task's best segments for the general (0) and in-domain (1) dictionary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = counts()
-        best: list[dict[bytes, float]] = [{}, {}]
+        best = [_Best(keep), _Best(keep)]
         for batch in batches:
             raw, off = byte_views(batch.column(0))
             inside = np.asarray(batch.column(1))
             for a, b in row_chunks(off):
                 buf, bounds = raw[off[a] : off[b]], off[a : b + 1] - off[a]
-                bucket, row, at = _grams(raw, off[a : b + 1])
+                bucket, row, at = _grams(raw, off[a : b + 1], bits)
                 if not len(at):
                     continue
                 # a segment is a stretch of a fixed grid within its document; its gain the sum over distinct grams
                 part = (at - bounds[row]) // SEGMENT
-                key = row * (int(part.max()) + 1) + part
-                order = np.lexsort((bucket, key))
-                fresh = np.r_[True, (np.diff(key[order]) != 0) | (np.diff(bucket[order]) != 0)]
-                pick = order[fresh]
-                _, first, group = np.unique(key[pick], return_index=True, return_inverse=True)
-                begin = at[np.minimum.reduceat(pick, first)]
-                owner = row[pick[first]]
+                fresh = np.concatenate([[True], (np.diff(row) != 0) | (np.diff(part) != 0)])
+                key = np.cumsum(fresh) - 1
+                pick = np.unique(key << bits | bucket)
+                group, begin = pick >> bits, at[fresh]
+                owner = row[fresh]
+                end = np.minimum(begin + SEGMENT, bounds[owner + 1])
                 for kind in (0, 1):
-                    gain = np.bincount(group, both[kind][bucket[pick]], minlength=len(first))
+                    gain = np.bincount(group, both[kind][pick & (1 << bits) - 1], minlength=len(begin))
                     if kind:
                         gain = np.where(inside[a + owner] > 0, gain, 0)
-                    floor = min(best[kind].values()) if len(best[kind]) >= PER_TASK else 0.0
-                    top = np.flatnonzero(gain > floor)
-                    top = top[np.argsort(-gain[top], kind="stable")[:PER_TASK]]
-                    for i in top:
-                        s = int(begin[i])
-                        text = buf[s : min(s + SEGMENT, int(bounds[owner[i] + 1]))].tobytes()
-                        best[kind][text] = max(best[kind].get(text, 0.0), float(gain[i]))
-                    if len(best[kind]) > 2 * PER_TASK:
-                        best[kind] = dict(sorted(best[kind].items(), key=lambda kv: (-kv[1], kv[0]))[:PER_TASK])
+                    best[kind].offer(gain, lambda i, buf=buf, begin=begin, end=end: buf[begin[i] : end[i]].tobytes())
         for kind in (0, 1):
-            rows = sorted(best[kind].items(), key=lambda kv: (-kv[1], kv[0]))[:PER_TASK]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array([g for _, g in rows]), pa.array([t for t, _ in rows], pa.binary())], ["kind", "gain", "segment"])
+            best[kind].trim()
+            rows = list(best[kind].held.items())
+            for a in range(0, len(rows), 1 << 14):
+                text, gain = zip(*rows[a : a + (1 << 14)], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(text), pa.int32()), pa.array(gain, pa.float64()), pa.array(text, pa.binary())], ["kind", "gain", "segment"])
 
     return run
 
 
-def _assemble(rows: list[tuple[float, bytes]], counts: np.ndarray, size: int) -> bytes:
+def _assemble(segments: list[bytes], counts: np.ndarray, size: int, bits: int) -> bytes:
     """A raw-content dictionary: segments in order of gain, each counted only for grams not covered yet; the best last."""
     out, used, left = [], 0, np.array(counts, float)
-    for _, text in rows:
+    for text in segments:
         if used >= size:
             break
         buf = np.frombuffer(text, np.uint8)
         if len(buf) < GRAM:
             continue
-        bucket = np.unique(_grams(buf, np.array([0, len(buf)]))[0])
+        bucket = np.unique(_grams(buf, np.array([0, len(buf)]), bits)[0])
         if left[bucket].sum() <= 0.5 * counts[bucket].sum():
             continue
         left[bucket] = 0
@@ -119,24 +155,29 @@ def _assemble(rows: list[tuple[float, bytes]], counts: np.ndarray, size: int) ->
     return b"".join(reversed(out))
 
 
-def dictionaries(docs: DataFrame, domain: Column, size: int = DICT_BYTES) -> tuple[bytes, bytes]:
-    """(general, in-domain) dictionaries of the corpus; ``domain`` marks the documents of the domain."""
+def dictionaries(docs: DataFrame, domain: Column, size: int | None = None) -> tuple[bytes, bytes]:
+    """(general, in-domain) dictionaries of the corpus; ``domain`` marks the documents of the domain.
+
+    ``size`` is that of a dictionary; without it, it follows the corpus.
+    """
     rows = docs.select("text", F.coalesce(domain, F.lit(False)).cast("int").alias("inside"))
-    t = rows.mapInArrow(released(_count), "bucket long, total long, domain long").groupBy("bucket").agg(F.sum("total").alias("total"), F.sum("domain").alias("domain")).toArrow()  # at most 2**BITS rows
-    counts = np.zeros((2, 1 << BITS))
+    grown, bits = sizes(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    size = size or grown
+    t = rows.mapInArrow(released(_count(bits)), "bucket long, total long, domain long").groupBy("bucket").agg(F.sum("total").alias("total"), F.sum("domain").alias("domain")).toArrow()  # at most 2**bits rows
+    counts = np.zeros((2, 1 << bits))
     at = np.asarray(t.column("bucket"))
     counts[0, at], counts[1, at] = np.asarray(t.column("total")), np.asarray(t.column("domain"))
     # a gram of the domain counts by how much more often it occurs there than expected
     share_ = counts[1].sum() / max(1.0, counts[0].sum())
     weight = np.stack([np.log1p(counts[0]), np.maximum(np.log1p(counts[1]) - np.log1p(counts[0] * share_), 0) * np.log1p(counts[1])])
     sent = share(docs.sparkSession, weight.astype(np.float32))
-    # the driver gets what two dictionaries can need, whatever the corpus
+    # of the segments in order of gain about every fourth adds what those before it don't have
     keep = 4 * size // SEGMENT
-    best = checkpoint(rows.mapInArrow(released(_offer(sent)), "kind int, gain double, segment binary"))  # a few segments a task; the texts are read once
+    best = checkpoint(rows.mapInArrow(released(_offer(sent, bits, keep)), "kind int, gain double, segment binary"))  # the texts are read once
     out = []
     for kind in (0, 1):
-        got = best.filter(F.col("kind") == kind).groupBy("segment").agg(F.max("gain").alias("gain")).orderBy(F.desc("gain"), "segment").limit(keep).collect()
-        out.append(_assemble([(r.gain, bytes(r.segment)) for r in got], weight[kind], size))
+        got = best.filter(F.col("kind") == kind).groupBy("segment").agg(F.max("gain").alias("gain")).orderBy(F.desc("gain"), "segment").limit(keep).select("segment").toArrow()
+        out.append(_assemble(got.column(0).to_pylist(), weight[kind], size, bits))
     return out[0], out[1]
 
 
@@ -150,7 +191,10 @@ def score(docs: DataFrame, general: bytes, inside: bytes, level: int = LEVEL) ->
         for content in (general, inside):
             if len(content) >= 8:
                 d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=level)
+                if len(content) > 1 << 20:  # the level's own window wouldn't reach all of it
+                    d.precompute_compress(compression_params=zstandard.ZstdCompressionParameters.from_level(level, window_log=min(27, len(content).bit_length() + 1)))
+                else:
+                    d.precompute_compress(level=level)
                 tools.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
             else:
                 tools.append(zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False))

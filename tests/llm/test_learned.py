@@ -123,6 +123,24 @@ def test_compression(spark, frames):
     assert abs(x.bits_domain - 8 * len(c.compress(rows[5][1].encode()))) <= 8 * 0.05 * len(rows[5][1])
 
 
+def test_compression_does_not_depend_on_partitions(spark, frames, monkeypatch):
+    _, docs, labels = frames
+    monkeypatch.setattr(compression, "DICT_BYTES", 2048)  # less than the corpus has, so segments compete
+    scores = [sorted((x.doc_id or 0, x.bits_general, x.bits_domain) for x in compression.evaluate(docs.repartition(n), labels).collect()) for n in (1, 6, 16)]
+    assert scores[0] == scores[1] == scores[2]
+
+
+def test_compression_grows_with_the_corpus():
+    assert compression.sizes(0) == compression.sizes(10**8) == (65_536, 17)
+    assert compression.sizes(4 * 10**8) == (131_072, 18)
+    assert compression.sizes(10**14)[0] == 1000 * 65_536
+    held = compression._Best(2)
+    for gain, text in ((3.0, b"b"), (3.0, b"a"), (5.0, b"c"), (3.0, b"a"), (1.0, b"d")):
+        held.offer(np.array([gain]), lambda _, t=text: t)
+    held.trim()
+    assert held.held == {b"c": 5.0, b"a": 3.0}
+
+
 PAGE = '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">A</a></li></ul></nav><div class="ad">Buy  now</div>{}<footer>&copy; x'
 
 
@@ -160,6 +178,52 @@ def test_drawings_formulas_and_controls_do_not_swallow_what_follows():
     assert read(f"<p>{s} <object data=x>instead</object> is {s}</p>") == f"{s} instead is {s}"
 
 
+def test_tags_are_read_as_browsers_do():
+    trees = html.model()
+
+    def read(article):
+        p = html.parse(PAGE.replace("{}", f"<article>{article}</article>"), marked=False)
+        return html.main_text(p, trees.raw(html.features(p)))
+
+    s = "Plain words of a sentence that goes on, and on."
+    for x, want in (
+        (f"<p class=it's>{s}</p>", s),
+        (f"<p title='a>b' x=\"c>d\" y = e/>{s}</p>", s),
+        (f"<p>{s} <button>Buy</button> two <label>Name <b>x</b></label>three</p>", f"{s} two three"),
+        (f"<p>{s} <button>Buy<p>{s}</p>", f"{s} {s}"),
+        (f"<p>a < b, 1 <2 and {s}</p>", f"a < b, 1 <2 and {s}"),
+        (f"<p>{s}<!--> and {s}<!-- x --!> end", f"{s} and {s} end"),
+        (f"<p>{s}</p><script>'</p>' < 1</script ><p>{s}</p>", f"{s} {s}"),
+        (f"<p>{s}</p></3><?x?><p>{s}</p>", f"{s} {s}"),
+    ):
+        assert read(x).removesuffix("x").strip() == want, x
+
+
+def test_any_bytes_are_read_in_linear_time():
+    import time
+
+    trees, r = html.model(), random.Random(5)
+
+    def read(page):
+        p = html.parse(page, marked=False)
+        return html.main_text(p, trees.raw(html.features(p)))
+
+    bits = ["<", ">", "/", '"', "'", "=", "a", "p", "div", "script", "svg", "li", "td", "table", "!--", "-->", "&", " ", "\x00", "é", "title", "button", "br", "body", "&#x", "select", "option", "desc"]
+    whole = html._Maker(3).page()
+    for i in range(1500):
+        read("".join(r.choice(bits) for _ in range(r.randrange(60))))
+        read(whole[: r.randrange(len(whole))] + bytes(r.randrange(256) for _ in range(i % 40)).decode("latin-1"))
+
+    def seconds(page):
+        began = time.process_time()
+        read(page)
+        return time.process_time() - began
+
+    for x in ("<a b ", "<a '", "<a x='", "<p ", "<!--", "</script ", "<desc>", "<p><div></p>", "<div></p>", "<td><li>", "<", "&", "<svg><title>", "<a ='", "<div><tr></tr>", "<select><p>"):
+        n = 80_000 // len(x)
+        assert seconds(x * 8 * n) < 30 * max(seconds(x * n), 0.05), x
+
+
 def test_training_marks_are_not_read_from_pages(spark):
     s = "Plain words of a sentence that goes on, and on."
     marks = ['data-year="2024"', 'data-y="12.5"', "data-y", "data-y=0", "data-y=1", 'title="data-y=0"', ""]
