@@ -104,7 +104,7 @@ def _offer(counts, bits: int, keep: int):
     """(kind, gain, segment): a task's best segments for the general (0) and in-domain (1) dictionary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = counts()
+        both = [np.append(w, 0.0) for w in counts()]  # the last bucket stands for no gram
         best = [_Best(keep), _Best(keep)]
         for batch in batches:
             raw, off = byte_views(batch.column(0))
@@ -115,18 +115,19 @@ def _offer(counts, bits: int, keep: int):
                 if not len(at):
                     continue
                 # a segment is a stretch of a fixed grid within its document; its gain the sum over distinct grams
-                part = (at - bounds[row]) // SEGMENT
+                part, column = np.divmod(at - bounds[row], SEGMENT)
                 fresh = np.concatenate([[True], (np.diff(row) != 0) | (np.diff(part) != 0)])
-                key = np.cumsum(fresh) - 1
-                pick = np.unique(key << bits | bucket)
-                group, begin = pick >> bits, at[fresh]
-                owner = row[fresh]
+                grams = np.full((int(fresh.sum()), SEGMENT), 1 << bits, np.int32)
+                grams[np.cumsum(fresh) - 1, column] = bucket
+                grams.sort(axis=1)
+                again = grams[:, 1:] == grams[:, :-1]
+                begin, owner = at[fresh], row[fresh]
                 end = np.minimum(begin + SEGMENT, bounds[owner + 1])
-                for kind in (0, 1):
-                    gain = np.bincount(group, both[kind][pick & (1 << bits) - 1], minlength=len(begin))
-                    if kind:
-                        gain = np.where(inside[a + owner] > 0, gain, 0)
-                    best[kind].offer(gain, lambda i, buf=buf, begin=begin, end=end: buf[begin[i] : end[i]].tobytes())
+                for kind, some in enumerate((slice(None), np.flatnonzero(inside[a + owner] > 0))):
+                    worth = both[kind][grams[some]]
+                    worth[:, 1:][again[some]] = 0
+                    s, e = begin[some], end[some]
+                    best[kind].offer(worth.sum(axis=1), lambda i, buf=buf, s=s, e=e: buf[s[i] : e[i]].tobytes())
         for kind in (0, 1):
             best[kind].trim()
             rows = list(best[kind].held.items())
