@@ -14,9 +14,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the scan has fewer parts than the session has cores, as one small file has.
+
+    A table with as many parts as cores is left as it is, so no large table is shuffled by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entry_id, topic, body, ts_min, source, confidence, tags) of every document."""
-    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    docs, labels = spread(read(spark, sf_dir, "documents")), read(spark, sf_dir, "labels")
     d = docs.join(labels, "doc_id", "left")
     tags = F.array_compact(F.array(F.col("lang"), F.when(F.col("quality") == 1, "gotcha"), F.when(F.col("toxic") == 1, "constraint")))
     return d.select(
