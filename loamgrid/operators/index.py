@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgrid.functions import text as X
+from loamgrid.sources.shared import checkpoint
 
 
 def occurrences(entries: DataFrame) -> DataFrame:
@@ -46,12 +47,24 @@ def term_stats(posts: DataFrame, stats: DataFrame) -> DataFrame:
     return d.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", idf(F.col("df").cast("double"), F.col("n").cast("double")).alias("idf"))
 
 
-def xref_edges(entries: DataFrame, posts: DataFrame) -> DataFrame:
-    """(src, dst, mentions): entries of src that hold every token of another topic's name."""
+#: Words of topics' names that may be broadcast.
+MAX_BROADCAST_NAMES = 1_000_000
+
+
+def xref_edges(entries: DataFrame, posts: DataFrame | None = None) -> DataFrame:
+    """(src, dst, mentions): entries of src that hold every token of another topic's name.
+
+    Names are few beside postings: where a count says so they are broadcast, and only postings of
+    their words are moved. Without stored postings the texts are read, for those words alone.
+    """
     topics = entries.select("topic").distinct()
     names = topics.select(F.col("topic").alias("dst"), F.explode(F.array_distinct(X.tokens("topic"))).alias("term"))
+    names = checkpoint(names)
+    hint = F.broadcast if names.limit(MAX_BROADCAST_NAMES + 1).count() <= MAX_BROADCAST_NAMES else lambda df: df
     need = names.groupBy("dst").agg(F.count("*").alias("need"))
-    found = posts.join(names, "term").groupBy("dst", "entry_id").agg(F.count("*").alias("have")).join(need, "dst").filter("have = need")
+    if posts is None:
+        posts = occurrences(entries).join(hint(names.select("term").distinct()), "term", "left_semi").distinct()
+    found = posts.join(hint(names), "term").groupBy("dst", "entry_id").agg(F.count("*").alias("have")).join(hint(need), "dst").filter("have = need")
     return found.join(entries.select("entry_id", F.col("topic").alias("src")), "entry_id").filter("src <> dst").groupBy("src", "dst").agg(F.least(F.count("*"), F.lit(65535)).alias("mentions"))
 
 

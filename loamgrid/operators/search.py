@@ -1,13 +1,14 @@
 """Ranked search: one plan from queries to hits, for a single query or a batch.
 
-Queries are a table (query_id, term), so a batch is one job. Postings meet the queries' terms by a
-broadcast of the terms, whose number the caller bounds (a query has at most ``MAX_TERMS`` terms; larger
-tables are joined by shuffle). Filters act on the entries before scoring.
+Queries are a table (query_id, term), so a batch is one job. ``scored`` reads a stored index, whose
+postings are clustered by term: a few terms are pushed down to the scan, many meet the postings in a
+join. ``scan`` needs no index. Tables of the queries' terms are broadcast after one count of the
+queries. Filters act on the entries before scoring.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,6 +20,8 @@ from loamgrid.sources.tables import AS_OF, day
 
 K1, B = 1.2, 0.75
 MAX_BROADCAST_TERMS = 1_000_000
+#: Terms that are pushed down to the scan of stored postings.
+MAX_PUSHED_TERMS = 500
 
 
 def query_terms(spark: SparkSession, queries: dict[int, str] | list[str]) -> DataFrame:
@@ -35,6 +38,11 @@ def terms_of(queries: DataFrame, limit: int | None = None) -> DataFrame:
     return queries.select("query_id", t.alias("terms")).select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
 
 
+def hint_of(queries: DataFrame, bound: int = MAX_BROADCAST_TERMS) -> Callable[[DataFrame], DataFrame]:
+    """What to do with tables of at most a row per row of ``queries``: broadcast them, if these are few."""
+    return F.broadcast if queries.limit(bound + 1).count() <= bound else lambda df: df
+
+
 def small(df: DataFrame, bound: int = MAX_BROADCAST_TERMS) -> DataFrame:
     """Broadcast hint for a table that is counted to be small; larger ones are left to be shuffled."""
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
@@ -66,11 +74,6 @@ def shortcut(word: str, as_of: int = AS_OF) -> int:
     return as_of - {"today": 0, "yesterday": 1, "week": 7, "month": 30}[word]
 
 
-def matches(entries: DataFrame, queries: DataFrame, posts: DataFrame) -> DataFrame:
-    """(query_id, n_terms, entry_id, term, tf) of the filtered entries."""
-    return posts.join(small(queries), "term").join(entries.select("entry_id"), "entry_id", "left_semi")
-
-
 def bm25(tf: Column, dl: Column, avgdl: Column, weight: Column) -> Column:
     norm = F.lit(1 - B) + F.lit(B) * dl.cast("double") / F.greatest(avgdl, F.lit(1.0))
     return weight * tf * (K1 + 1) / (tf + F.lit(K1) * norm)
@@ -83,12 +86,27 @@ def _score(rows: DataFrame, entries: DataFrame, as_of: int) -> DataFrame:
     return rows.join(meta, "entry_id").groupBy("query_id", "entry_id").agg(F.sum(s).alias("score"), F.count("*").alias("hits"), F.first("n_terms").alias("n_terms"), F.first("topic").alias("topic"), F.first("tags").alias("tags"))
 
 
-def scored(entries: DataFrame, queries: DataFrame, posts: DataFrame, stats: DataFrame, as_of: int = AS_OF) -> DataFrame:
-    """(query_id, entry_id, topic, tags, hits, n_terms, score) from a stored index, with its corpus statistics."""
-    wanted = posts.join(small(queries), "term")
-    df = posts.join(small(queries.select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("df"))
-    df = df.crossJoin(F.broadcast(stats)).select("term", I.idf(F.col("df").cast("double"), F.col("n").cast("double")).alias("idf"), "avgdl")
-    return _score(wanted.join(small(df), "term").join(I.lengths(posts), "entry_id"), entries, as_of)
+def scored(entries: DataFrame, queries: DataFrame, posts: DataFrame, stats: DataFrame, as_of: int = AS_OF, lengths: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """(query_id, entry_id, topic, tags, hits, n_terms, score) from postings and their corpus statistics.
+
+    ``lengths`` (entry_id, dl) and ``terms`` (term, idf) of a stored index spare their computation.
+    """
+    hint = hint_of(queries)
+    asked = queries.select("term").distinct()
+    few = [r.term for r in asked.limit(MAX_PUSHED_TERMS + 1).collect()]
+    own = posts.filter(F.col("term").isin(few)) if len(few) <= MAX_PUSHED_TERMS else posts.join(hint(asked), "term", "left_semi")
+    if terms is None:
+        df = own.groupBy("term").agg(F.count("*").alias("df"))
+        terms = df.crossJoin(F.broadcast(stats.select("n"))).select("term", I.idf(F.col("df").cast("double"), F.col("n").cast("double")).alias("idf"))  # stats: one row
+    elif len(few) <= MAX_PUSHED_TERMS:
+        terms = terms.filter(F.col("term").isin(few))
+    weight = hint(queries.join(terms.select("term", "idf"), "term")).crossJoin(F.broadcast(stats.select("avgdl")))
+    return _score(own.join(hint(weight), "term").join(I.lengths(posts) if lengths is None else lengths, "entry_id"), entries, as_of)
+
+
+def stored(index: dict[str, DataFrame], entries: DataFrame, queries: DataFrame, as_of: int = AS_OF) -> DataFrame:
+    """``scored`` with all tables of a stored index (``index.load``); ``entries`` are its filtered ``entry_meta``."""
+    return scored(entries, queries, index["postings"], index["index_stats"], as_of, index["entry_meta"].select("entry_id", F.coalesce("dl", F.lit(0)).alias("dl")), index["term_stats"])
 
 
 def scan(corpus: DataFrame, entries: DataFrame, queries: DataFrame, as_of: int = AS_OF) -> DataFrame:
@@ -97,7 +115,8 @@ def scan(corpus: DataFrame, entries: DataFrame, queries: DataFrame, as_of: int =
     Only the queries' terms are told apart; all other tokens of an entry are one row, so what is
     shuffled is a few rows an entry. Statistics, lengths and hits come from that one exchange.
     """
-    asked = small(queries.select("term").distinct()).withColumn("asked", F.lit(True))
+    hint = hint_of(queries)
+    asked = hint(queries.select("term").distinct()).withColumn("asked", F.lit(True))
     # other tokens are the empty term: a key that is never null lets no filter be pushed into one user of the exchange alone
     term = F.coalesce(F.when(F.col("asked"), F.col("term")), F.lit(""))
     counts = I.occurrences(corpus).join(asked, "term", "left").select("entry_id", term.alias("term")).groupBy("entry_id", "term").agg(F.count("*").alias("tf"))
@@ -106,7 +125,7 @@ def scan(corpus: DataFrame, entries: DataFrame, queries: DataFrame, as_of: int =
     total = df.agg(F.sum("all").alias("total")).crossJoin(one).select("n", (F.floor(F.col("total") / F.greatest("n", F.lit(1)) * 100.0) / 100.0).alias("avgdl"))
     idf = df.crossJoin(F.broadcast(total)).select("term", I.idf(F.col("df").cast("double"), F.col("n").cast("double")).alias("idf"), "avgdl")
     rows = counts.withColumn("dl", F.sum("tf").over(Window.partitionBy("entry_id"))).withColumn("tf", F.least("tf", F.lit(65535)))
-    return _score(rows.join(small(queries), "term").join(F.broadcast(idf), "term"), entries, as_of)  # a row per asked term
+    return _score(rows.join(hint(queries), "term").join(hint(idf), "term"), entries, as_of)  # idf: a row per asked term, and one
 
 
 def scored_subset(entries: DataFrame, queries: DataFrame, posts: DataFrame) -> DataFrame:
@@ -115,16 +134,24 @@ def scored_subset(entries: DataFrame, queries: DataFrame, posts: DataFrame) -> D
     n = entries.agg(F.count("*").alias("n"))
     length = I.lengths(own)
     avg = length.agg(F.sum("dl").alias("total")).crossJoin(n).select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("avgdl"))
-    hits = own.join(small(queries), "term")
+    hint = hint_of(queries)
+    hits = own.join(hint(queries), "term")
     df = hits.select("term", "entry_id").distinct().groupBy("term").agg(F.count("*").alias("df"))
     w = df.crossJoin(F.broadcast(avg)).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"), "avgdl")
     s = bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"))
-    return hits.join(small(w), "term").join(length, "entry_id").groupBy("query_id", "entry_id").agg(F.sum(s).alias("score"), F.count("*").alias("hits"), F.first("n_terms").alias("n_terms"))
+    return hits.join(hint(w), "term").join(length, "entry_id").groupBy("query_id", "entry_id").agg(F.sum(s).alias("score"), F.count("*").alias("hits"), F.first("n_terms").alias("n_terms"))
 
 
-def choose(hits: DataFrame, mode: str = "auto") -> DataFrame:
-    """AND keeps hits with all terms, OR any; auto takes AND if a query has such a hit, else OR, in one plan."""
+def choose(hits: DataFrame, mode: str = "auto", limit: int | None = None) -> DataFrame:
+    """AND keeps hits with all terms, OR any; auto takes AND if a query has such a hit, else OR, in one plan.
+
+    With the ``limit`` of the list that is wanted, auto first takes as many of the hits of either kind,
+    tasks by themselves, so no task holds all hits of a query.
+    """
     every = F.col("hits") == F.col("n_terms")
+    if mode == "auto" and limit is not None:
+        w = Window.partitionBy("query_id", every).orderBy(F.desc("score"), "entry_id")
+        hits = hits.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit).drop("_r")
     if mode == "or":
         return hits
     if mode == "and":
@@ -139,15 +166,15 @@ def top(hits: DataFrame, limit: int = 20) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
-def batch_best(hits: DataFrame) -> DataFrame:
-    """Hits of several queries as one list: each entry with its best score."""
-    return hits.groupBy("entry_id").agg(F.max("score").alias("score"))
+def batch_best(hits: DataFrame, limit: int = 20) -> DataFrame:
+    """Hits of several queries as one list: each entry with its best score, the best of them, ties by entry_id."""
+    return hits.groupBy("entry_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "entry_id").limit(limit)
 
 
 def rerank(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """Half as much again if a term is part of the topic; 0.3 more for each term found in the tags."""
     q = queries.groupBy("query_id").agg(F.collect_list("term").alias("terms"))
-    h = hits.join(small(q), "query_id")
+    h = hits.join(hint_of(queries)(q), "query_id")
     in_topic = F.exists("terms", lambda t: F.contains(F.lower("topic"), t))
     line = F.lower(F.array_join("tags", " "))
     n_tags = F.size(F.filter("terms", lambda t: F.contains(line, t)))
@@ -155,13 +182,17 @@ def rerank(hits: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def diverse(hits: DataFrame, k: int = 20, cap: int = 3, override: float = 1.5) -> DataFrame:
-    """Top k with at most ``cap`` per topic unless a score exceeds ``override`` times the k-th best."""
+    """Top k with at most ``cap`` per topic unless a score exceeds ``override`` times the k-th best.
+
+    What exceeds it is among the best k, the rest among the best of their topics; both lists are cut
+    by the tasks before anything is moved.
+    """
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "entry_id")
     t = Window.partitionBy("query_id", "topic").orderBy(F.desc("score"), "entry_id")
-    ranked = hits.withColumn("pos", F.row_number().over(w)).withColumn("in_topic", F.row_number().over(t))
-    kth = F.max(F.when(F.col("pos") == k, F.col("score"))).over(Window.partitionBy("query_id"))
-    kept = ranked.withColumn("kth", F.coalesce(kth, F.lit(0.0))).filter((F.col("in_topic") <= cap) | (F.col("score") > override * F.col("kth")))
-    return top(kept.drop("pos", "in_topic", "kth"), k)
+    best = hits.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
+    above = best.withColumn("kth", F.coalesce(F.max(F.when(F.col("pos") == k, F.col("score"))).over(Window.partitionBy("query_id")), F.lit(0.0))).filter(F.col("score") > override * F.col("kth")).drop("pos", "kth")
+    in_topic = hits.withColumn("in_topic", F.row_number().over(t)).filter(F.col("in_topic") <= cap).drop("in_topic")
+    return top(above.unionByName(in_topic).dropDuplicates(["query_id", "entry_id"]), k)
 
 
 def diverse_exact(hits: DataFrame, k: int = 20, cap: int = 3, override: float = 1.5) -> DataFrame:
@@ -216,14 +247,17 @@ def totals(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.count("*").alias("n"), F.countDistinct("topic").alias("topics"))
 
 
-def hydrate(hits: DataFrame, entries: DataFrame) -> DataFrame:
-    """Bodies for the few hits that are left; the bodies of all others are never moved."""
-    return entries.select("entry_id", "body", "ts_min", "source").join(small(hits), "entry_id")
+def hydrate(hits: DataFrame, entries: DataFrame, rows: int) -> DataFrame:
+    """Bodies for the hits that are left, at most ``rows``; if these are few, no other body is moved."""
+    return entries.select("entry_id", "body", "ts_min", "source").join(F.broadcast(hits) if rows <= MAX_BROADCAST_TERMS else hits, "entry_id")
 
 
-def remove_similar(hits: DataFrame, entries: DataFrame, limit: float = 0.7) -> DataFrame:
-    """Drop hits of a result list that resemble a better one: a fold over each query's list in score order."""
-    h = hydrate(hits, entries).select("query_id", "entry_id", "score", X.long_terms("body").alias("terms"))
+def remove_similar(hits: DataFrame, entries: DataFrame, limit: float = 0.7, rows: int = 20) -> DataFrame:
+    """Drop hits of a result list that resemble a better one: a fold over each query's list in score order.
+
+    ``rows`` is what the lists hold at most, all queries together.
+    """
+    h = hydrate(hits, entries, rows).select("query_id", "entry_id", "score", X.long_terms("body").alias("terms"))
     rows = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "entry_id", "terms")))
     lists = h.groupBy("query_id").agg(rows.alias("rows"))  # result lists are bounded by their limit
 
@@ -234,21 +268,24 @@ def remove_similar(hits: DataFrame, entries: DataFrame, limit: float = 0.7) -> D
     return lists.select("query_id", F.explode(kept).alias("r")).select("query_id", "r.entry_id", (-F.col("r.neg")).alias("score"))
 
 
-def search(spark: SparkSession, entries: DataFrame, query: str, mode: str = "auto", limit: int = 20, posts: DataFrame | None = None, detail: str = "medium", **where) -> DataFrame:
-    """The search tool: query text with optional ``tag:``, ``topic:`` and ``source:`` words; one lazy plan."""
+def search(spark: SparkSession, entries: DataFrame, query: str, mode: str = "auto", limit: int = 20, index: dict[str, DataFrame] | None = None, detail: str = "medium", **where) -> DataFrame:
+    """The search tool: query text with optional ``tag:``, ``topic:`` and ``source:`` words; one lazy plan.
+
+    With the tables of a stored ``index`` no text but the result's is read.
+    """
     rest, found = X.parse_query(query)
     queries = query_terms(spark, [rest])
-    e = filters(entries, **(found | where))
-    hits = choose(scan(entries, e, queries) if posts is None else scored(e, queries, posts, I.corpus_stats(entries, posts)), mode)
-    if detail == "count":
-        return totals(hits)
-    if detail == "topics":
-        return by_topic(hits)
-    if detail == "grouped":
-        return grouped(rerank(hits, queries))
-    best = top(rerank(top(hits, limit), queries).drop("rank"), limit)
+    where = found | where
+    if index is None:
+        hits = scan(entries, filters(entries, **where), queries)
+    else:
+        hits = stored(index, filters(index["entry_meta"], **where), queries)
+    if detail in ("count", "topics", "grouped"):
+        hits = choose(hits, mode)
+        return totals(hits) if detail == "count" else by_topic(hits) if detail == "topics" else grouped(rerank(hits, queries))
+    best = top(rerank(top(choose(hits, mode, limit), limit), queries).drop("rank"), limit)
     if detail == "brief":
         return best
-    full = hydrate(best, e)
+    full = hydrate(best, entries, limit)
     date = F.date_format(F.timestamp_seconds(F.col("ts_min").cast("long") * 60), "yyyy-MM-dd HH:mm")
     return full.select("rank", "entry_id", "topic", "score", date.alias("date"), *([F.col("body")] if detail == "full" else [X.snippet(F.col("topic"), date, F.col("body")).alias("snippet")])).orderBy("rank")

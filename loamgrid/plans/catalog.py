@@ -17,6 +17,7 @@ from loamgrid.operators import search as S
 from loamgrid.operators import similarity as M
 from loamgrid.operators import topics as T
 from loamgrid.sources import log as L
+from loamgrid.sources.shared import folder
 from loamgrid.sources.tables import AS_OF, day, entries, file_mtimes, read, tool_events
 from loamgrid.streaming import sessions as Z
 
@@ -90,13 +91,34 @@ WORDS, RARE = "thin hand erst ndble", "thin zzyzx erst"
 TOP = "SELECT entry_id, round(score, 6) AS score FROM {} ORDER BY round(score, 6) DESC, entry_id LIMIT 20"
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str, anew: bool = False) -> dict[str, DataFrame]:
+    """The index of the entries, written to the shared folder by the session's first search."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if anew or key not in _INDEXES:
+        where = f"{folder(spark)}/index-{len(_INDEXES)}"
+        I.save(entries(spark, sf_dir), where)
+        _INDEXES[key] = where
+    return I.load(spark, _INDEXES[key])
+
+
+def _raw(spark: SparkSession, sf_dir: str, words: str = WORDS, **where) -> DataFrame:
+    index = stored_index(spark, sf_dir)
+    return S.stored(index, S.filters(index["entry_meta"], **where), S.query_terms(spark, [words]))
+
+
 def _hits(spark: SparkSession, sf_dir: str, words: str = WORDS, **where) -> DataFrame:
-    e = entries(spark, sf_dir)
-    return S.scan(e, S.filters(e, **where), S.query_terms(spark, [words]))
+    return _rounded(_raw(spark, sf_dir, words, **where))
+
+
+def _rounded(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("score", F.round("score", 6))
 
 
 def _top(hits: DataFrame) -> DataFrame:
-    return S.top(hits.withColumn("score", F.round("score", 6))).select("entry_id", "score")
+    return S.top(_rounded(hits)).select("entry_id", "score")
 
 
 # --- log and index ---
@@ -152,8 +174,7 @@ SELECT topic AS src, dst, CAST(least(count(*), 65535) AS BIGINT) AS mentions FRO
 def xref_edges(spark, d):
     e = entries(spark, d)
     first = F.regexp_extract(F.lower("body"), "([a-z]+)", 1)
-    p = I.postings(e)
-    return I.xref_edges(e.withColumn("topic", F.concat(first, F.lit("/"), F.substring_index("topic", "/", 1))), p)
+    return I.xref_edges(e.withColumn("topic", F.concat(first, F.lit("/"), F.substring_index("topic", "/", 1))))
 
 
 # --- search ---
@@ -165,12 +186,28 @@ def bm25_or(spark, d):
 
 
 @query(f"WITH {hits_sql(terms_cte(WORDS))} {TOP.format('hit')}")
-def bm25_stored(spark, d):
+def bm25_scan(spark, d):
+    e = entries(spark, d)
+    return _top(S.scan(e, e, S.query_terms(spark, [WORDS])))
+
+
+@query(f"WITH {hits_sql(terms_cte(WORDS))} {TOP.format('hit')}")
+def bm25_postings(spark, d):
     e = entries(spark, d)
     p = I.postings(e)
     return _top(S.scored(e, S.query_terms(spark, [WORDS]), p, I.corpus_stats(e, p)))
 
 
+@query(f"WITH {KB}, {POST} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM post GROUP BY ALL")
+def index_save(spark, d):
+    return stored_index(spark, d, anew=True)["postings"].groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+
+
+@query(f"WITH {KB}, {POST} SELECT kb.entry_id, topic, confidence, CAST(coalesce(dl, 0) AS BIGINT) AS dl FROM kb LEFT JOIN len ON kb.entry_id = len.entry_id")
+def index_meta(spark, d):
+    return stored_index(spark, d)["entry_meta"].select("entry_id", "topic", "confidence", F.coalesce("dl", F.lit(0)).alias("dl"))
+
+
 @query(f"WITH {hits_sql(terms_cte(WORDS))} {TOP.format('hit WHERE hits = n_terms')}")
 def bm25_and(spark, d):
     return _top(S.choose(_hits(spark, d), "and"))
@@ -181,7 +218,7 @@ _AUTO = "(SELECT *, max(CASE WHEN hits = n_terms THEN 1 ELSE 0 END) OVER (PARTIT
 
 @query(f"WITH {hits_sql(terms_cte(RARE))} {TOP.format(_AUTO)}")
 def bm25_fallback(spark, d):
-    return _top(S.choose(_hits(spark, d, RARE)))
+    return _top(S.choose(_hits(spark, d, RARE), limit=20))
 
 
 @query(f"WITH {hits_sql(terms_cte(WORDS), where='''(topic = 'en' OR topic LIKE 'en/%')''')} {TOP.format('hit')}")
@@ -216,17 +253,17 @@ def bm25_subset_stats(spark, d):
     return _top(S.scored_subset(S.filters(e, topic="en"), S.query_terms(spark, [WORDS]), I.postings(e)))
 
 
-_BATCH = f"SELECT item_id AS query_id, unnest(t) AS term, len(t) AS n_terms FROM (SELECT item_id, {terms_sql('text')}[1:6] AS t FROM benchmark)"
+_BATCH = f"SELECT item_id AS query_id, unnest(t) AS term, len(t) AS n_terms FROM (SELECT item_id, {terms_sql('text')} AS t FROM benchmark)"
 _BATCH_TOP = "t AS (SELECT query_id, entry_id, topic, tags, round(score, 6) AS score FROM (SELECT *, max(CASE WHEN hits = n_terms THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS a FROM hit) WHERE a = 0 OR hits = n_terms QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, entry_id) <= 20)"
 
 
 def _batch(spark, d):
-    e = entries(spark, d)
-    q = S.terms_of(read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 6)
-    return S.top(S.choose(S.scan(e, e, q)).withColumn("score", F.round("score", 6)))
+    index = stored_index(spark, d)
+    q = S.terms_of(read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+    return S.top(S.choose(_rounded(S.stored(index, index["entry_meta"], q)), limit=20))
 
 
-@query(f"WITH {hits_sql(_BATCH)}, {_BATCH_TOP} SELECT entry_id, max(score) AS score FROM t GROUP BY ALL")
+@query(f"WITH {hits_sql(_BATCH)}, {_BATCH_TOP} SELECT entry_id, max(score) AS score FROM t GROUP BY ALL ORDER BY score DESC, entry_id LIMIT 20")
 def search_batch(spark, d):
     return S.batch_best(_batch(spark, d))
 
@@ -243,7 +280,7 @@ _RERANK = f"""r AS (SELECT entry_id, score * CASE WHEN len(list_filter(ts, lambd
 
 @query(f"WITH {hits_sql(terms_cte(_RERANK_WORDS))}, {_RERANK} {TOP.format('r')}")
 def search_rerank(spark, d):
-    return _top(S.rerank(_hits(spark, d, _RERANK_WORDS), S.query_terms(spark, [_RERANK_WORDS])))
+    return _top(S.rerank(_raw(spark, d, _RERANK_WORDS), S.query_terms(spark, [_RERANK_WORDS])))
 
 
 _DIVERSE = """s AS (SELECT entry_id, topic, round(score, 6) AS score FROM hit), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, entry_id) AS pos, row_number() OVER (PARTITION BY topic ORDER BY score DESC, entry_id) AS it FROM s),
@@ -252,17 +289,17 @@ k AS (SELECT coalesce(max(CASE WHEN pos = 20 THEN score END), 0) AS kth FROM r)
 
 @query(f"WITH {hits_sql(terms_cte(WORDS))}, {_DIVERSE}")
 def search_diverse_sql(spark, d):
-    return S.diverse(_hits(spark, d).withColumn("score", F.round("score", 6))).select("entry_id", "score")
+    return S.diverse(_hits(spark, d)).select("entry_id", "score")
 
 
 @query()
 def search_diverse_exact(spark, d):
-    return S.diverse_exact(_hits(spark, d).withColumn("score", F.round("score", 6)))
+    return S.diverse_exact(_hits(spark, d))
 
 
 @query(f"WITH {hits_sql(terms_cte(WORDS))}, s AS (SELECT entry_id, topic, round(score, 6) AS score FROM hit) SELECT topic, entry_id, score, max(score) OVER (PARTITION BY topic) AS topic_best FROM s QUALIFY row_number() OVER (PARTITION BY topic ORDER BY score DESC, entry_id) <= 5")
 def search_grouped(spark, d):
-    return S.grouped(_hits(spark, d).withColumn("score", F.round("score", 6))).select("topic", "entry_id", "score", "topic_best")
+    return S.grouped(_hits(spark, d)).select("topic", "entry_id", "score", "topic_best")
 
 
 @query(f"WITH {hits_sql(terms_cte(WORDS))} SELECT topic, count(*) AS n FROM hit GROUP BY ALL")
@@ -277,7 +314,7 @@ def search_count(spark, d):
 
 @query()
 def search_dedup(spark, d):
-    best = S.top(_hits(spark, d).withColumn("score", F.round("score", 6)))
+    best = S.top(_hits(spark, d))
     return S.remove_similar(best, entries(spark, d))
 
 
@@ -687,12 +724,12 @@ def prompt_budget(spark, d):
     return T.budgeted(entries(spark, d), F.octet_length("topic") + 30 + F.octet_length("source"), 400, ["topic"], ["entry_id"]).select("topic", "entry_id")
 
 
-@query(f"WITH {KB}, g AS (SELECT topic, count(*) AS n, arg_min(body, entry_id) AS body FROM kb GROUP BY ALL) SELECT topic, n, CASE WHEN strlen({_FIRST}) <= 200 THEN {_FIRST} END AS sample FROM g")
+_CUT = "CASE WHEN strlen(x) <= 200 THEN x ELSE substr(x, 1, list_max(list_filter(range(1, 201), lambda i: strlen(substr(x, 1, i)) <= 200))) END"
+
+
+@query(f"WITH {KB}, g AS (SELECT topic, count(*) AS n, arg_min(body, entry_id) AS body FROM kb GROUP BY ALL), f AS (SELECT topic, n, {_FIRST} AS x FROM g) SELECT topic, n, {_CUT} AS sample FROM f")
 def drift_sample(spark, d):
-    e = entries(spark, d)
-    g = T.drift_sample(e)
-    whole = e.groupBy("topic").agg(F.min_by("body", "entry_id").alias("body"))
-    return g.join(whole, "topic").select("topic", "n", F.when(F.octet_length(X.first_content("body")) <= 200, F.col("sample")).alias("sample"))
+    return T.drift_sample(entries(spark, d)).select("topic", "n", "sample")
 
 
 @query(f"WITH {KB}, t AS (SELECT topic FROM kb GROUP BY ALL ORDER BY count(*) DESC, topic LIMIT 5) SELECT topic, entry_id, CAST(row_number() OVER (PARTITION BY topic ORDER BY ts_min, entry_id) AS INTEGER) AS age_rank FROM kb WHERE topic IN (SELECT topic FROM t)")
