@@ -143,12 +143,41 @@ def analyze(lines: DataFrame, topic: str, ts_min: int) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def build_errors(outputs: DataFrame, most: int = 5) -> DataFrame:
-    """(id, at, error): distinct error lines of each output (id, output), a few each, in order."""
-    rows = outputs.select("id", F.posexplode(F.split("output", r"\\n|\n")).alias("at", "error")).withColumn("error", X.truncate_bytes(X.trim("error"), 200))
-    hit = rows.filter(F.contains("error", F.lit(": error:")) | F.contains("error", F.lit("error[E")))
-    once = hit.groupBy("id", "error").agg(F.min("at").alias("at"))
-    return once.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("at"))).filter(F.col("rank") <= most)
+def is_build(command: Column | str) -> Column:
+    """The command builds something."""
+    c = X.col(command)
+    return (F.contains(c, F.lit("xcodebuild")) & F.contains(c, F.lit("build"))) | c.rlike("cargo build|swift build|swiftc ")
+
+
+def has_error(output: Column | str) -> Column:
+    """The output tells of an error or a failed build."""
+    return X.col(output).rlike(r"error:|error\[E|BUILD FAILED|\*\* FAILED \*\*")
+
+
+def build_errors(outputs: DataFrame, most: int = 5, failures: int = 3) -> DataFrame:
+    """(id, at, error): distinct error lines of each output (id, output), a few each, in order; without any, its lines of failure."""
+    rows = outputs.select("id", F.posexplode(F.split("output", r"\\n|\n")).alias("at", "error")).withColumn("error", X.trim("error"))
+    error = F.contains("error", F.lit(": error:")) | F.contains("error", F.lit("error[E"))
+    failed = F.col("error").rlike(r"BUILD FAILED|\*\* FAILED \*\*|aborting")
+    hit = rows.withColumn("sort", F.when(error, 0).when(failed, 1)).filter("sort is not null")
+    once = hit.groupBy("id", "sort", F.when(F.col("sort") == 0, F.lit(0)).otherwise(F.col("at")).alias("each"), "error").agg(F.min("at").alias("at"))
+    w = Window.partitionBy("id")
+    kept = once.withColumn("first", F.min("sort").over(w)).filter("sort = first").withColumn("rank", F.row_number().over(w.orderBy("at")))
+    return kept.filter(F.col("rank") <= F.when(F.col("sort") == 0, most).otherwise(failures)).select("id", "at", X.truncate_bytes(F.col("error"), 200).alias("error"), "rank")
+
+
+def build_notes(calls: DataFrame) -> DataFrame:
+    """(id, topic, body): what is stored by itself of build calls (id, command, output) that failed."""
+    failed = calls.filter(is_build("command") & has_error("output"))
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "error"))), lambda x: x["error"]), "\n")
+    return build_errors(failed).groupBy("id").agg(F.concat(F.lit("[tags: auto, build-error]\n"), lines).alias("body")).select("id", F.lit("build-errors").alias("topic"), "body")
+
+
+def listing(lines: DataFrame, glob: str, limit: int = 50) -> DataFrame:
+    """(path): files whose name matches the glob (``*`` any text, ``?`` a character), the first in order."""
+    name = F.substring_index("path", "/", -1)
+    pattern = glob.replace("\\", "\\\\").replace("%", r"\%").replace("_", r"\_").replace("*", "%").replace("?", "_")
+    return lines.filter(name.like(pattern)).select("path").distinct().orderBy("path").limit(limit)
 
 
 def benchmark_lines(outputs: DataFrame, most: int = 20, least: int = 2) -> DataFrame:

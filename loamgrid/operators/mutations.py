@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loamgrid.functions import text as X
 from loamgrid.operators import similarity
+from loamgrid.sources.shared import checkpoint
 
 _COLS = ("kind", "topic", "body", "ts_min", "target")
 
@@ -93,7 +94,16 @@ def rename(entries: DataFrame, old: str, new: str) -> DataFrame:
 
 
 def apply(entries: DataFrame, edits: DataFrame, next_id: int) -> DataFrame:
-    """Live entries after edits; new ones are numbered from ``next_id`` on."""
+    """Live entries after edits; new ones are numbered from ``next_id`` on, in order of topic, time and body."""
     gone = edits.filter("kind = 'delete'").select(F.col("target").alias("entry_id"))
-    new = edits.filter("kind = 'entry'").select((F.row_number().over(Window.orderBy("topic", "ts_min", "body")) + next_id - 1).cast("long").alias("entry_id"), "topic", "body", "ts_min")
-    return entries.join(gone, "entry_id", "left_anti").select("entry_id", "topic", "body", "ts_min").unionByName(new)
+    new = numbered(edits.filter("kind = 'entry'").select("topic", "body", "ts_min"), ["topic", "ts_min", "body"], next_id)
+    return entries.join(gone, "entry_id", "left_anti").select("entry_id", "topic", "body", "ts_min").unionByName(new.select("entry_id", "topic", "body", "ts_min"))
+
+
+def numbered(rows: DataFrame, order: list[str], start: int) -> DataFrame:
+    """Rows with ``entry_id`` from ``start`` on in the given order; each task numbers its range, after those before it."""
+    ranges = checkpoint(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranges.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per task
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranges.join(F.broadcast(before), "_part").withColumn("entry_id", (F.col("_before") + at + F.lit(start - 1)).cast("long")).drop("_part", "_n", "_before")

@@ -312,15 +312,55 @@ def search_count(spark, d):
     return S.totals(_hits(spark, d)).select("n", "topics")
 
 
-@query()
+def _cut_sql(x: str, n: int) -> str:
+    """The longest beginning of x that has at most n bytes."""
+    return f"(CASE WHEN strlen({x}) <= {n} THEN {x} ELSE substr({x}, 1, list_max(list_filter(range(1, {n + 1}), lambda i: strlen(substr({x}, 1, i)) <= {n}))) END)"
+
+
+_CONTENT = r"list_filter(list_transform(string_split_regex(regexp_replace(body, '\n$', ''), '\r?\n'), lambda s: [s, trim(s, e' \t\r\n\v\f')]), lambda s: s[2] <> '' AND NOT regexp_matches(s[1], '^\[(tags|source|type|modified|tier|confidence|links|linked from):'))"
+
+
+def snippets_sql(rows: str) -> str:
+    """CTEs up to ``snip``: the rows with ``date`` and ``snippet``."""
+    return f"""w0 AS (SELECT *, strftime(make_timestamp(CAST(ts_min AS BIGINT) * 60000000), '%Y-%m-%d %H:%M') AS date FROM {rows}),
+w1 AS (SELECT *, '[' || topic || '] ' || date || ' ' || array_to_string(list_transform({_CONTENT}[1:2], lambda s: s[2]), ' ') AS x FROM w0),
+w2 AS (SELECT *, {_cut_sql('x', 120)} AS y FROM w1),
+snip AS (SELECT * EXCLUDE (x, y), CASE WHEN strlen(x) <= 120 OR NOT contains(y, ' ') THEN y ELSE regexp_extract(y, '(?s)^(.*) ', 1) END AS snippet FROM w2)"""
+
+
+_NEAR_TOP = f"""s AS (SELECT query_id, entry_id, round(score, 6) AS score FROM hit QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, entry_id) <= 20),
+b AS (SELECT s.*, {long_terms_sql('body')} AS t FROM s JOIN kb USING (entry_id)),
+n AS (SELECT y.query_id, y.entry_id, list(x.entry_id) FILTER (WHERE len(x.t) >= 4 AND len(y.t) >= 4 AND CAST(len(list_intersect(x.t, y.t)) AS DOUBLE) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) > CAST(0.7 AS DOUBLE)) AS near
+ FROM b y LEFT JOIN b x ON x.query_id = y.query_id AND (x.score > y.score OR (x.score = y.score AND x.entry_id < y.entry_id)) GROUP BY ALL),
+l AS (SELECT query_id, list(struct_pack(kept := [entry_id], near := coalesce(near, [])) ORDER BY score DESC, entry_id) AS l FROM n JOIN s USING (query_id, entry_id) GROUP BY ALL),
+k AS (SELECT query_id, unnest(list_reduce(l, lambda a, x: CASE WHEN len(list_intersect(a.kept, x.near)) > 0 THEN a ELSE struct_pack(kept := list_concat(a.kept, x.kept), near := a.near) END).kept) AS entry_id FROM l)"""
+
+
+@query(f"WITH {hits_sql(terms_cte(WORDS))}, {_NEAR_TOP} SELECT query_id, entry_id, score FROM k JOIN s USING (query_id, entry_id)")
 def search_dedup(spark, d):
     best = S.top(_hits(spark, d))
     return S.remove_similar(best, entries(spark, d))
 
 
-@query()
+_FOUND = "topic:en tag:gotcha "
+_FOUND_SQL = f"""{hits_sql(terms_cte(WORDS), where="(topic = 'en' OR topic LIKE 'en/%') AND list_contains(tags, 'gotcha')")},
+h20 AS (SELECT * FROM hit ORDER BY score DESC, entry_id LIMIT 20), {_RERANK.replace('FROM hit,', 'FROM h20,')},
+best AS (SELECT CAST(row_number() OVER (ORDER BY r.score DESC, entry_id) AS INTEGER) AS rank, entry_id, topic, round(r.score, 6) AS score, ts_min, body FROM r JOIN kb USING (entry_id))"""
+
+
+@query(f"WITH {_FOUND_SQL}, {snippets_sql('best')} SELECT rank, entry_id, topic, score, date, snippet FROM snip")
+def search_medium(spark, d):
+    return S.search(spark, entries(spark, d), _FOUND + WORDS, mode="or", index=stored_index(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_FOUND_SQL} SELECT rank, entry_id, topic, score, strftime(make_timestamp(CAST(ts_min AS BIGINT) * 60000000), '%Y-%m-%d %H:%M') AS date, body FROM best")
 def search_full(spark, d):
-    return S.search(spark, entries(spark, d), f"topic:en tag:gotcha {WORDS}", mode="or")
+    return S.search(spark, entries(spark, d), _FOUND + WORDS, mode="or", detail="full", index=stored_index(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_FOUND_SQL} SELECT rank, entry_id, topic, score FROM best")
+def search_brief(spark, d):
+    return S.search(spark, entries(spark, d), _FOUND + WORDS, mode="or", detail="brief", index=stored_index(spark, d)).select("rank", "entry_id", "topic", F.round("score", 6).alias("score"))
 
 
 _PROMPTS = f"""p AS (SELECT conv_id * 1000 + turn AS query_id, text, contains(text, '?') OR regexp_matches(text, '^([Hh]ow |[Ww]hat.|[Ww]hy |[Ww]her.)') AS question, {terms_sql('text')} AS ts FROM conversations WHERE role = 'user'),
@@ -334,7 +374,16 @@ SELECT query_id, entry_id, score FROM u QUALIFY row_number() OVER (PARTITION BY
 @query(f"WITH {_PROMPTS}, {hits_sql(_PROMPT_Q)}, {_PROMPT_TOP}")
 def prompt_context(spark, d):
     c = read(spark, d, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
-    return N.for_prompts(entries(spark, d), c).select("query_id", "entry_id", "score")
+    return N.for_prompts(entries(spark, d), c, index=stored_index(spark, d)).select("query_id", "entry_id", "score")
+
+
+_ERRORS = f"SELECT item_id AS query_id, unnest(ts[1:8]) AS term, len(ts[1:8]) AS n_terms FROM (SELECT item_id, text, {terms_sql('text')} AS ts FROM benchmark) WHERE strlen(text) >= 15 AND len(ts) >= 2"
+
+
+@query(f"WITH {hits_sql(_ERRORS)} SELECT query_id, entry_id, round(score, 6) AS score FROM hit QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, entry_id) <= 3")
+def error_context(spark, d):
+    errors = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return N.for_errors(entries(spark, d), errors, index=stored_index(spark, d)).select("query_id", "entry_id", "score")
 
 
 @query(f"WITH {_PROMPTS} SELECT query_id, question FROM g")
@@ -464,7 +513,13 @@ def near_dup_asym(spark, d):
     return M.store_check(e, e.select(F.col("entry_id").alias("new_id"), "topic", "body")).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+_KEEP = f"""{_PAIRS.replace("{}, 4", "").split(" SELECT a.topic, a.entry_id AS a")[0].replace(">= 4)", ">= 6)")},
+p AS (SELECT a.topic, b.entry_id, list(a.entry_id) AS near FROM big a JOIN big b ON a.topic = b.topic AND a.entry_id < b.entry_id AND {_J} > CAST(0.7 AS DOUBLE) GROUP BY ALL),
+l AS (SELECT big.topic, list(struct_pack(kept := [big.entry_id], near := coalesce(near, [])) ORDER BY big.entry_id) AS l FROM big LEFT JOIN p ON p.topic = big.topic AND p.entry_id = big.entry_id GROUP BY ALL),
+k AS (SELECT topic, unnest(list_reduce(l, lambda a, x: CASE WHEN len(list_intersect(a.kept, x.near)) > 0 THEN a ELSE struct_pack(kept := list_concat(a.kept, x.kept), near := a.near) END).kept) AS entry_id FROM l)"""
+
+
+@query(f"{_KEEP} SELECT big.topic, big.entry_id, k.entry_id IS NOT NULL AS kept FROM big LEFT JOIN k ON k.topic = big.topic AND k.entry_id = big.entry_id")
 def batch_dedup(spark, d):
     sets = M.token_sets(entries(spark, d), 6)
     return M.batch_keep(sets, M.similar_pairs(sets, 0.7))
@@ -563,7 +618,7 @@ def brief_topics(spark, d):
 # --- text ---
 
 
-@query()
+@query(f"WITH {KB}, {snippets_sql('kb')} SELECT entry_id, snippet FROM snip")
 def snippet(spark, d):
     date = F.date_format(F.timestamp_seconds(F.col("ts_min").cast("long") * 60), "yyyy-MM-dd HH:mm")
     return entries(spark, d).select("entry_id", X.snippet(F.col("topic"), date, F.col("body")).alias("snippet"))
@@ -700,7 +755,7 @@ def rate_limit(spark, d):
     return Z.spaced(tool_events(spark, d), 7200)
 
 
-@query()
+@query(f"WITH {_EV}, l AS (SELECT key, list([epoch_us(ts), event_id] ORDER BY ts, event_id) AS l FROM ev GROUP BY ALL), k AS (SELECT key, list_reduce(list_transform(l, lambda x: [x]), lambda a, x: CASE WHEN x[1][1] - a[-1][1] >= CAST(7200 AS BIGINT) * 1000000 THEN list_concat(a, x) ELSE a END) AS k FROM l) SELECT x[2] AS event_id, key FROM (SELECT key, unnest(k) AS x FROM k)")
 def rate_limit_exact(spark, d):
     return Z.rate_limit(tool_events(spark, d), 7200)
 
