@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,13 +14,14 @@ from loamgrid.operators import brief as B
 from loamgrid.operators import code as C
 from loamgrid.operators import context as N
 from loamgrid.operators import index as I
+from loamgrid.operators import mutations as W
 from loamgrid.operators import prompts as P
 from loamgrid.operators import search as S
 from loamgrid.operators import similarity as M
 from loamgrid.operators import topics as T
 from loamgrid.sources import log as L
-from loamgrid.sources.shared import folder
-from loamgrid.sources.tables import AS_OF, day, entries, file_mtimes, read, tool_events
+from loamgrid.sources.shared import folder, local_folder
+from loamgrid.sources.tables import AS_OF, build_calls, code_lines, day, entries, file_mtimes, read, tool_events
 from loamgrid.streaming import sessions as Z
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -715,6 +718,145 @@ def symbol_usages(spark, d):
     return C.usages(lines, _defs(lines)).select("name", "def_path", "path", "line")
 
 
+# --- source lines ---
+
+_CODE = """code AS (SELECT 'src/mod' || CAST(p_partkey % 50 AS VARCHAR) || '.rs' AS path, CAST(p_partkey // 50 AS INTEGER) AS line, CASE p_size % 8
+ WHEN 0 THEN 'pub fn work_' || CAST(p_partkey % 200 AS VARCHAR) || '(x: u32) -> u32 {' WHEN 1 THEN '    let y = work_' || CAST(p_partkey * 7 % 200 AS VARCHAR) || '(1);'
+ WHEN 2 THEN 'use lib' || CAST(p_partkey % 9 AS VARCHAR) || '::Value;' WHEN 3 THEN '// calls work_' || CAST(p_partkey % 200 AS VARCHAR)
+ WHEN 4 THEN '    unsafe { mmap(work_' || CAST(p_partkey % 100 AS VARCHAR) || ') }' WHEN 5 THEN 'struct Kind' || CAST(p_partkey % 40 AS VARCHAR) || ' {'
+ WHEN 6 THEN '    static L: Mutex<Kind' || CAST(p_partkey % 40 AS VARCHAR) || '> = new();' ELSE '}' END AS text FROM part),
+sym AS (SELECT CASE WHEN text LIKE 'pub fn %' THEN regexp_extract(text, 'fn ([a-z_0-9]+)', 1) ELSE regexp_extract(text, 'struct (Kind[0-9]+)', 1) END AS name, CASE WHEN text LIKE 'pub fn %' THEN 'fn' ELSE 'struct' END AS kind, path, line, text AS signature FROM code WHERE regexp_matches(text, '^(pub fn|struct) ')),
+use AS (SELECT DISTINCT path, line, unnest(regexp_extract_all(text, '([A-Za-z0-9_]+)')) AS name FROM code WHERE text NOT LIKE '//%'),
+usage AS (SELECT use.name, sym.path AS def_path, sym.line AS def_line, use.path, use.line FROM use JOIN sym USING (name) WHERE use.path <> sym.path OR use.line <> sym.line),
+pat AS (SELECT path, line, unnest(CASE WHEN contains(text, 'unsafe ') THEN ['unsafe', 'mmap'] WHEN contains(text, 'Mutex') THEN ['lock'] ELSE [] END) AS kind, trim(text) AS context FROM code)"""
+
+
+@query(f"WITH {_CODE} SELECT * FROM sym")
+def code_symbols(spark, d):
+    return C.symbols(code_lines(spark, d))
+
+
+@query(f"WITH {_CODE} SELECT path, array_to_string(list_sort(list(DISTINCT regexp_extract(text, 'use ([^:]*)', 1))), ',') AS modules FROM code WHERE text LIKE 'use %' GROUP BY ALL")
+def code_imports(spark, d):
+    return C.imports(code_lines(spark, d)).select("path", F.array_join("modules", ",").alias("modules"))
+
+
+@query(f"WITH {_CODE} SELECT name, def_path, def_line, path, line FROM usage")
+def code_usages(spark, d):
+    lines = code_lines(spark, d)
+    return C.usages(lines, C.symbols(lines))
+
+
+@query(f"WITH {_CODE} SELECT name, path, line, CAST(count(*) OVER (PARTITION BY name, path) AS BIGINT) AS n FROM usage QUALIFY row_number() OVER (PARTITION BY name, path ORDER BY line) = 1")
+def code_usages_by_file(spark, d):
+    lines = code_lines(spark, d)
+    return C.usages_by_file(C.usages(lines, C.symbols(lines)), 1).groupBy("name", "path").agg(F.min("line").alias("line"), F.max("n").alias("n"))
+
+
+@query(f"WITH {_CODE}, u AS (SELECT name, def_line, count(*) AS uses, array_to_string(list_sort(list(DISTINCT path)), ',') AS files FROM usage WHERE def_path = 'src/mod7.rs' GROUP BY ALL) SELECT sym.name, sym.line AS def_line, coalesce(uses, 0) AS uses, coalesce(files, '') AS files FROM sym LEFT JOIN u ON sym.name = u.name AND sym.line = u.def_line WHERE path = 'src/mod7.rs'")
+def code_blast_radius(spark, d):
+    lines = code_lines(spark, d)
+    return C.blast_radius(lines, C.symbols(lines), "src/mod7.rs").select("name", "def_line", "uses", F.array_join("files", ",").alias("files"))
+
+
+@query(f"WITH {_CODE}, d AS (SELECT * FROM sym WHERE name = 'Kind8'), f AS (SELECT * FROM d ORDER BY path, line LIMIT 1) SELECT 'definition' AS role, path, line FROM d UNION ALL SELECT 'usage', u.path, u.line FROM usage u JOIN f ON u.name = f.name AND u.def_path = f.path AND u.def_line = f.line")
+def code_trace(spark, d):
+    lines = code_lines(spark, d)
+    return C.trace(lines, C.symbols(lines), "Kind8")
+
+
+@query(f"WITH {_CODE} SELECT kind, path, line, context FROM pat")
+def code_patterns(spark, d):
+    return C.patterns(code_lines(spark, d))
+
+
+@query(f"WITH {_CODE} SELECT kind, path, line, count(*) OVER (PARTITION BY kind) AS n, CAST(row_number() OVER (PARTITION BY kind ORDER BY path, line) AS INTEGER) AS rank FROM pat QUALIFY row_number() OVER (PARTITION BY kind ORDER BY path, line) <= 5")
+def code_pattern_inventory(spark, d):
+    return C.pattern_inventory(C.patterns(code_lines(spark, d))).select("kind", "path", "line", "n", "rank")
+
+
+@query(f"WITH {_CODE} SELECT path, count(*) AS lines, (SELECT count(*) FROM sym WHERE sym.path = code.path) AS symbols, (SELECT count(*) FROM pat WHERE pat.path = code.path) AS patterns FROM code GROUP BY ALL")
+def code_module_map(spark, d):
+    lines = code_lines(spark, d)
+    return C.module_map(lines, C.symbols(lines), C.patterns(lines))
+
+
+@query(f"WITH {_CODE} SELECT DISTINCT path FROM code WHERE path LIKE 'src/mod_%3.rs' ORDER BY path LIMIT 3")
+def code_listing(spark, d):
+    return C.listing(code_lines(spark, d), "mod?*3.rs", 3)
+
+
+@query(f"""WITH {_CODE}, w AS (SELECT DISTINCT path, unnest(regexp_extract_all(text, '([A-Za-z0-9_]+)')) AS name FROM code),
+c AS (SELECT least(w.path, sym.path) AS a, greatest(w.path, sym.path) AS b, count(*) AS n FROM w JOIN sym USING (name) WHERE w.path <> sym.path GROUP BY ALL HAVING count(*) >= 2 ORDER BY n DESC, a, b LIMIT 15),
+m AS (SELECT path, count(*) AS lines, (SELECT count(*) FROM sym WHERE sym.path = code.path) AS symbols FROM code GROUP BY ALL),
+i AS (SELECT path, array_to_string(list_sort(list(DISTINCT regexp_extract(text, 'use ([^:]*)', 1))), ', ') AS modules FROM code WHERE text LIKE 'use %' GROUP BY ALL),
+p AS (SELECT * FROM pat QUALIFY row_number() OVER (PARTITION BY kind ORDER BY path, line) <= 5)
+SELECT 'project' AS topic, 7 AS ts_min, '[tags: ' || k || ']' || chr(10) || '[confidence: 0.8]' || chr(10) || t AS body FROM (
+SELECT 'module-map' AS k, string_agg(path || ' ' || lines || ' ' || symbols, chr(10) ORDER BY lines DESC, path) AS t FROM m
+UNION ALL SELECT 'symbols', string_agg(kind || ' ' || name || ' ' || path, chr(10) ORDER BY path, line) FROM sym
+UNION ALL SELECT 'coupling', string_agg(a || ' ' || b || ' ' || n, chr(10) ORDER BY n DESC, a, b) FROM c
+UNION ALL SELECT 'pattern', string_agg(kind || ' ' || path || ' ' || line, chr(10) ORDER BY kind, path, line) FROM p
+UNION ALL SELECT 'dependencies', string_agg(path || ': ' || modules, chr(10) ORDER BY path) FROM i)""")
+def code_analyze(spark, d):
+    return C.analyze(code_lines(spark, d), "project", 7)
+
+
+_CALLS = """calls AS (SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'cargo build --release' WHEN 1 THEN 'xcodebuild -scheme app build' ELSE 'ls build' END AS command, event_id % 5 AS m, CAST(event_id % 7 AS VARCHAR) AS n FROM events)"""
+
+
+@query(f"WITH {_CALLS} SELECT id, 'build-errors' AS topic, '[tags: auto, build-error]' || chr(10) || CASE m WHEN 0 THEN 'a.rs:' || n || ': error: bad type' || chr(10) || 'error[E' || n || ']: lifetime' ELSE '** BUILD FAILED **' || chr(10) || 'aborting due to errors' END AS body FROM calls WHERE command <> 'ls build' AND m < 2")
+def build_notes(spark, d):
+    return C.build_notes(build_calls(spark, d))
+
+
+@query(f"WITH {_CALLS} SELECT id, unnest(['decode took 12.' || n || 'ms', 'speed 88 tok/s']) AS line FROM calls WHERE m = 2")
+def build_benchmarks(spark, d):
+    return C.benchmark_lines(build_calls(spark, d)).select("id", "line")
+
+
+# --- log and edits ---
+
+
+def _log(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """The live entries of a log that the rows (kind, topic, body, ts_min, target) were written to, read back."""
+    L.register(spark)
+    where = f"{local_folder(spark)}/log-{uuid.uuid4().hex}"
+    rows.selectExpr("CAST(NULL AS STRING) AS file", "kind", "CAST(NULL AS LONG) AS log_offset", "topic", "body", "ts_min", "target").write.format("knowledge_log").mode("append").save(where)
+    return L.live(spark.read.format("knowledge_log").load(where))
+
+
+@query(f"WITH {KB} SELECT topic, ts_min, '[tags: ' || lang || ']' || chr(10) || '[confidence: 0.5]' || chr(10) || body AS body FROM (SELECT kb.*, split_part(topic, '/', 1) AS lang FROM kb) WHERE topic LIKE '%/src1'")
+def log_store(spark, d):
+    e = entries(spark, d).filter("topic like '%/src1'")
+    none = F.lit(None).cast("string")
+    new = e.select("topic", F.col("body").alias("text"), F.substring_index("topic", "/", 1).alias("tags"), none.alias("source"), F.lit(0.5).alias("confidence"), none.alias("links"), "ts_min")
+    return _log(spark, W.store(new)).select("topic", "ts_min", "body")
+
+
+@query(
+    f"""WITH {KB}, e AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY entry_id) AS i, row_number() OVER (PARTITION BY topic ORDER BY entry_id DESC) AS j FROM kb)
+SELECT CASE topic WHEN 'en/src0' THEN 'english/zero-one' ELSE topic END AS topic, ts_min,
+ CASE WHEN topic = 'en/src1' AND i = 1 THEN body || chr(10) || 'And more.' WHEN topic = 'en/src2' AND j = 1 THEN '[modified: 2024-01-31]' || chr(10) || 'New text.' WHEN topic = 'fr/src1' AND i = 2 THEN '[tags: checked]' || chr(10) || array_to_string(string_split_regex(regexp_replace(body, '\n$', ''), '\r?\n'), chr(10)) ELSE body END AS body
+FROM e WHERE NOT (topic = 'fr/src2' AND i = 1)"""
+)
+def log_edits(spark, d):
+    e = entries(spark, d).select("entry_id", "topic", "body", "ts_min")
+    edits = [
+        W.append(W.pick(e, "en/src1", index=0), "And more."),
+        W.revise(W.pick(e, "en/src2"), "New text.", "2024-01-31"),
+        W.retag(W.pick(e, "fr/src1", index=1), ["checked"], []),
+        W.delete(W.pick(e, "fr/src2", index=0)),
+        W.rename(e, "en/src0", "English/Zero One"),
+    ]
+    now = W.apply(e, reduce(DataFrame.unionByName, edits), 1_000_000_000)
+    return _log(spark, now.select(F.lit("entry").alias("kind"), "topic", "body", "ts_min", F.lit(None).cast("long").alias("target"))).select("topic", "ts_min", "body")
+
+
+@query(f"""{_KEEP} SELECT kb.topic, ts_min, body FROM kb LEFT JOIN big ON kb.entry_id = big.entry_id LEFT JOIN k ON k.entry_id = big.entry_id WHERE big.entry_id IS NULL OR k.entry_id IS NOT NULL""")
+def log_batch_store(spark, d):
+    return W.batch(entries(spark, d)).select("topic", "ts_min", "body")
+
+
 # --- sessions ---
 
 _EV = """ev AS (SELECT event_id, ts, user_id AS key, CASE event_type WHEN 'view' THEN 'Read' WHEN 'click' THEN 'Edit' WHEN 'purchase' THEN 'Bash' WHEN 'error' THEN 'Bash' WHEN 'signup' THEN 'store' ELSE 'Other' END AS tool,

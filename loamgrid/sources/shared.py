@@ -24,3 +24,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """The rows of ``df`` from the shared folder; lineage ends there."""
     folder(df.sparkSession)
     return df.checkpoint()
+
+
+def local_folder(spark: SparkSession) -> str:
+    """The shared folder as a path of the file system, for sources that open files themselves."""
+    where = folder(spark)
+    if not where.startswith(("/", "file:")):
+        raise ValueError("the log is kept in a folder that is mounted on all executors")
+    return "/" + where.removeprefix("file:").lstrip("/")

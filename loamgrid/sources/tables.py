@@ -45,6 +45,37 @@ def day(ts_min: Column) -> Column:
     return F.floor(ts_min / 1440).cast("int")
 
 
+def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, line, text): Rust-like source lines made of the parts, 50 files."""
+    p, k = read(spark, sf_dir, "part"), F.col("p_partkey")
+    kind, name = F.col("p_size") % 8, lambda n: F.concat(F.lit("work_"), n.cast("string"))
+    text = (
+        F.when(kind == 0, F.concat(F.lit("pub fn "), name(k % 200), F.lit("(x: u32) -> u32 {")))
+        .when(kind == 1, F.concat(F.lit("    let y = "), name(k * 7 % 200), F.lit("(1);")))
+        .when(kind == 2, F.concat(F.lit("use lib"), (k % 9).cast("string"), F.lit("::Value;")))
+        .when(kind == 3, F.concat(F.lit("// calls "), name(k % 200)))
+        .when(kind == 4, F.concat(F.lit("    unsafe { mmap("), name(k % 100), F.lit(") }")))
+        .when(kind == 5, F.concat(F.lit("struct Kind"), (k % 40).cast("string"), F.lit(" {")))
+        .when(kind == 6, F.concat(F.lit("    static L: Mutex<Kind"), (k % 40).cast("string"), F.lit("> = new();")))
+        .otherwise(F.lit("}"))
+    )
+    return p.select(F.concat(F.lit("src/mod"), (k % 50).cast("string"), F.lit(".rs")).alias("path"), F.floor(k / 50).cast("int").alias("line"), text.alias("text"))
+
+
+def build_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, command, output) of commands and what they said."""
+    e, k = read(spark, sf_dir, "events"), F.col("event_id")
+    command = F.when(k % 3 == 0, "cargo build --release").when(k % 3 == 1, "xcodebuild -scheme app build").otherwise("ls build")
+    n = (k % 7).cast("string")
+    output = (
+        F.when(k % 5 == 0, F.concat(F.lit("ok\n a.rs:"), n, F.lit(": error: bad type \n a.rs:"), n, F.lit(": error: bad type\nerror[E"), n, F.lit("]: lifetime")))
+        .when(k % 5 == 1, F.lit("Compiling\n** BUILD FAILED **\naborting due to errors"))
+        .when(k % 5 == 2, F.concat(F.lit("decode took 12."), n, F.lit("ms\nFinished in 3.5s\nspeed 88 tok/s")))
+        .otherwise("fine")
+    )
+    return e.select(k.alias("id"), command.alias("command"), output.alias("output"))
+
+
 def file_mtimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, mtime): last event per pseudo source file."""
     e = read(spark, sf_dir, "events")
