@@ -16,8 +16,8 @@ class, counted and not compared.
 Edge cases: null vectors, and those that are zero, or hold null, NaN or infinite components, or
 have another number of components than most, link with nothing (the last only with their like:
 they are compared in a grid of their own, by dimension); an empty table gives an empty result; ids may
-repeat, each row counts as a vector and rows with a null id are components of their class's least
-id; extra columns are ignored.
+repeat, each row counts as a vector; a null id is never the least of a component that has others,
+and such a row is not kept; a cosine of just the threshold is a link; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -271,12 +271,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, blocks: in
     good = rows.filter("dim > 0")
     classes = good.groupBy("dim", "data").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
     classes = checkpoint(classes.withColumn("id", F.monotonically_increasing_id()))
-    sums: dict[int, list] = {}
     moments = classes.select("dim", "data").mapInArrow(released(_moments), "dim int, n long, s array<double>")
     summed = moments.select("dim", "n", F.posexplode("s").alias("at", "v")).groupBy("dim", "at").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-    for r in summed.orderBy("dim", "at").collect():  # dimensions squared rows
-        sums.setdefault(r.dim, []).append(r.v / r.n)
-    grids = {d: Grid(np.array(v).reshape(d, d), threshold, blocks) for d, v in sums.items()}
+    mean = F.struct("at", (F.col("v") / F.col("n")).alias("mean"))
+    means = summed.groupBy("dim").agg(F.transform(F.sort_array(F.collect_list(mean)), lambda x: x["mean"]).alias("means")).toArrow()  # a row per dimension, of its square numbers
+    grids = {d: Grid(np.asarray(v.values).reshape(d, d), threshold, blocks) for d, v in zip(means.column("dim").to_pylist(), means.column("means"), strict=True)}
     shared = share(vectors.sparkSession, grids)  # dimension squared numbers each
     keyed = classes.select("id", "dim", "data", "n")
 

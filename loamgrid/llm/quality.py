@@ -11,8 +11,12 @@ the id and broadcast.
 
 Edge cases: null and empty texts have all statistics zero and are scored by the rules that zeros
 meet; documents without a label are scored alike; several labels of one document count as the
-highest; without labels of both kinds every score is the base rate (0.5 without any); repeated rows
+highest; without labels of both kinds every score is the base rate (0.5 without any); null ids are
+scored and have no label; rows that share an id share its labels and are scored by their own texts; a
+score of 0.5 is predicted 1, so the tie goes to good; texts of any length are read whole; repeated rows
 get equal results; an empty table gives an empty result; extra columns are ignored.
+
+Size of the model, whatever the corpus: the ``MAX_RULES`` shortest rules go to the lasso.
 """
 
 from __future__ import annotations

@@ -10,8 +10,14 @@ the id; the sample is small enough to broadcast, so no text is shuffled.
 
 Edge cases: null and empty texts have no features and get the base rate as score; documents without
 a label are scored alike; several labels of one document count as toxic if one is; without labels
-of both kinds every score is the base rate (0 if there is none); repeated rows get equal results;
-an empty table gives an empty result; extra columns are ignored.
+of both kinds every score is the base rate (0 if there is none); null ids are scored and have no
+label; rows that share an id share its labels and are scored by their own texts; of buckets that tie
+for the last place the lower number is kept; a score of 0.5 is predicted 1; texts of any length are
+read whole; repeated rows get equal results; an empty table gives an empty result; extra columns are
+ignored.
+
+Sizes of the model, whatever the corpus: 2**20 buckets, of which ``max_features`` are kept; a bucket
+seen in one labelled text alone is none of these.
 """
 
 from __future__ import annotations
@@ -123,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     known = labels.filter(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     total = known.count()
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(_SPREAD)) < int(_SPREAD * min(1.0, max_rows / max(1, total))))
-    sample = checkpoint(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text"))  # at most about max_rows ids
+    sample = checkpoint(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text", F.xxhash64("text").alias("key")))  # at most about max_rows ids
     t = sample.mapInArrow(released(_tally), "bucket int, neg int, pos int").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).filter("neg + pos > 1").toArrow()  # at most 2**20 rows
     n = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
     n_neg, n_pos = n.get(0, 0), n.get(1, 0)
@@ -153,9 +159,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
                 cut = np.searchsorted(f >> BITS, np.arange(len(bounds)))
                 for r in range(len(bounds) - 1):
                     out[a + r] = (f[cut[r] : cut[r + 1]] & (1 << BITS) - 1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["y", "f"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.int32()))], ["y", "key", "f"])
 
-    got = sample.mapInArrow(released(features), "y int, f array<int>").toArrow()  # the sample's kept features only
+    got = sample.mapInArrow(released(features), "y int, key long, f array<int>").toArrow()  # the sample's kept features only
+    got = got.sort_by([("key", "ascending"), ("y", "ascending")])  # sums don't depend on how the table is cut
     y = np.asarray(got.column("y")).astype(float)
     lists = got.column("f").combine_chunks()
     size = np.asarray(lists.value_lengths())
