@@ -35,9 +35,9 @@ from pyspark.sql import types as T
 from loamgrid.llm._core import byte_views, released, row_chunks, table, worker_state
 
 #: Bounds of the lazily built tables; beyond them they start afresh, which changes no result.
-MAX_STATES, MAX_PAIRS, MAX_STEPS = 250_000, 200_000, 100_000
+MAX_STATES, MAX_PAIRS, MAX_STEPS = 160_000, 100_000, 50_000
 #: Bytes of text that are split and encoded at once, and of the pieces that go side by side.
-CHUNK, SIDE_BY_SIDE = 1 << 20, 64
+CHUNK, SIDE_BY_SIDE = 1 << 19, 64
 #: Bytes after which agreed tokens leave the transducer; an agreement takes at most the longest token.
 LOOKAHEAD = 256
 
