@@ -53,7 +53,8 @@ def dedup(rows: DataFrame) -> DataFrame:
 def supersede(rows: DataFrame, similar: float = 0.6, gap: int = 2) -> DataFrame:
     """(entry_id, by): older entries that a similar entry of their topic replaces, by the greedy order of entry_id.
 
-    Words of a topic's candidates only go to the fold: those with a word in common with another entry.
+    A topic is folded by one task, which holds the words of its entries' first lines: the order of the
+    rule runs through the whole topic. Lines of fewer than three words take no part.
     """
     w = X.first_content("body")
     words = F.array_distinct(F.filter(F.split(F.lower(w), r"(?U)\s+"), lambda t: t != ""))
