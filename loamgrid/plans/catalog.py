@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -101,10 +102,15 @@ def stored_index(spark: SparkSession, sf_dir: str, anew: bool = False) -> dict[s
     """The index of the entries, written to the shared folder by the session's first search."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if anew or key not in _INDEXES:
-        where = f"{folder(spark)}/index-{len(_INDEXES)}"
+        where = f"{folder(spark)}/index-{uuid.uuid4().hex}"
         I.save(entries(spark, sf_dir), where)
         _INDEXES[key] = where
-    return I.load(spark, _INDEXES[key])
+    try:
+        return I.load(spark, _INDEXES[key])
+    except AnalysisException:  # the folder was emptied since
+        if anew:
+            raise
+        return stored_index(spark, sf_dir, anew=True)
 
 
 def _raw(spark: SparkSession, sf_dir: str, words: str = WORDS, **where) -> DataFrame:
