@@ -45,9 +45,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents contaminated by the benchmark."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=("text", *COLUMNS[2:]))
-    return found.filter(~F.col("contaminated")).select(*COLUMNS)
+    """Drop documents that hold a whole window of the benchmark, however long they are.
+
+    Items shorter than a window may stand in any text; they count by their share of the words alone.
+    """
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=("text", *COLUMNS[2:]), whole=True)
+    return found.filter(~F.col("contaminated") & ~F.col("whole")).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -220,7 +220,7 @@ def _verdict(ids, n_words, n_hit, n_items, sha) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string()), pa.array(bad)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
-def _scan(batches: Iterator[pa.RecordBatch], index: Index, keep: list[str]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], index: Index, keep: list[str], whole: bool) -> Iterator[pa.RecordBatch]:
     empty = _sha([])
     known: dict[bytes, tuple[int, str]] = {}  # what the last sets of classes gave
     for batch in batches:
@@ -247,11 +247,18 @@ def _scan(batches: Iterator[pa.RecordBatch], index: Index, keep: list[str]) -> I
                     known[key] = len(names), _sha(names)
                 n_items[r], sha[r] = known[key]
             out = _verdict(batch.column(0).slice(a, b - a), np.diff(bounds), n_hit, n_items, sha)
+            if whole:
+                full = np.searchsorted(bounds, s[e - s == index.window], side="right") - 1
+                out = out.append_column("whole", pa.array(np.bincount(full, minlength=b - a) > 0))
             yield out if more is None else pa.RecordBatch.from_arrays(out.columns + more.slice(a, b - a).columns, out.schema.names + keep)
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K, max_broadcast_words: int = MAX_BROADCAST_WORDS, keep: Sequence[str] = ()) -> DataFrame:
-    """Per document: words, words inside an item's window, items found, the verdict, and the columns to ``keep``."""
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K, max_broadcast_words: int = MAX_BROADCAST_WORDS, keep: Sequence[str] = (), whole: bool = False) -> DataFrame:
+    """Per document: words, words inside an item's window, items found, the verdict, and the columns to ``keep``.
+
+    With ``whole`` a column of that name tells whether a window of full length occurs: items shorter
+    than the window, that any text may hold, don't count there.
+    """
     items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").filter(F.col("text").isNotNull())
     more = [c for c in keep if c != "text"]
     docs = docs.select("doc_id", "text", *more)
@@ -259,16 +266,19 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
     if size <= 2 * max_broadcast_words:  # a word and its end take two bytes at least
         t = items.toArrow()
         index = share(docs.sparkSession, Index(t.column("text"), t.column("item_id").to_pylist(), window, k))
-        own = T._parse_datatype_string(SCHEMA).fields
+        own = T._parse_datatype_string(SCHEMA + ", whole boolean" * whole).fields
         schema = T.StructType(own + [docs.schema[c] for c in keep])
-        return docs.mapInArrow(released(lambda batches: _scan(batches, index(), list(keep))), schema)
+        return docs.mapInArrow(released(lambda batches: _scan(batches, index(), list(keep), whole)), schema)
     found = _joined(docs.select("doc_id", "text"), items, window, k)
+    if not whole:
+        found = found.drop("whole")
     if not keep:
         return found.drop("doc_key")
     # rows of one id and text have one verdict
     key = _row_key("doc_id", "text")
-    verdict = found.groupBy("doc_key").agg(*[F.first(c).alias(c) for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")])
-    return docs.withColumn("doc_key", key).join(verdict, "doc_key").select(*[f.split(" ")[0] for f in SCHEMA.split(", ")], *keep)
+    own = [c for c in found.columns if c not in ("doc_id", "doc_key")]
+    verdict = found.groupBy("doc_key").agg(*[F.first(c).alias(c) for c in own])
+    return docs.withColumn("doc_key", key).join(verdict, "doc_key").select("doc_id", *own, *keep)
 
 
 def _row_key(name: str, text: str) -> Column:
@@ -314,7 +324,7 @@ def _joined(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, names, spans = [], [], []
+            keys, names, spans, full = [], [], [], []
             for key, text, name, item in zip(batch.column(0), batch.column(1), batch.column(2), batch.column(3), strict=True):
                 words = Words(*byte_views(pa.array([text.as_py()], pa.string())))
                 s, e, _ = Index(pa.array([item.as_py()], pa.string()), [name.as_py()], window, k).find(words)
@@ -325,11 +335,12 @@ def _joined(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame
                     keys.append(key.as_py())
                     names.append(name.as_py())
                     spans.append(np.flatnonzero(np.cumsum(hit)[:-1] > 0).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(names, pa.string()), pa.array(spans, pa.list_(pa.int32()))], ["doc_key", "item_id", "hits"])
+                    full.append(bool((e - s == window).any()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(names, pa.string()), pa.array(spans, pa.list_(pa.int32())), pa.array(full, pa.bool_())], ["doc_key", "item_id", "hits", "whole"])
 
     once = docs.select("doc_key", "text").dropDuplicates(["doc_key"])
-    found = pairs.join(once, "doc_key").join(items.select("item_key", "item_id", F.col("text").alias("item")), "item_key").select("doc_key", "text", "item_id", "item").mapInArrow(released(extend), "doc_key string, item_id string, hits array<int>")
-    per_doc = found.groupBy("doc_key").agg(F.sort_array(F.collect_set("item_id")).alias("ids"), F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"))
+    found = pairs.join(once, "doc_key").join(items.select("item_key", "item_id", F.col("text").alias("item")), "item_key").select("doc_key", "text", "item_id", "item").mapInArrow(released(extend), "doc_key string, item_id string, hits array<int>, whole boolean")
+    per_doc = found.groupBy("doc_key").agg(F.sort_array(F.collect_set("item_id")).alias("ids"), F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"), F.max("whole").alias("whole"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,7 +350,7 @@ def _joined(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame
 
     counted = docs.select("doc_id", "doc_key", "text").mapInArrow(released(count), "doc_id long, doc_key string, n_words long")
     n_hit, ids = F.coalesce("n_hit", F.lit(0)), F.coalesce("ids", F.array().cast("array<string>"))
-    return counted.join(per_doc, "doc_key", "left").select("doc_key", "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return counted.join(per_doc, "doc_key", "left").select("doc_key", "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), F.coalesce("whole", F.lit(False)).alias("whole"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

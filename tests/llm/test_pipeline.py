@@ -56,3 +56,19 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert len(got) == len(rows)
     assert sum(d in t for _, t in got) == 1 and sum(len(t) for _, t in got) == sum(len(t) for _, t in rows) - len(d) - 250
     assert {i for i, t in got if t in dict.fromkeys(t for _, t in rows)} == {None, 7, 8}
+
+
+@pytest.mark.parametrize("bound", [2_000_000, 0])
+def test_benchmark_leaks_in_long_documents(spark, tmp_path, monkeypatch, bound):
+    r = random.Random(22)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    leak, short = text(30), text(5)
+    rows = [(1, f"{text(1000)} {leak} {text(1000)}"), (2, text(1500)), (3, f"{text(900)} {short}"), (4, f"{text(20)} {short}"), (None, f"{text(900)} {' '.join(leak.split()[4:17])}"), (6, f"{text(900)} {' '.join(leak.split()[4:16])}"), (7, None)]
+    docs = spark.createDataFrame([(i, t, "xx", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, leak), (2, short)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    own = corpus_pipeline.decontaminate.contamination
+    monkeypatch.setattr(corpus_pipeline.decontaminate, "contamination", lambda *a, **k: own(*a, **k, max_broadcast_words=bound))
+    got = corpus_pipeline.benchmark_leaks(spark, docs, str(tmp_path))
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    # a few words of a long text; one word short of a window and an item short of one don't count
+    assert sorted((x.doc_id, x.text) for x in got.collect()) == [rows[k] for k in (1, 2, 5, 6)]
