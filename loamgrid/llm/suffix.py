@@ -13,12 +13,16 @@ doc_id, or same document and earlier start). Four steps:
 2. Rows meet by k-gram hash, sorted; classes are closed. Firsts of groups with several classes
    (passages' edges) ask for their bytes. A k-gram with many classes in one part of a task is spread
    over ``SALTS`` groups, all of whose firsts ask.
-3. Those contexts are fetched by a join with the documents and indexed in blocks: of the
+3. Those contexts are fetched by a join with the documents. A string with its k-gram at one of 15 or
+   16 consecutive places holds 85 bytes at least, the places' core, that stand alike around the
+   k-gram; a context is cut down to the places whose core another context has too, and goes if there
+   are none: a short line that many texts share has no such core. The rest is indexed in blocks: of the
    Burrows-Wheeler transform only its runs are kept, with text positions and longest-common-prefix
    values sampled at the runs' ends. Streaming the text over the samples gives each position's
    matching statistic and the position that it matches; matches of at least LENGTH bytes chain
-   positions together, of which the earliest stays. Groups too large for one block go by a shuffle
-   on the LENGTH-byte strings themselves.
+   positions together, of which the earliest stays. Groups too large for one block meet by core
+   instead, equal parts as one class; what is too large even then goes by a shuffle on the
+   LENGTH-byte strings themselves.
 4. Intervals are united per document and cut out of its bytes.
 
 Edge cases: null and empty texts have zero bytes and lose nothing; texts shorter than LENGTH lose
@@ -36,6 +40,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +51,8 @@ LENGTH, GRAM = 100, 40
 #: Contexts of one k-gram that are indexed in one block; groups of more take the shuffle on strings.
 BLOCK_CONTEXTS = 4096
 BLOCK_BYTES = 1 << 19
+#: Parts into which the places of a k-gram in a string are divided.
+CORES = 4
 #: Text within which equal contexts are thinned before they are sent; bounds a task's memory.
 SCAN_BYTES = 1 << 22
 #: Contexts of one k-gram within SCAN_BYTES from which on it is spread, and over how many groups.
@@ -55,6 +62,7 @@ MAX_BROADCAST_IDS = 1_000_000
 _NULL_ID = -(2**63)
 _OPEN = "kind int, h long, salt int, ctx long, id long, key long, at long, len int, size int"
 _SPANS = "id long, key long, start long, end long"
+_CORE = "core long, id long, key long, at long, data binary"
 
 
 def _contexts(pos: np.ndarray, low: np.ndarray, high: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -341,37 +349,179 @@ def repeated(texts: list[bytes], ident: np.ndarray, at: np.ndarray, length: int)
     return merge_intervals(d[later], w[later], w[later] + length)
 
 
-def _index_blocks(length: int):
+def _places(lead: np.ndarray, size: np.ndarray, length: int, gram: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For each part of the places: the core's start before the k-gram and its end after that; first and last place in each context."""
+    low, high = np.maximum(0, length - (size - lead)), np.minimum(length - gram, lead)
+    for part in np.array_split(np.arange(length - gram + 1), CORES):
+        a, b = int(part[0]), int(part[-1])
+        yield a, length - b, np.maximum(low, a), np.minimum(high, b)
+
+
+def _cores(raw: np.ndarray, off: np.ndarray, lead: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each part of the places: rows that have strings there, hash of their core, start and end of these strings in the row."""
+    size = np.diff(off)
+    found: list[list[np.ndarray]] = [[] for _ in range(CORES)]
+    for r, s in row_chunks(off):
+        prefix = prefix_hash(raw[off[r] : off[s]])
+        for out, (before, after, low, high) in zip(found, _places(lead[r:s], size[r:s], length, gram), strict=True):
+            row = np.flatnonzero(low <= high)
+            pos = off[r + row] - off[r] + lead[r + row]
+            at = lead[r + row]
+            out.append(np.stack([r + row, span_hash(prefix, pos - before, pos + after).view(np.int64), at - high[row], at + length - low[row]]))
+    for out in found:
+        if out:
+            row, core, start, end = np.concatenate(out, axis=1)
+            yield row, core, start, end
+
+
+def _shared_part(raw: np.ndarray, off: np.ndarray, lead: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end in each row of all strings whose core another row has; an end of 0 if there are none."""
+    start, end = np.full(len(lead), np.iinfo(np.int64).max), np.zeros(len(lead), np.int64)
+    for row, core, s, e in _cores(raw, off, lead, length, gram):
+        order = np.argsort(core)
+        new = _first_of(core[order])
+        keep = order[~(new & np.append(new[1:], True))]
+        np.minimum.at(start, row[keep], s[keep])
+        np.maximum.at(end, row[keep], e[keep])
+    return start, end
+
+
+class _Block:
+    """Texts that are held until they fill a block of the index."""
+
+    def __init__(self, length: int):
+        self.length, self.rows, self.size = length, [], 0
+
+    def add(self, group, ids, keys, at, raw, start, end) -> Iterator[pa.RecordBatch]:
+        """Takes whole groups, rows of a group one after another; gives the intervals of blocks that are full."""
+        last = np.append(_first_of(group)[1:], True) if len(group) else ()
+        for closes, i, k, a, s, e in zip(last, ids.tolist(), keys.tolist(), at.tolist(), start.tolist(), end.tolist(), strict=True):
+            self.rows.append((i, k, a, raw[s:e].tobytes()))
+            self.size += e - s + 1
+            if closes and self.size >= BLOCK_BYTES:
+                yield from self.close()
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            ids, keys, at, texts = zip(*self.rows, strict=True)
+            self.rows, self.size = [], 0
+            number, ids, keys = _documents(np.array(ids, np.int64), np.array(keys, np.int64))
+            d, s, e = repeated(list(texts), number, np.array(at, np.int64), self.length)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(keys[d]), pa.array(s), pa.array(e)], ["id", "key", "start", "end"])
+
+
+def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _index_blocks(length: int, gram: int):
+    """Intervals of rows (h, id, key, at, lead, data) that are sorted by h."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, int, bytes]] = []
-        size = 0
+        block, held = _Block(length), []
 
-        def flush() -> pa.RecordBatch:
-            _, ids, keys, at, texts = zip(*held, strict=True)
-            number, ids, keys = _documents(np.array(ids, np.int64), np.array(keys, np.int64))
-            d, s, e = repeated(list(texts), number, np.array(at, np.int64), length)
-            return pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(keys[d]), pa.array(s), pa.array(e)], ["id", "key", "start", "end"])
+        def part(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            h, ids, keys, at, lead = (np.asarray(rows.column(i)) for i in range(5))
+            raw, off = byte_views(rows.column(5))
+            start, end = _shared_part(raw, off, lead.astype(np.int64), length, gram)
+            use = np.flatnonzero(end)
+            start, end = start[use], end[use]
+            yield from block.add(h[use], ids[use], keys[use], at[use] + start, raw, off[use] + start, off[use] + end)
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= BLOCK_BYTES and held[-1][0] != row[0]:
-                    yield flush()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4]) + 1
+            if not batch.num_rows:
+                continue
+            h = np.asarray(batch.column(0))
+            begin = int(np.searchsorted(h, h[-1]))  # the last k-gram may go on
+            if begin or (held and held[-1].column(0)[-1].as_py() != h[0]):
+                held.append(batch.slice(0, begin))
+                yield from part(_joined(held))
+                held = []
+            held.append(batch.slice(begin))
         if held:
-            yield flush()
+            yield from part(_joined(held))
+        yield from block.close()
+
+    return run
+
+
+def _by_core(length: int, gram: int):
+    """(core, id, key, at, bytes) of the strings of rows (h, id, key, at, lead, data), once for each part of the places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys, at, lead = (np.asarray(batch.column(i)) for i in range(1, 5))
+            raw, off = byte_views(batch.column(5))
+            for part, (row, core, s, e) in enumerate(_cores(raw, off, lead.astype(np.int64), length, gram)):
+                core = mix(core.view(np.uint64) + np.uint64(part)).view(np.int64)
+                for a in range(0, len(row), 1 << 14):
+                    r = row[a : a + (1 << 14)]
+                    start = s[a : a + (1 << 14)]
+                    data = pa.array([raw[x:y].tobytes() for x, y in zip((off[r] + start).tolist(), (off[r] + e[a : a + (1 << 14)]).tolist(), strict=True)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(core[a : a + (1 << 14)]), pa.array(ids[r]), pa.array(keys[r]), pa.array(at[r] + start), data], _CORE.replace(",", "").split(" ")[::2])
+
+    return run
+
+
+def _index_cores(length: int, most: int):
+    """Rows of _CORE sorted by all columns but with bytes second: intervals (bytes null), and rows of cores with more than ``most`` different parts.
+
+    Between batches, the different parts of one core are kept, or the last if there are too many.
+    """
+
+    def spans(ids, keys, start, end) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), pa.array(start), pa.array(end), pa.nulls(len(ids), pa.binary())], ["id", "key", "start", "end", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, kept, over = _Block(length), None, False  # over: what is kept was sent on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            old = 0 if kept is None else kept.num_rows
+            rows = batch if kept is None else _joined([kept, batch])
+            core, ids, keys, at = (np.asarray(rows.column(i)) for i in range(4))
+            raw, off = byte_views(rows.column(4))
+            first = _first_of(core)
+            first[1:] |= ~np.asarray(pc.equal(rows.column(4).slice(1), rows.column(4).slice(0, len(core) - 1)))
+            lead = np.maximum.accumulate(np.where(first, np.arange(len(core)), 0))
+            rest = np.flatnonzero(~first & ((ids != ids[lead]) | (keys != keys[lead]) | (at != at[lead])))
+            if len(rest):
+                yield spans(ids[rest], keys[rest], at[rest], at[rest] + np.diff(off)[rest])
+            rows_of = np.flatnonzero(first)
+            number = np.cumsum(_first_of(core[rows_of])) - 1
+            count = np.bincount(number)
+            send = count > most
+            if over:
+                send[0] = True
+            out = rows_of[send[number] & ((rows_of >= old) | (not over))]
+            if len(out):
+                sent = rows.take(pa.array(out))
+                yield pa.RecordBatch.from_arrays([*sent.columns[1:3], sent.column(3), pc.add(sent.column(3), pc.binary_length(sent.column(4)).cast(pa.int64())), sent.column(4)], ["id", "key", "start", "end", "data"])
+            open_ = number == number[-1]
+            use = rows_of[(count > 1)[number] & ~send[number] & ~open_]
+            for found in block.add(core[use], ids[use], keys[use], at[use], raw, off[use], off[use + 1]):
+                yield spans(*(np.asarray(c) for c in found.columns))
+            over = bool(send[-1])
+            keep = rows_of[open_]
+            kept = rows.take(pa.array(keep[-1:] if over else keep))
+        if kept is not None and not over and kept.num_rows > 1:
+            raw, off = byte_views(kept.column(4))
+            core, ids, keys, at = (np.asarray(kept.column(i)) for i in range(4))
+            for found in block.add(core, ids, keys, at, raw, off[:-1], off[1:]):
+                yield spans(*(np.asarray(c) for c in found.columns))
+        for found in block.close():
+            yield spans(*(np.asarray(c) for c in found.columns))
 
     return run
 
 
 def _strings(length: int):
-    """Every string of ``length`` bytes of the contexts, as two hashes (a 95-bit name), with its start."""
+    """Every string of ``length`` bytes of rows (id, key, at, data), as two hashes (a 95-bit name), with its start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = byte_views(batch.column(4))
-            ident, key, at = (np.asarray(batch.column(i)) for i in (1, 2, 3))
+            raw, off = byte_views(batch.column(3))
+            ident, key, at = (np.asarray(batch.column(i)) for i in range(3))
             for a, b in row_chunks(off, 1 << 18):
                 buf, bounds = raw[off[a] : off[b]], off[a : b + 1] - off[a]
                 p = np.arange(max(0, len(buf) - length + 1))
@@ -385,18 +535,18 @@ def _strings(length: int):
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, id, key, at, bytes, big) of the requested contexts of each document."""
+    """(h, id, key, at, lead, bytes, big) of the requested contexts of each document."""
     for batch in batches:
         raw, off = byte_views(batch.column(2))
         want = batch.column(3)
         f = want.flatten()
-        big, h, at, size = (np.asarray(f.field(n)) for n in ("big", "h", "at", "size"))
+        big, h, at, lead, size = (np.asarray(f.field(n)) for n in ("big", "h", "at", "lead", "size"))
         row = np.repeat(np.arange(batch.num_rows), np.asarray(want.value_lengths()))
         for a in range(0, len(row), 1 << 14):
             part = slice(a, a + (1 << 14))
             begin = off[row[part]] + at[part]
             data = pa.array([raw[s:e].tobytes() for s, e in zip(begin, begin + size[part], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(h[part]), *(pa.array(np.asarray(batch.column(i))[row[part]]) for i in (0, 1)), pa.array(at[part]), data, pa.array(big[part])], ["h", "id", "key", "at", "data", "big"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[part]), *(pa.array(np.asarray(batch.column(i))[row[part]]) for i in (0, 1)), pa.array(at[part]), pa.array(lead[part]), data, pa.array(big[part])], ["h", "id", "key", "at", "lead", "data", "big"])
 
 
 def duplicate_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -405,21 +555,27 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     met = docs.mapInArrow(released(_scan(length, gram)), _OPEN).repartition(n, "h", "salt").sortWithinPartitions("kind", "h", "salt", "ctx", "id", "key", "at").mapInArrow(released(_meet), _OPEN)
     met = checkpoint(met)
     cut = met.filter("kind = 1").select("id", "key", F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("end"))
-    asks = met.filter("kind = 0").select("h", "id", "key", "at", "size")
+    asks = met.filter("kind = 0").select("h", "id", "key", "at", F.col("len").alias("lead"), "size")
     crowd = asks.groupBy("h").count().filter(F.col("count") > BLOCK_CONTEXTS).select("h", F.lit(True).alias("big"))
     asks = asks.join(crowd, "h", "left").withColumn("big", F.coalesce("big", F.lit(False)))
     # as many as the document is long: no more than its text
-    wanted = asks.groupBy("id", "key").agg(F.collect_list(F.struct("h", "at", "size", "big")).alias("want"))
-    got = docs.join(wanted, ["id", "key"]).select("id", "key", "text", "want").mapInArrow(released(_fetch), "h long, id long, key long, at long, data binary, big boolean")
-    columns = ["h", "id", "key", "at", "data"]
-    small = got.filter("not big").select(*columns).repartition(n, "h").sortWithinPartitions("h").mapInArrow(released(_index_blocks(length)), _SPANS)
+    wanted = asks.groupBy("id", "key").agg(F.collect_list(F.struct("h", "at", "lead", "size", "big")).alias("want"))
+    got = docs.join(wanted, ["id", "key"]).select("id", "key", "text", "want").mapInArrow(released(_fetch), "h long, id long, key long, at long, lead int, data binary, big boolean")
+    columns = ["h", "id", "key", "at", "lead", "data"]
+    small = got.filter("not big").select(*columns).repartition(n, "h").sortWithinPartitions("h").mapInArrow(released(_index_blocks(length, gram)), _SPANS)
     if crowd.isEmpty():
         return cut.union(small)
-    names = got.filter("big").select(*columns).mapInArrow(released(_strings(length)), "x long, y long, id long, key long, at long")
+    cores = got.filter("big").select(*columns).mapInArrow(released(_by_core(length, gram)), _CORE).repartition(n, "core").sortWithinPartitions("core", "data", "id", "key", "at")
+    cores = checkpoint(cores.mapInArrow(released(_index_cores(length, BLOCK_CONTEXTS)), _SPANS + ", data binary"))
+    found = cut.union(small).union(cores.filter("data is null").drop("data"))
+    crowd = cores.filter("data is not null").select("id", "key", F.col("start").alias("at"), "data")
+    if crowd.isEmpty():
+        return found
+    names = crowd.mapInArrow(released(_strings(length)), "x long, y long, id long, key long, at long")
     firsts = names.groupBy("x", "y").agg(F.min(F.struct("id", "key", "at")).alias("first"))
     later = F.struct("id", "key", "at") != F.col("first")
     large = names.join(firsts, ["x", "y"]).filter(later).select("id", "key", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
-    return cut.union(small).union(large)
+    return found.union(large)
 
 
 def _cut(text_out: bool):

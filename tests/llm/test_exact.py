@@ -380,3 +380,50 @@ def test_suffix_dedup_of_null_shared_and_repeated_ids(spark, monkeypatch, hot, c
     got = suffix.dedup(df).collect()
     assert sorted((x.doc_id is not None, x.doc_id or 0, x.n_bytes, x.n_removed, x.kept_sha256) for x in got) == expect
     assert sum(x.n_removed for x in got if x.doc_id == 7) == 3 * 300 + 160
+
+
+def test_suffix_dedup_of_a_short_line_in_many_texts(spark, monkeypatch):
+    """Its contexts share no string of 100 bytes, so none of them needs its strings listed."""
+    monkeypatch.setattr(suffix, "BLOCK_CONTEXTS", 20)
+    monkeypatch.setattr(suffix, "_strings", lambda length: pytest.fail("strings of a line's contexts"))
+    r = random.Random(42)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    line, passage = text(80), text(130)
+    docs = [(i, text(120) + line + text(120) + passage * (i % 20 == 0) + text(9)) for i in range(200)]
+    want = brute_repeats(docs, 100)
+    got = suffix.dedup(spark.createDataFrame(docs, DOCS).repartition(4)).collect()
+    assert {x.doc_id: x.n_removed for x in got} == {i: int(g.sum()) for i, g in want.items()}
+    assert sum(x.n_removed for x in got) >= 9 * 130
+
+
+@pytest.mark.parametrize("most", [1, 3, 100])
+@pytest.mark.parametrize("size", [1, 4, 1000])
+def test_suffix_index_by_core(most, size):
+    """Parts of one core are compared whole, however they lie in batches; sent on are those of cores with too many."""
+    r = random.Random(43)
+    texts = ["".join(r.choice("ab") for _ in range(12)) for _ in range(12)]
+    parts = [("xyz" * 3)[: r.randrange(2, 9)] for _ in range(5)]
+    rows = sorted({(r.randrange(8), (r.choice(parts) + r.choice(texts)).encode(), r.randrange(30), 0, 100 * r.randrange(3)) for _ in range(150)})
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[x[k] for x in rows] for k in (0, 2, 3, 4, 1)], [pa.int64()] * 4 + [pa.binary()], strict=True)], ["core", "id", "key", "at", "data"])
+    out = [x for b in suffix._index_cores(10, most)(iter([batch.slice(i, size) for i in range(0, len(rows), size)])) for x in b.to_pylist()]
+    cut, sent = {(x["id"], p) for x in out if x["data"] is None for p in range(x["start"], x["end"])}, sorted((x["id"], x["start"], x["data"]) for x in out if x["data"] is not None)
+    want, on = set(), []
+    for core in {x[0] for x in rows}:
+        whole: dict[bytes, list] = {}
+        for _, t, i, _, at in (x for x in rows if x[0] == core):
+            whole.setdefault(t, []).append((i, at))
+        many = len(whole) > most
+        want |= {(i, at + p) for t, places in whole.items() for i, at in sorted(places)[1:] for p in range(len(t))}
+        on += [(*min(places), t) for t, places in whole.items() if many]
+        seen: dict[bytes, list] = {}
+        for t, places in whole.items() if len(whole) > 1 and not many else ():
+            for p in range(len(t) - 9):
+                seen.setdefault(t[p : p + 10], []).append((min(places)[0], min(places)[1] + p))
+        want |= {(i, at + p) for v in seen.values() for i, at in sorted(v)[1:] if (i, at) != min(v) for p in range(10)}
+    # a block holds several cores, so it may find repeats between their parts too
+    every: dict[bytes, list] = {}
+    for _, t, i, _, at in rows:
+        for p in range(len(t) - 9):
+            every.setdefault(t[p : p + 10], []).append((i, at + p))
+    may = {(i, at + p) for v in every.values() for i, at in v if (i, at) != min(v) for p in range(10)}
+    assert sent == sorted(on) and want <= cut <= want | may
