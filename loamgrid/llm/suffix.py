@@ -16,7 +16,8 @@ doc_id, or same document and earlier start). Four steps:
 3. Those contexts are fetched by a join with the documents. A string with its k-gram at one of 15 or
    16 consecutive places holds 85 bytes at least, the places' core, that stand alike around the
    k-gram; a context is cut down to the places whose core another context has too, and goes if there
-   are none: a short line that many texts share has no such core. The rest is indexed in blocks: of the
+   are none: a short line that many texts share has no such core. Two contexts that are left alone
+   with each other are compared byte by byte. The rest is indexed in blocks: of the
    Burrows-Wheeler transform only its runs are kept, with text positions and longest-common-prefix
    values sampled at the runs' ends. Streaming the text over the samples gives each position's
    matching statistic and the position that it matches; matches of at least LENGTH bytes chain
@@ -386,6 +387,25 @@ def _shared_part(raw: np.ndarray, off: np.ndarray, lead: np.ndarray, length: int
     return start, end
 
 
+def _pairs(raw: np.ndarray, begin: np.ndarray, lead: np.ndarray, size: np.ndarray, one: np.ndarray, two: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end, before and after the k-gram's begin, of what contexts ``one`` and ``two`` share around it byte by byte; 0 and 0 below ``length``."""
+    before, after = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
+    reach = length - gram
+    for a in range(0, len(one), 1 << 12):  # a part at a time bounds the memory
+        i, j = one[a : a + (1 << 12), None], two[a : a + (1 << 12), None]
+        step = np.arange(-reach, length)
+        inside = (step >= -np.minimum(lead[i], lead[j])) & (step < np.minimum(size[i] - lead[i], size[j] - lead[j]))
+        last = len(raw) - 1
+        x, y = ((begin[k] + lead[k] + step).clip(0, last) for k in (i, j))
+        other = ~inside | (raw[x] != raw[y])
+        left, right = other[:, :reach][:, ::-1], other[:, reach:]
+        low = np.where(left.any(axis=1), left.argmax(axis=1), reach)
+        high = np.where(right.any(axis=1), right.argmax(axis=1), length)
+        long = (low + high >= length) & (high >= gram)
+        before[a : a + (1 << 12)], after[a : a + (1 << 12)] = low * long, high * long
+    return before, after
+
+
 class _Block:
     """Texts that are held until they fill a block of the index."""
 
@@ -425,6 +445,20 @@ def _index_blocks(length: int, gram: int):
             raw, off = byte_views(rows.column(5))
             start, end = _shared_part(raw, off, lead.astype(np.int64), length, gram)
             use = np.flatnonzero(end)
+            # two contexts alone have one stretch in common
+            first = _first_of(h[use])
+            two = np.flatnonzero(first[:-1] & ~first[1:] & np.append(first[2:], True)) if len(use) > 1 else use[:0]
+            one, two = use[two], use[two + 1]
+            if len(one):
+                swap = (ids[one] > ids[two]) | (ids[one] == ids[two]) & ((keys[one] > keys[two]) | (keys[one] == keys[two]) & (at[one] + lead[one] > at[two] + lead[two]))
+                low, high = _pairs(raw, off[:-1], lead.astype(np.int64), np.diff(off), one, two, length, gram)
+                alike = high > 0
+                later = np.where(swap, one, two)[alike]
+                place = at[later] + lead[later]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[later]), pa.array(keys[later]), pa.array(place - low[alike]), pa.array(place + high[alike])], ["id", "key", "start", "end"])
+                alone = np.zeros(len(h), bool)
+                alone[one] = alone[two] = True
+                use = use[~alone[use]]
             start, end = start[use], end[use]
             yield from block.add(h[use], ids[use], keys[use], at[use] + start, raw, off[use] + start, off[use] + end)
 
@@ -566,9 +600,11 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     if crowd.isEmpty():
         return cut.union(small)
     cores = got.filter("big").select(*columns).mapInArrow(released(_by_core(length, gram)), _CORE).repartition(n, "core").sortWithinPartitions("core", "data", "id", "key", "at")
-    cores = checkpoint(cores.mapInArrow(released(_index_cores(length, BLOCK_CONTEXTS)), _SPANS + ", data binary"))
-    found = cut.union(small).union(cores.filter("data is null").drop("data"))
-    crowd = cores.filter("data is not null").select("id", "key", F.col("start").alias("at"), "data")
+    cores = cores.mapInArrow(released(_index_cores(length, BLOCK_CONTEXTS)), _SPANS + ", data binary")
+    # in one job, so that texts are shuffled once for both
+    both = checkpoint(cores.union(small.withColumn("data", F.lit(None).cast("binary"))))
+    found = cut.union(both.filter("data is null").drop("data"))
+    crowd = both.filter("data is not null").select("id", "key", F.col("start").alias("at"), "data")
     if crowd.isEmpty():
         return found
     names = crowd.mapInArrow(released(_strings(length)), "x long, y long, id long, key long, at long")
