@@ -216,3 +216,18 @@ def test_prompts(spark, kb):
     out = P.generate(P.prompt(P.synthesis(kb, 10), "Sum up:")).collect()
     assert len(out) == 3 and all(len(r.answer) == 64 for r in out)
     assert P.stopped("ab" + "c" * 40) == "abc" and P.stopped("aabb") == "aabb"
+
+
+def test_batch_dedup_is_the_greedy_rule_with_copies(spark):
+    r = random.Random(5)
+    words = [f"word{i}" for i in range(30)]
+    base = [r.sample(words, 12) for _ in range(5)]
+    rows = [(i, "t", " ".join([w if r.random() > 0.1 else r.choice(words) for w in base[i % 5]])) for i in range(40)]
+    rows += [(100 + i, "t", rows[i % 7][2]) for i in range(300)] + [(500, "u", rows[0][2]), (501, "u", "too short")]
+    e = spark.createDataFrame(rows, "entry_id long, topic string, body string")
+    sets, kept = {i: (t, set(b.split())) for i, t, b in rows if len(set(b.split())) >= 6}, []
+    for i in sorted(sets):
+        if not any(sets[j][0] == sets[i][0] and len(sets[i][1] & sets[j][1]) / len(sets[i][1] | sets[j][1]) > 0.7 for j in kept):
+            kept.append(i)
+    got = M.batch_dedup(e).collect()
+    assert len(got) == len(sets) and sorted(x.entry_id for x in got if x.kept) == kept

@@ -103,3 +103,12 @@ def test_snippet(spark):
 
 def test_parse_query():
     assert X.parse_query("a tag:X b topic:t tag:Y source:") == ("a b source:", {"tag": "y", "topic": "t"})
+
+
+def test_token_counter_equals_tokens(spark):
+    from collections import Counter
+
+    texts = ["FxHashSet HTTPServer iOS9App snake_case a b é éa verchö Öffen xÖy", "", "ΟΔΟΣ ΟδοςΑΒ İx K ª ßA aB", "the The THE tHe", "x" * 100 + "Y", "日本語 本A 本AB z9Z99 A1 1A", "a\nB cD\teF"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", X.tokens("t").alias("w")).collect()
+    count = X.token_counter()
+    assert {r.id: Counter(r.w) for r in rows} == {i: Counter(count(t.encode())) for i, t in enumerate(texts)}
