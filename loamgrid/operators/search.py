@@ -22,6 +22,8 @@ K1, B = 1.2, 0.75
 MAX_BROADCAST_TERMS = 1_000_000
 #: Terms that are pushed down to the scan of stored postings.
 MAX_PUSHED_TERMS = 500
+#: Hits that a task holds of a stored index.
+HITS_OF_A_TASK = 1_000_000
 
 
 def query_terms(spark: SparkSession, queries: dict[int, str] | list[str]) -> DataFrame:
@@ -43,11 +45,6 @@ def hint_of(queries: DataFrame, bound: int = MAX_BROADCAST_TERMS) -> Callable[[D
     return F.broadcast if queries.limit(bound + 1).count() <= bound else lambda df: df
 
 
-def small(df: DataFrame, bound: int = MAX_BROADCAST_TERMS) -> DataFrame:
-    """Broadcast hint for a table that is counted to be small; larger ones are left to be shuffled."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
-
-
 def filters(entries: DataFrame, topic: str | None = None, tag: str | None = None, source: str | None = None, after: int | None = None, before: int | None = None) -> DataFrame:
     """Entries of a topic and below, with a tag, with a source path that holds a text, in a range of days."""
     e = entries
@@ -79,17 +76,20 @@ def bm25(tf: Column, dl: Column, avgdl: Column, weight: Column) -> Column:
     return weight * tf * (K1 + 1) / (tf + F.lit(K1) * norm)
 
 
-def _score(rows: DataFrame, entries: DataFrame, as_of: int) -> DataFrame:
-    """Sum of BM25 times confidence and recency over (query_id, n_terms, entry_id, tf, dl, idf, avgdl)."""
+def _score(rows: DataFrame, weight: DataFrame, entries: DataFrame, as_of: int) -> DataFrame:
+    """Sum of BM25 times confidence and recency over (entry_id, term, tf, dl) and weights (query_id, n_terms, term, idf, avgdl).
+
+    An entry's rows meet in one task before queries multiply them, so no hit is moved.
+    """
     meta = entries.select("entry_id", "topic", "tags", (F.floor(F.col("confidence") * 255.0) / 255.0).alias("conf"), F.greatest(F.lit(as_of) - day(F.col("ts_min")), F.lit(0)).alias("age"))
     s = bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf")) * F.col("conf") / (1.0 + F.col("age") / 30.0)
-    return rows.join(meta, "entry_id").groupBy("query_id", "entry_id").agg(F.sum(s).alias("score"), F.count("*").alias("hits"), F.first("n_terms").alias("n_terms"), F.first("topic").alias("topic"), F.first("tags").alias("tags"))
+    return rows.join(meta, "entry_id").join(weight, "term").groupBy("query_id", "entry_id").agg(F.sum(s).alias("score"), F.count("*").alias("hits"), F.first("n_terms").alias("n_terms"), F.first("topic").alias("topic"), F.first("tags").alias("tags"))
 
 
 def scored(entries: DataFrame, queries: DataFrame, posts: DataFrame, stats: DataFrame, as_of: int = AS_OF, lengths: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
     """(query_id, entry_id, topic, tags, hits, n_terms, score) from postings and their corpus statistics.
 
-    ``lengths`` (entry_id, dl) and ``terms`` (term, idf) of a stored index spare their computation.
+    ``lengths`` (entry_id, dl) and ``terms`` (term, df, idf) of a stored index spare their computation.
     """
     hint = hint_of(queries)
     asked = queries.select("term").distinct()
@@ -100,8 +100,14 @@ def scored(entries: DataFrame, queries: DataFrame, posts: DataFrame, stats: Data
         terms = df.crossJoin(F.broadcast(stats.select("n"))).select("term", I.idf(F.col("df").cast("double"), F.col("n").cast("double")).alias("idf"))  # stats: one row
     elif len(few) <= MAX_PUSHED_TERMS:
         terms = terms.filter(F.col("term").isin(few))
-    weight = hint(queries.join(terms.select("term", "idf"), "term")).crossJoin(F.broadcast(stats.select("avgdl")))
-    return _score(own.join(hint(weight), "term").join(I.lengths(posts) if lengths is None else lengths, "entry_id"), entries, as_of)
+    else:
+        terms = terms.join(hint(asked), "term", "left_semi")
+    weight = queries.join(terms.select("term", "idf"), "term").crossJoin(F.broadcast(stats.select("avgdl")))
+    if lengths is not None:  # a stored index: one exchange of what is asked for, in parts that bound the hits of a task
+        hits = queries.join(terms.select("term", "df"), "term").agg(F.sum("df")).first()[0] or 0
+        least = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        own = own.repartition(max(least, hits // HITS_OF_A_TASK), "entry_id")
+    return _score(own.join(I.lengths(posts) if lengths is None else lengths, "entry_id"), hint(weight), entries, as_of)
 
 
 def stored(index: dict[str, DataFrame], entries: DataFrame, queries: DataFrame, as_of: int = AS_OF) -> DataFrame:
@@ -116,16 +122,21 @@ def scan(corpus: DataFrame, entries: DataFrame, queries: DataFrame, as_of: int =
     shuffled is a few rows an entry. Statistics, lengths and hits come from that one exchange.
     """
     hint = hint_of(queries)
-    asked = hint(queries.select("term").distinct()).withColumn("asked", F.lit(True))
+    asked = queries.select("term").distinct()
+    few = [r.term for r in asked.limit(MAX_PUSHED_TERMS + 1).collect()]
     # other tokens are the empty term: a key that is never null lets no filter be pushed into one user of the exchange alone
-    term = F.coalesce(F.when(F.col("asked"), F.col("term")), F.lit(""))
-    counts = I.occurrences(corpus).join(asked, "term", "left").select("entry_id", term.alias("term")).groupBy("entry_id", "term").agg(F.count("*").alias("tf"))
+    if len(few) <= MAX_PUSHED_TERMS:
+        counts = I.counted(corpus, few)
+    else:
+        term = F.coalesce(F.when(F.col("asked"), F.col("term")), F.lit(""))
+        counts = I.counted(corpus).join(hint(asked).withColumn("asked", F.lit(True)), "term", "left").select("entry_id", term.alias("term"), "n")
+    counts = counts.groupBy("entry_id", "term").agg(F.sum("n").alias("tf"))
     df = counts.groupBy("term").agg(F.sum(F.least("tf", F.lit(1))).alias("df"), F.sum("tf").alias("all"))
     one = corpus.agg(F.count("*").alias("n"))
     total = df.agg(F.sum("all").alias("total")).crossJoin(one).select("n", (F.floor(F.col("total") / F.greatest("n", F.lit(1)) * 100.0) / 100.0).alias("avgdl"))
     idf = df.crossJoin(F.broadcast(total)).select("term", I.idf(F.col("df").cast("double"), F.col("n").cast("double")).alias("idf"), "avgdl")
     rows = counts.withColumn("dl", F.sum("tf").over(Window.partitionBy("entry_id"))).withColumn("tf", F.least("tf", F.lit(65535)))
-    return _score(rows.join(hint(queries), "term").join(hint(idf), "term"), entries, as_of)  # idf: a row per asked term, and one
+    return _score(rows, hint(queries.join(hint(idf), "term")), entries, as_of)  # idf: a row per asked term, and one
 
 
 def scored_subset(entries: DataFrame, queries: DataFrame, posts: DataFrame) -> DataFrame:

@@ -231,3 +231,26 @@ def test_batch_dedup_is_the_greedy_rule_with_copies(spark):
             kept.append(i)
     got = M.batch_dedup(e).collect()
     assert len(got) == len(sets) and sorted(x.entry_id for x in got if x.kept) == kept
+
+
+def test_names_that_share_a_frequent_word(spark):
+    rows = [(i, f"{w}/en", f"en {w} and {v}") for i, (w, v) in enumerate((f"w{a}", f"w{b}") for a in range(12) for b in range(0, 12, 3))]
+    e = spark.createDataFrame(rows, "entry_id long, topic string, body string")
+    want: dict = {}
+    for _, t, b in rows:
+        for d in {x[1] for x in rows} - {t}:
+            if {*d.split("/")} <= {*b.split()}:
+                want[t, d] = want.get((t, d), 0) + 1
+    assert {(r.src, r.dst): r.mentions for r in I.xref_edges(e).collect()} == want
+    assert {(r.src, r.dst): r.mentions for r in I.xref_edges(e, I.postings(e)).collect()} == want
+
+
+def test_blocks_and_buckets_follow_the_input(spark, kb, tmp_path, monkeypatch):
+    v = spark.createDataFrame([(i, i % 3, [float(i % 7), float(i % 5), 1.0]) for i in range(90)], "id long, topic int, embedding array<double>")
+    want = M.cosine_pairs(v, 0.9, block=1000).count()
+    monkeypatch.setattr(M, "MAX_BLOCKS", 3)
+    assert M.cosine_pairs(v, 0.9, block=1).count() == want
+    monkeypatch.setattr(I, "BUCKET_BYTES", 20)
+    I.save(kb, str(tmp_path))
+    assert len(list((tmp_path / "postings").glob("*.parquet"))) <= max(64, sum(len(r.body) for r in kb.collect()) // 20)
+    assert I.load(spark, str(tmp_path))["postings"].count() == I.postings(kb).count()
