@@ -254,3 +254,12 @@ def test_blocks_and_buckets_follow_the_input(spark, kb, tmp_path, monkeypatch):
     I.save(kb, str(tmp_path))
     assert len(list((tmp_path / "postings").glob("*.parquet"))) <= max(64, sum(len(r.body) for r in kb.collect()) // 20)
     assert I.load(spark, str(tmp_path))["postings"].count() == I.postings(kb).count()
+
+
+def test_usages_in_files_are_the_usages(spark):
+    rows = [(f"f{i % 3}.rs", i, t) for i, t in enumerate(["fn alpha() {", "alpha(); alpha()", "fn alpha() { beta() }", "struct Beta {", "// alpha", "fn beta() {", "Beta alpha beta", "}"])]
+    lines = spark.createDataFrame(rows, "path string, line int, text string")
+    s = C.symbols(lines)
+    want = C.usages(lines, s).groupBy("name", "path").agg(F.min("line").alias("line"), F.count("*").alias("n"))
+    got = C.usages_in_files(lines, s)
+    assert sorted(got.select("name", "path", "line", "n").collect()) == sorted(want.collect()) and got.count() > 3
