@@ -116,8 +116,9 @@ def content_lines(body: Column | str) -> Column:
 
 
 def first_content(body: Column | str) -> Column:
-    """The first content line; empty if there is none."""
-    return F.coalesce(F.get(content_lines(body), F.lit(0)), F.lit(""))
+    """The first content line; empty if there is none. All lines are looked at only if the first eight have none."""
+    few = F.get(content_lines(F.substring_index(col(body), "\n", 8)), F.lit(0))
+    return F.coalesce(few, F.get(content_lines(body), F.lit(0)), F.lit(""))
 
 
 def metadata(body: Column | str) -> Column:

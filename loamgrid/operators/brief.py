@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,11 +24,17 @@ CATEGORIES = [
 ]
 
 
-def relevance(entries: DataFrame, posts: DataFrame, query: str, since_hours: int | None = None, as_of: int = AS_OF) -> DataFrame:
-    """Entries of the query's topic (or topics of its glob) and others with one of its terms, with their relevance."""
+def relevance(entries: DataFrame, posts: DataFrame | None, query: str, since_hours: int | None = None, as_of: int = AS_OF) -> DataFrame:
+    """Entries of the query's topic (or topics of its glob) and others with one of its terms, with their relevance.
+
+    Without stored postings the texts are read for the query's terms alone.
+    """
     glob = "*" in query
     distance = F.when(F.col("topic").like(X.glob_to_like(query)), F.lit(10.0)) if glob else F.greatest(F.lit(10) - X.hierarchy_distance("topic", query), F.when(X.topic_matches("topic", query), 5)).cast("double")
     one = entries.sparkSession.range(1).select(F.explode(X.terms(F.lit(query))).alias("term"))
+    if posts is None:
+        counted = I.counted(entries, [r.term for r in one.collect()]).filter("term <> ''")
+        posts = counted.groupBy("entry_id", "term").agg(F.least(F.sum("n"), F.lit(65535)).cast("int").alias("tf"))
     words = posts.join(F.broadcast(one), "term").groupBy("entry_id").agg(F.sum("tf").alias("tf"))  # terms of one query
     e = entries.join(words, "entry_id", "left").withColumn("base", distance).withColumn("days_old", F.greatest(F.lit(as_of) - day(F.col("ts_min")), F.lit(0)))
     if since_hours is not None:
@@ -60,30 +68,52 @@ def supersede(rows: DataFrame, similar: float = 0.6, gap: int = 2) -> DataFrame:
     words = F.array_distinct(F.filter(F.split(F.lower(w), r"(?U)\s+"), lambda t: t != ""))
     base = rows.select("topic", "entry_id", "days_old", words.alias("words")).filter(F.size("words") >= 3)
 
+    limit = round(similar * 100)
+
     def fold(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("entry_id")
-        sets = [set(x) for x in g.words]
         ids, age = g.entry_id.tolist(), g.days_old.tolist()
-        where: dict[str, list[int]] = {}
-        for i, s in enumerate(sets):
+        # equal lines are one class; classes meet by the rare words that a similar pair must share
+        number: dict[frozenset, int] = {}
+        of = [number.setdefault(frozenset(x), len(number)) for x in g.words]
+        sets = list(number)
+        df: dict[str, int] = {}
+        for s in sets:
             for t in s:
-                where.setdefault(t, []).append(i)
+                df[t] = df.get(t, 0) + 1
+        near: list[list[int]] = [[k] for k in range(len(sets))]
+        where: dict[str, list[int]] = {}
+        for k, s in enumerate(sets):
+            first = sorted(s, key=lambda t: (df[t], t))[: len(s) + (-limit * len(s)) // 100 + 1]
+            for j in {j for t in first for j in where.get(t, ())}:
+                n, m = len(s), len(sets[j])
+                if min(n, m) * 100 < limit * max(n, m):
+                    continue
+                c = len(s & sets[j])
+                if c * 100 // (n + m - c) >= limit:
+                    near[k].append(j)
+                    near[j].append(k)
+            for t in first:
+                where.setdefault(t, []).append(k)
+        # what is left of each class by age, in the order of the rule
+        left: list[dict[int, list[int]]] = [{} for _ in sets]
+        for i, k in enumerate(of):
+            left[k].setdefault(age[i], []).append(i)
         gone: dict[int, int] = {}
-        for i, s in enumerate(sets):
+        for i, k in enumerate(of):
             if i in gone:
                 continue
-            count: dict[int, int] = {}
-            for t in s:
-                for j in where[t]:
-                    if j > i:
-                        count[j] = count.get(j, 0) + 1
-            for j in sorted(count):
-                if j in gone or count[j] * 100 // (len(s) + len(sets[j]) - count[j]) < round(similar * 100) or abs(age[i] - age[j]) < gap:
-                    continue
-                if age[i] > age[j]:
-                    gone[i] = j
-                else:
-                    gone[j] = i
+            last = -1
+            for j in near[k]:
+                for days, rows in left[j].items():
+                    at = bisect_right(rows, i)
+                    if days - age[i] >= gap:
+                        gone.update(dict.fromkeys(rows[at:], i))
+                        del rows[at:]
+                    elif age[i] - days >= max(gap, 1) and at < len(rows):
+                        last = max(last, rows[-1])
+            if last >= 0:
+                gone[i] = last
         return pd.DataFrame([(ids[a], ids[b]) for a, b in gone.items()], columns=["entry_id", "by"])
 
     return base.groupBy("topic").applyInPandas(fold, "entry_id long, by long")
@@ -128,7 +158,7 @@ def compress(rows: DataFrame) -> DataFrame:
 
 def briefing(entries: DataFrame, query: str, tier: str = "scan", since_hours: int | None = None, as_of: int = AS_OF) -> DataFrame:
     """The brief tool: summary (counts), scan (three a category) or full (five whole, ten in short)."""
-    r = compress(relevance(entries, I.postings(entries), query, since_hours, as_of)).withColumn("category", category(F.col("tags"), F.col("body")))
+    r = compress(relevance(entries, None, query, since_hours, as_of)).withColumn("category", category(F.col("tags"), F.col("body")))
     if tier == "summary":
         return r.groupBy("category").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("relevance"), "entry_id"))

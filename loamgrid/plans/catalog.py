@@ -575,7 +575,7 @@ rel AS (SELECT *, (coalesce(base, 0) + coalesce(tf, 0)) * (1 + 1 / (1 + days_old
 
 def _relevant(spark, d):
     e = entries(spark, d)
-    return B.relevance(e, I.postings(e), "en/src1")
+    return B.relevance(e, None, "en/src1")
 
 
 @query(f"WITH {_REL} SELECT entry_id, round(relevance, 6) AS relevance, CAST(days_old AS INTEGER) AS days_old FROM rel")

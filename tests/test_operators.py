@@ -263,3 +263,21 @@ def test_usages_in_files_are_the_usages(spark):
     want = C.usages(lines, s).groupBy("name", "path").agg(F.min("line").alias("line"), F.count("*").alias("n"))
     got = C.usages_in_files(lines, s)
     assert sorted(got.select("name", "path", "line", "n").collect()) == sorted(want.collect()) and got.count() > 3
+
+
+def test_supersede_is_the_fold_over_all_pairs(spark):
+    r = random.Random(7)
+    words = ["ab", "cd", "ef", "gh", "ij", "kl"]
+    rows = [(i, "t", " ".join(r.sample(words, r.choice([3, 4, 5]))), r.randrange(9)) for i in range(150)]
+    gone: dict[int, int] = {}
+    for i, (_, _, x, p) in enumerate(rows):
+        for j, (_, _, y, q) in enumerate(rows):
+            a, b = {*x.split()}, {*y.split()}
+            if j <= i or (j in gone) or len(a & b) * 100 // len(a | b) < 60 or abs(p - q) < 2 or (i in gone and gone[i] < i):
+                continue
+            if p > q:
+                gone[i] = j
+            else:
+                gone[j] = i
+    e = spark.createDataFrame(rows, "entry_id long, topic string, body string, days_old int")
+    assert {x.entry_id: x.by for x in B.supersede(e).collect()} == gone and gone
