@@ -245,6 +245,15 @@ def test_names_that_share_a_frequent_word(spark):
     assert {(r.src, r.dst): r.mentions for r in I.xref_edges(e, I.postings(e)).collect()} == want
 
 
+def test_usages_in_files_are_the_usages(spark):
+    rows = [(f"f{i % 3}.rs", i, t) for i, t in enumerate(["fn alpha() {", "alpha(); alpha()", "fn alpha() { beta() }", "struct Beta {", "// alpha", "fn beta() {", "Beta alpha beta", "}"])]
+    lines = spark.createDataFrame(rows, "path string, line int, text string")
+    s = C.symbols(lines)
+    want = C.usages(lines, s).groupBy("name", "path").agg(F.min("line").alias("line"), F.count("*").alias("n"))
+    got = C.usages_in_files(lines, s)
+    assert sorted(got.select("name", "path", "line", "n").collect()) == sorted(want.collect()) and got.count() > 3
+
+
 def test_blocks_and_buckets_follow_the_input(spark, kb, tmp_path, monkeypatch):
     v = spark.createDataFrame([(i, i % 3, [float(i % 7), float(i % 5), 1.0]) for i in range(90)], "id long, topic int, embedding array<double>")
     want = M.cosine_pairs(v, 0.9, block=1000).count()
@@ -256,15 +265,6 @@ def test_blocks_and_buckets_follow_the_input(spark, kb, tmp_path, monkeypatch):
     assert I.load(spark, str(tmp_path))["postings"].count() == I.postings(kb).count()
 
 
-def test_usages_in_files_are_the_usages(spark):
-    rows = [(f"f{i % 3}.rs", i, t) for i, t in enumerate(["fn alpha() {", "alpha(); alpha()", "fn alpha() { beta() }", "struct Beta {", "// alpha", "fn beta() {", "Beta alpha beta", "}"])]
-    lines = spark.createDataFrame(rows, "path string, line int, text string")
-    s = C.symbols(lines)
-    want = C.usages(lines, s).groupBy("name", "path").agg(F.min("line").alias("line"), F.count("*").alias("n"))
-    got = C.usages_in_files(lines, s)
-    assert sorted(got.select("name", "path", "line", "n").collect()) == sorted(want.collect()) and got.count() > 3
-
-
 def test_supersede_is_the_fold_over_all_pairs(spark):
     r = random.Random(7)
     words = ["ab", "cd", "ef", "gh", "ij", "kl"]
@@ -281,3 +281,12 @@ def test_supersede_is_the_fold_over_all_pairs(spark):
                 gone[j] = i
     e = spark.createDataFrame(rows, "entry_id long, topic string, body string, days_old int")
     assert {x.entry_id: x.by for x in B.supersede(e).collect()} == gone and gone
+
+
+def test_hits_with_all_terms_equal_and(spark, kb, tmp_path):
+    I.save(kb, str(tmp_path), buckets=3)
+    t = I.load(spark, str(tmp_path))
+    q = S.query_terms(spark, ["alpha beta gamma", "zeta", "delta nothingatall", "epsilon alpha"])
+    want = S.choose(S.stored(t, t["entry_meta"], q), "and")
+    got = {(r.query_id, r.entry_id): round(r.score, 9) for r in S.stored_all(t, t["entry_meta"], q).collect()}
+    assert got == {(r.query_id, r.entry_id): round(r.score, 9) for r in want.collect()} and {i for i, _ in got} == {0, 1, 3}
